@@ -4,18 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm._io import table
 from tidewatch.llm.licenses import scan_licenses
+from tidewatch.llm.mpeg import media_digest
+from tidewatch.llm.packing import pack_documents
+from tidewatch.llm.warc import read_bundles, write_bundles
+
+#: The ranks file holds the vocabulary of byte_bpe_50k.json; tests hold the ids against that file's.
+BYTE_BPE, BYTE_BPE_SPECIALS = public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}
+
+
+def op2_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_bundles(write_bundles(table(spark, sf_dir, "pages"))).drop("bundle", "frame", "frame_offset")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_BPE_SPECIALS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mpeg_media": op2_mpeg_media,
+    "op3_warc_bundles": op3_warc_bundles,
     "op5_license_scan": op5_license_scan,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_bundles": """
+        SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN n < 1000 OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN n < 1000 OR page_id = top THEN NULL ELSE top END AS refers_to
+        FROM (SELECT page_id, body, strlen(body) AS n, max(page_id) OVER (PARTITION BY body) AS top
+              FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))
+    """,
+}
