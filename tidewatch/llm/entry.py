@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm._io import table
+from tidewatch.llm import langid, quality, toxicity
+from tidewatch.llm._io import bucket_of, table
+from tidewatch.llm._labels import training_ids
 from tidewatch.llm.licenses import scan_licenses
 from tidewatch.llm.mpeg import media_digest
 from tidewatch.llm.packing import pack_documents
@@ -17,6 +20,13 @@ from tidewatch.llm.warc import read_bundles, write_bundles
 BYTE_BPE, BYTE_BPE_SPECIALS = public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = (bucket_of("doc_id", 3) == 1).alias("held_out")
+    net = langid.fit(docs.where(bucket_of("doc_id", 3) != 1).select("doc_id", "text", "lang"))
+    return langid.predict(docs.select("doc_id", held, "text"), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
@@ -29,14 +39,31 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, *training_ids(table(spark, sf_dir, "labels"), "toxic", toxicity.SAMPLE))
+    scored = toxicity.score(docs.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, *training_ids(table(spark, sf_dir, "labels"), "quality", quality.SAMPLE))
+    scored = toxicity.score(docs.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_BPE_SPECIALS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_mpeg_media": op2_mpeg_media,
     "op3_warc_bundles": op3_warc_bundles,
     "op5_license_scan": op5_license_scan,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 

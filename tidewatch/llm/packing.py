@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm._io import kept
 
 CAPACITY, END_ID, SALTS = 1024, 2, 64
-SEARCH_NODES = 2_000
+SEARCH_NODES = 8_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -108,18 +108,23 @@ def _fits(items: tuple[int, ...], rooms: tuple[int, ...]) -> bool:
 
 
 def fillings(hist: np.ndarray, first: int, cap: int, most: int = 80) -> list[tuple[int, ...]]:
-    """Undominated fillings of the bin that `first` opens, fullest first. `most` bounds how many are looked at per bin."""
+    """Undominated fillings of the bin that `first` opens, fullest first and then those of the most abundant lengths.
+
+    All fillings by one or two pieces without waste are listed; of the others the search looks at `most`."""
     room = cap - first
     sizes = [int(s) for s in np.flatnonzero(hist[: room + 1])[::-1]]
     if not sizes:
         return [()]
     if sizes[0] == room:
         return [(room,)]  # one piece that fills the bin dominates every other filling
-    found: list[tuple[int, ...]] = []
     use = hist.copy()
+    low = np.arange(1, room // 2 + 1)
+    pairs = low[(hist[low] > 0) & (hist[room - low] > (low * 2 == room))]
+    found: list[tuple[int, ...]] = [(room - int(s), int(s)) for s in pairs]
+    stop = len(found) + most
 
     def walk(start: int, left: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= most:
+        if len(found) >= stop:
             return
         grew = False
         for i in range(start, len(sizes)):
@@ -129,18 +134,26 @@ def fillings(hist: np.ndarray, first: int, cap: int, most: int = 80) -> list[tup
                 use[s] -= 1
                 walk(i, left - s, (*chosen, s))
                 use[s] += 1
-                if len(found) >= most:
+                if len(found) >= stop:
                     return
         if not grew and not any(s <= left and use[s] for s in sizes):
             found.append(chosen)
 
+    common = int(np.argmax(hist[: room + 1]))
+    for k in range(min(int(hist[common]), room // common), 0, -1):  # fillings around the most abundant length
+        use[common] -= k
+        stop = len(found) + most // 4
+        walk(0, room - k * common, (common,) * k)
+        use[common] += k
+    stop = len(found) + most
     walk(0, room, ())
-    found.sort(key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))
-    kept_: list[tuple[int, ...]] = []
-    for f in found:
-        if not any(len(f) <= 8 and len(g) <= 8 and _fits(f, g) for g in kept_):
-            kept_.append(f)
-    return kept_
+    found = list({tuple(sorted(f, reverse=True)): None for f in found})
+    found.sort(key=lambda f: (-sum(f), -max(int(hist[s]) for s in f), len(f), tuple(-x for x in f)))
+    undominated: list[tuple[int, ...]] = []
+    for f in found[: 2 * most]:
+        if not any(len(f) <= 8 and len(g) <= 8 and _fits(f, g) for g in undominated):
+            undominated.append(f)
+    return undominated
 
 
 def solve(hist: np.ndarray, cap: int = CAPACITY, nodes: int = SEARCH_NODES) -> tuple[list[tuple[Pattern, int]], int]:
