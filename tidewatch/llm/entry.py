@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import langid, quality, toxicity
+from tidewatch.llm import langid, lm, quality, toxicity
 from tidewatch.llm._io import bucket_of, table
 from tidewatch.llm._labels import training_ids
 from tidewatch.llm.licenses import scan_licenses
@@ -18,6 +18,7 @@ from tidewatch.llm.warc import read_bundles, write_bundles
 
 #: The ranks file holds the vocabulary of byte_bpe_50k.json; tests hold the ids against that file's.
 BYTE_BPE, BYTE_BPE_SPECIALS = public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256}
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = bucket_of("doc_id", 5) == 1
+    return lm.score_documents(docs.select("doc_id", held.alias("held_out"), "text"), docs.where(~held).select("text"), PIECE_MODEL)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_BPE_SPECIALS)
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
+    "op8_lattice_lm": op8_lattice_lm,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
