@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import langid, lm, quality, toxicity
+from tidewatch.llm import decontam, jaccard, langid, lm, quality, toxicity
 from tidewatch.llm._io import bucket_of, table
 from tidewatch.llm._labels import training_ids
 from tidewatch.llm.licenses import scan_licenses
@@ -36,6 +36,10 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(write_bundles(table(spark, sf_dir, "pages"))).drop("bundle", "frame", "frame_offset")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -64,18 +68,42 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, BYTE_BPE_SPECIALS)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mpeg_media": op2_mpeg_media,
     "op3_warc_bundles": op3_warc_bundles,
+    "op4_decontamination": op4_decontamination,
     "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_lattice_lm": op8_lattice_lm,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM s a JOIN s b USING (shingle) JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+            WHERE a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+            HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+        FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+    """,
     "op3_warc_bundles": """
         SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
                CASE WHEN n < 1000 OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,

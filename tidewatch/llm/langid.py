@@ -168,7 +168,12 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
     room = F.greatest(F.length("text") - SPAN_CHARS, F.lit(1))
     spans = F.concat_ws("", *[F.substring("text", F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(k)), room).cast("int"), F.lit(SPAN_CHARS)) for k in range(SPANS)])
     slim = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", order.alias("o"), spans.alias("spans"))
-    return slim.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("o", "spans"))).where(F.col("r") <= per_language).select("lang", "spans")
+
+    def first(df: DataFrame, *keys: str) -> DataFrame:
+        return df.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("o", "spans"))).where(F.col("r") <= per_language)
+
+    salted = first(slim.withColumn("salt", F.pmod("o", F.lit(64))), "lang", "salt")  # no task ranks a whole language
+    return first(salted.drop("r"), "lang").select("lang", "spans")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet:
