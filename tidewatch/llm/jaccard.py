@@ -59,7 +59,8 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np
 def signatures(s: np.ndarray, border: np.ndarray) -> np.ndarray:
     """A signed 64-bit signature of every set, whatever the order of its members; 0 for the empty set."""
     n = np.diff(border)
-    total = np.concatenate([[0], np.cumsum(mix(s ^ np.uint64(0xA24BAED4963EE407)), dtype=np.uint64)]).astype(np.uint64)
+    total = np.zeros(len(s) + 1, dtype=np.uint64)
+    np.cumsum(mix(s ^ np.uint64(0xA24BAED4963EE407)), dtype=np.uint64, out=total[1:])
     sig = mix((total[border[1:]] - total[border[:-1]]) + n.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     return np.where(n > 0, np.where(sig == 0, np.uint64(1), sig), np.uint64(0)).view(np.int64)
 
