@@ -7,9 +7,9 @@ sketch says is cheapest: a longer prefix posts more shingles but asks for more m
 verified. A pair uses the smaller l of its two classes; each posting carries the least l whose prefix it is in.
 
 Only which documents are connected is asked for, so a pair inside a known component is of no use. Shingles posted by a
-single class are dropped at once. On the rest, two linear rounds come first: every class (then every component) is
-verified against the smallest one that it shares most posted shingles with, and what links is merged. Groups of
-copies collapse there without their pairs being listed. The full multi-match join then lists the pairs that
+single class are dropped at once. On the rest, a few linear rounds come first: every class (then every component) is
+verified against one member of the component that it shares most posted shingles with, and what links is merged. Groups
+of copies collapse there without their pairs being listed. The full multi-match join then lists the pairs that
 still lie in different components, and verifies all of them. No pair is dropped for any other reason than the filters, which
 lose nothing.
 
@@ -39,7 +39,7 @@ from tidewatch.llm.components import components
 K, NUM, DEN = 5, 80, 100
 LEVELS = 4
 CELL_BITS, BLOCK_BITS = 21, 14
-SALT_ROWS = 20_000
+SALT_ROWS, HUB_TURNS = 20_000, 5
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -165,7 +165,7 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, text) of the wanted classes; a class may come more than once, from different tasks."""
+    """(cls, text), one text of each wanted class; every task hands on the first that it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -176,7 +176,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 rows = [i for i, c in enumerate(sig) if c and not (c in seen or seen.add(c))]
                 yield pa.RecordBatch.from_arrays([pa.array([sig[i] for i in rows], pa.int64()), texts.slice(first, to - first).take(pa.array(rows, pa.int64()))], names=["cls", "text"])
 
-    return docs.mapInArrow(run, "cls bigint, text string").join(wanted, "cls", "left_semi")
+    found = docs.mapInArrow(run, "cls bigint, text string").join(wanted, "cls", "left_semi")
+    nth = F.row_number().over(W.partitionBy("cls").orderBy("cls"))  # on the join's own partitioning and order
+    return found.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -209,11 +211,12 @@ def _fits(n1: str, n2: str, num: int, den: int):
     return (F.least(n1, n2) * den) >= (F.greatest(n1, n2) * num)
 
 
-def _hub_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """For every component but the smallest of each shared shingle, the pair of members with the component it meets most.
+def _hub_pairs(shared: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """For every component but the smallest of each shared shingle, a pair of members with the component it meets most.
 
-    shared: shingle, cls, n, comp. One row per (shingle, component) is looked at, and one pair per component is returned."""
-    one = shared.groupBy("shingle", "comp").agg(F.min(F.struct("cls", "n")).alias("x"))
+    shared: shingle, cls, n, comp. One row per (shingle, component) is looked at, and one pair per component is returned.
+    Which member stands for its component changes with the turn."""
+    one = shared.groupBy("shingle", "comp").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")).alias("x"))
     hub = one.groupBy("shingle").agg(F.min(F.struct("comp", "x")).alias("h"))
     met = one.join(hub, "shingle").where(F.col("comp") != F.col("h.comp"))
     met = met.select("comp", F.col("h.comp").alias("hub"), F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("h.x.cls").alias("b"), F.col("h.x.n").alias("nb")).where(_fits("na", "nb", num, den))
@@ -234,25 +237,31 @@ def _across(labelled: DataFrame) -> DataFrame:
 
 def _match_pairs(across: DataFrame, num: int, den: int) -> DataFrame:
     """The multi-match join: pairs of classes in different components that share enough of their common prefixes."""
-    one, two = across.select("shingle", *[F.col(c).alias(f"{c}_1") for c in ("cls", "n", "level", "ell", "comp")]), across.select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("cls", "n", "level", "ell", "comp")])
+    # shingles of one passage are posted by the same classes: one of them stands for all, with their number as weight
+    kind = across.groupBy("shingle").agg(F.bit_xor(F.xxhash64("cls", "level")).alias("x"), F.bit_xor(F.xxhash64("level", "cls", F.lit(7))).alias("y"), F.count("*").alias("f"))
+    across = across.join(kind.groupBy("x", "y", "f").agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight")), "shingle")
+    one, two = across.select("shingle", "weight", *[F.col(c).alias(f"{c}_1") for c in ("cls", "n", "level", "ell", "comp")]), across.select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("cls", "n", "level", "ell", "comp")])
     met = one.join(two, "shingle").where((F.col("cls_1") < F.col("cls_2")) & (F.col("comp_1") != F.col("comp_2")) & _fits("n_1", "n_2", num, den) & (F.greatest("level_1", "level_2") <= F.least("ell_1", "ell_2")))
-    counted = met.groupBy(F.col("cls_1").alias("a"), F.col("cls_2").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("ell_1", "ell_2")).alias("ell"))
+    counted = met.groupBy(F.col("cls_1").alias("a"), F.col("cls_2").alias("b")).agg(F.sum("weight").alias("c"), F.min(F.least("ell_1", "ell_2")).alias("ell"))
     return counted.where("c >= ell").select("a", "b")
 
 
-def similar_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, salt_rows: int = SALT_ROWS) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, salt_rows: int = SALT_ROWS, hub_turns: int = HUB_TURNS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = kept(_facts(slim, k), "shingle-facts")
     shared = kept(_shared(_postings(slim, _sketch(facts), k, num, den, salt_rows)), "shared-shingles")
     texts = kept(_texts(slim, shared.select("cls").distinct(), k), "candidate-texts")
-    links = kept(_verified(_hub_pairs(shared.withColumn("comp", F.col("cls")), num, den), texts, k, num, den), "hub-links")
+    links, roots, across = None, None, shared.withColumn("comp", F.col("cls"))
+    for turn in range(hub_turns):
+        more = kept(_verified(_hub_pairs(across, turn, num, den), texts, k, num, den), "hub-links")
+        if links is not None and more.isEmpty():
+            break
+        links = more if links is None else links.union(more)
+        roots = components(links)
+        across = kept(_across(_labelled(shared, roots)), "open-shingles")
+    links = links.union(kept(_verified(_match_pairs(across, num, den), texts, k, num, den), "match-links"))
     roots = components(links)
-    second = kept(_verified(_hub_pairs(_across(_labelled(shared, roots)), num, den), texts, k, num, den), "hub-links")
-    links = links.union(second)
-    roots = components(links)
-    third = kept(_verified(_match_pairs(_across(_labelled(shared, roots)), num, den), texts, k, num, den), "match-links")
-    roots = components(links.union(third))
     rows = facts.where("block IS NULL").select("doc_id", "cls", "n")
     least = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     joined = least.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("comp"))
