@@ -1,7 +1,7 @@
 """Licence scan in DataFrame functions only: one narrow pass over the text, no Python, no shuffle.
 
 A single gate pattern decides which texts can hold anything; the rest only get their words counted.
-A gated text is lower-cased (A-Z alone), its rules are picked by their gate words, each picked rule's
+A gated text is lower-cased (A-Z alone) and, for the rules, its white space made single blanks; its rules are picked by their gate words, each picked rule's
 places are found, and an ordered sweep drops every detection that lies inside one of at least its rank.
 
 Defined cases: a null text is empty; an empty text has no words, places or labels and score 0; repeated
@@ -83,7 +83,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = slim.select("doc_id", F.split("text", BREAK, -1).alias("parts"), F.when(gate, F.translate("text", UPPER, SMALL)).alias("low"))
     edges = sum(F.when(F.get("parts", i) == "", 1).otherwise(0) for i in (F.lit(0), F.size("parts") - 1))
     counted = parts.select("doc_id", F.greatest(F.size("parts") - edges, F.lit(0)).cast("bigint").alias("n_words"), "low")
-    words = counted.select("*", F.array_remove(F.split("low", BREAK, -1), "").alias("words"), F.when(F.col("low").isNotNull(), _sweep(detections(F.col("low")))).alias("swept"))
+    words = counted.select("*", F.array_remove(F.split("low", BREAK, -1), "").alias("words"), F.when(F.col("low").isNotNull(), _sweep(detections(F.regexp_replace("low", r"\s+", " ")))).alias("swept"))
 
     def at(phrase: tuple[str, ...], i: Column) -> Column:
         hit = F.lit(True)
