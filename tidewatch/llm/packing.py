@@ -163,10 +163,17 @@ def solve(hist: np.ndarray, cap: int = CAPACITY, nodes: int = SEARCH_NODES) -> t
     best = best_fit(hist, cap)
     best_bins = sum(n for _, n in best)
     total = int((hist * np.arange(cap + 1)).sum())
-    stack: list[tuple[np.ndarray, tuple, int, int]] = [(hist, (), 0, 0)]
+    # an entry holds its parent's histogram and is applied when it is taken, so memory follows the nodes, not the branches
+    stack: list[tuple[np.ndarray, Pattern, int, tuple, int, int]] = [(hist.astype(np.int32 if hist.max(initial=0) < 2**31 else np.int64), (), 0, (), 0, 0)]
     while stack and best_bins > bound and nodes:
         nodes -= 1
-        left, path, bins, waste = stack.pop()
+        left, taken, times, path, bins, waste = stack.pop()
+        if waste > (best_bins - 1) * cap - total:
+            continue
+        if taken:
+            left = left.copy()
+            for s, k in taken:
+                left[s] -= times * k
         open_sizes = np.flatnonzero(left)
         if not len(open_sizes):
             if bins < best_bins:
@@ -185,12 +192,8 @@ def solve(hist: np.ndarray, cap: int = CAPACITY, nodes: int = SEARCH_NODES) -> t
             times = min(int(left[s]) // k for s, k in p)
             each, room = cap - first - sum(f), (best_bins - 1) * cap - total - waste  # a better packing wastes no more
             times = min(times, room // each) if each else times if room >= 0 else 0
-            lost = waste + times * each
             if times > 0:
-                after = left.copy()
-                for s, k in p:
-                    after[s] -= times * k
-                branches.append((after, (path, (p, times)), bins + times, lost))
+                branches.append((left, p, times, (path, (p, times)), bins + times, waste + times * each))
         stack.extend(reversed(branches))
     return best, bound
 

@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.llm._vec import NONWORD, Words, buffers, pieces
 
-SAMPLE = {1: 2500, 0: 5000}
+SAMPLE = {1: 1500, 0: 3000}
 PREFIXES, MOST_FEATURES = (4, 5, 6), 2000
 
 #: Names of groups; within a line one can stand for another.
@@ -123,11 +123,11 @@ def train(sets: list[np.ndarray], y: np.ndarray, sizes: dict[int, int], terms: l
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         return ToxicModel(np.zeros(0, np.uint32), np.zeros(0), 500.0 if n1 else -500.0)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    keys, where = np.unique(flat, return_inverse=True)
-    hits1 = np.bincount(where, y[owner], len(keys))
-    hits0 = np.bincount(where, minlength=len(keys)) - hits1
+    keys, total = np.unique(np.concatenate(sets), return_counts=True)
+    toxic_keys, toxic_hits = np.unique(np.concatenate([s for s, t in zip(sets, y, strict=True) if t > 0]), return_counts=True)
+    hits1 = np.zeros(len(keys))
+    hits1[np.searchsorted(keys, toxic_keys)] = toxic_hits
+    hits0 = total - hits1
     lift = np.log((hits1 + 0.1) / (n1 + 0.2)) - np.log((hits0 + 0.1) / (n0 + 0.2))
     spread = np.sqrt(1 / (hits1 + 0.3) + 1 / (hits0 + 0.3))
     z = np.where(hits1 + hits0 >= 4, np.abs(lift) / spread, 0)
@@ -138,11 +138,8 @@ def train(sets: list[np.ndarray], y: np.ndarray, sizes: dict[int, int], terms: l
 
     def entries(of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(row, column) of every chosen feature that the sets hold."""
-        both = np.concatenate([np.zeros(0, np.uint32), *of])
-        row = np.repeat(np.arange(len(of)), [len(s) for s in of])
-        at = np.minimum(np.searchsorted(kept, both), max(0, len(kept) - 1))
-        hit = kept[at] == both if len(kept) else np.zeros(len(both), dtype=bool)
-        return row[hit], at[hit]
+        found = [np.flatnonzero(np.isin(kept, s, assume_unique=True)) for s in of]
+        return np.repeat(np.arange(len(of)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found])
 
     row, col = entries(sets)
     pairs = [(i, s) for i, f in enumerate(sets) for s in swaps(f, terms)] if len(kept) else []
