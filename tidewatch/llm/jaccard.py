@@ -4,7 +4,8 @@ A document is the set of its distinct k-word shingles; equal sets are one class,
 shingles are ordered from rare to common by a frequency sketch over the whole corpus. If two sets overlap in at least
 o shingles, their l-prefixes (the first |s| - o + l) share at least l shingles, for any l. Each class picks the l that the
 sketch says is cheapest: a longer prefix posts more shingles but asks for more matches before a pair is
-verified. A pair uses the smaller l of its two classes; each posting carries the least l whose prefix it is in.
+verified. A pair uses the smaller l of its two classes, and the prefixes that its own needed overlap, num/(num+den) of both sizes,
+leaves: shorter ones than either class had to post for its smallest partners. Postings carry their position for that.
 
 Only which documents are connected is asked for, so a pair inside a known component is of no use. Shingles posted by a
 single class are dropped at once. On the rest, a few linear rounds come first: every class (then every component) is
@@ -110,8 +111,8 @@ def _sketch(facts: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix(s: np.ndarray, frequency: np.ndarray, load: float, num: int = NUM, den: int = DEN, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray, int]:
-    """(positions of the chosen prefix in s, level of each, chosen l) of a set of hashes s with sketch counts `frequency`.
+def prefix(s: np.ndarray, frequency: np.ndarray, load: float, num: int = NUM, den: int = DEN, levels: int = LEVELS) -> tuple[np.ndarray, int]:
+    """(members of the chosen prefix as indices of s, in order; chosen l) of a set of hashes s with sketch counts `frequency`.
 
     The cost of l is the postings that its prefix meets, plus a verification (as long as the set) for each of the
     candidates, of which every l postings make at most one."""
@@ -124,11 +125,10 @@ def prefix(s: np.ndarray, frequency: np.ndarray, load: float, num: int = NUM, de
     ends = n - least + np.arange(1, most + 1)
     cost = met[ends - 1] * (1 + n / np.arange(1, most + 1))
     level = int(np.argmin(cost)) + 1
-    order = order[: n - least + level]
-    return order, np.maximum(1, np.arange(len(order)) - (n - least) + 1), level
+    return order[: n - least + level], level
 
 
-POSTINGS = "shingle bigint, salt int, cls bigint, n bigint, level int, ell int"
+POSTINGS = "shingle bigint, salt int, cls bigint, n bigint, pos int, ell int"
 
 
 def _postings(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int, salt_rows: int) -> DataFrame:
@@ -147,12 +147,12 @@ def _postings(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int, s
                     if b - a < smallest or c in seen:
                         continue
                     seen.add(c)
-                    at, level, ell = prefix(s[a:b], count[a:b], load, num, den)
+                    at, ell = prefix(s[a:b], count[a:b], load, num, den)
                     f = count[a:b][at]
                     salts = 1 + f.astype(np.int64) // salt_rows
-                    out.append((s[a:b][at].view(np.int64), np.where(salts > 1, 1 + np.int64(c) % salts, 0).astype(np.int32), np.full(len(at), c), np.full(len(at), b - a), level.astype(np.int32), np.full(len(at), ell, np.int32)))
+                    out.append((s[a:b][at].view(np.int64), np.where(salts > 1, 1 + np.int64(c) % salts, 0).astype(np.int32), np.full(len(at), c), np.full(len(at), b - a), np.arange(len(at), dtype=np.int32), np.full(len(at), ell, np.int32)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["shingle", "salt", "cls", "n", "level", "ell"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["shingle", "salt", "cls", "n", "pos", "ell"])
 
     return docs.mapInArrow(run, POSTINGS)
 
@@ -161,7 +161,7 @@ def _shared(postings: DataFrame) -> DataFrame:
     """The postings of shingles that more than one class has posted; salted shingles stay in any case."""
     group = W.partitionBy("shingle", "salt")
     marked = postings.select("*", F.min("cls").over(group).alias("lo"), F.max("cls").over(group).alias("hi"))
-    return marked.where("lo <> hi OR salt > 0").select("shingle", "cls", "n", "level", "ell").distinct()
+    return marked.where("lo <> hi OR salt > 0").select("shingle", "cls", "n", "pos", "ell").distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -226,7 +226,7 @@ def _hub_pairs(shared: DataFrame, turn: int, num: int, den: int) -> DataFrame:
 
 
 def _labelled(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    return shared.join(roots, F.col("cls") == F.col("node"), "left").select("shingle", "cls", "n", "level", "ell", F.coalesce("root", "cls").alias("comp"))
+    return shared.join(roots, F.col("cls") == F.col("node"), "left").select("shingle", "cls", "n", "pos", "ell", F.coalesce("root", "cls").alias("comp"))
 
 
 def _across(labelled: DataFrame) -> DataFrame:
@@ -238,10 +238,13 @@ def _across(labelled: DataFrame) -> DataFrame:
 def _match_pairs(across: DataFrame, num: int, den: int) -> DataFrame:
     """The multi-match join: pairs of classes in different components that share enough of their common prefixes."""
     # shingles of one passage are posted by the same classes: one of them stands for all, with their number as weight
-    kind = across.groupBy("shingle").agg(F.bit_xor(F.xxhash64("cls", "level")).alias("x"), F.bit_xor(F.xxhash64("level", "cls", F.lit(7))).alias("y"), F.count("*").alias("f"))
+    kind = across.groupBy("shingle").agg(F.bit_xor(F.xxhash64("cls", "pos")).alias("x"), F.bit_xor(F.xxhash64("pos", "cls", F.lit(7))).alias("y"), F.count("*").alias("f"))
     across = across.join(kind.groupBy("x", "y", "f").agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight")), "shingle")
-    one, two = across.select("shingle", "weight", *[F.col(c).alias(f"{c}_1") for c in ("cls", "n", "level", "ell", "comp")]), across.select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("cls", "n", "level", "ell", "comp")])
-    met = one.join(two, "shingle").where((F.col("cls_1") < F.col("cls_2")) & (F.col("comp_1") != F.col("comp_2")) & _fits("n_1", "n_2", num, den) & (F.greatest("level_1", "level_2") <= F.least("ell_1", "ell_2")))
+    one, two = across.select("shingle", "weight", *[F.col(c).alias(f"{c}_1") for c in ("cls", "n", "pos", "ell", "comp")]), across.select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("cls", "n", "pos", "ell", "comp")])
+    # the overlap that this pair needs; it is at least what either class asked for, so the prefixes in hand are long enough
+    need = F.expr(f"({num} * (n_1 + n_2) + {num + den - 1}) DIV {num + den}")
+    ell = F.least("ell_1", "ell_2")
+    met = one.join(two, "shingle").where((F.col("cls_1") < F.col("cls_2")) & (F.col("comp_1") != F.col("comp_2")) & _fits("n_1", "n_2", num, den) & (F.col("pos_1") < F.col("n_1") - need + ell) & (F.col("pos_2") < F.col("n_2") - need + ell))
     counted = met.groupBy(F.col("cls_1").alias("a"), F.col("cls_2").alias("b")).agg(F.sum("weight").alias("c"), F.min(F.least("ell_1", "ell_2")).alias("ell"))
     return counted.where("c >= ell").select("a", "b")
 
