@@ -65,6 +65,15 @@ def test_every_licence_rule_passes_its_gate():
         assert 0 < score <= 1 and re.compile(rx) and any(g in word or g in rx.replace("\\", "").replace("[- ]", "-").replace("[ce]", "c").replace("[cs]", "c") for g in GATE), (label, rx)
 
 
+def test_wrapped_notices_pass_the_gate(spark):
+    texts = ["unencumbered software released into the public domain", "All rights reserved.", "Creative Commons Attribution 4.0", "this program is free software; you can redistribute it and/or modify it", "distributed in the hope that it will be useful, but without any warranty", "Permission is hereby granted, free of charge, to any person obtaining a copy"]
+    wide = [t.replace(" ", gap) for t in texts for gap in ("\n", "  ", "\r\n\t")]
+    df = spark.createDataFrame(list(enumerate(texts + wide)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(df).collect()}
+    assert all(got[i][0] and got[i][1] > 0 for i in range(len(texts)))
+    assert [got[len(texts) + i] for i in range(len(wide))] == [got[i // 3] for i in range(len(wide))]
+
+
 @pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 5000, 100001])
 def test_media_round_trip(n):
     raw = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()

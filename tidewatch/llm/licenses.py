@@ -1,7 +1,7 @@
 """Licence scan in DataFrame functions only: one narrow pass over the text, no Python, no shuffle.
 
-A single gate pattern decides which texts can hold anything; the rest only get their words counted.
-A gated text is lower-cased (A-Z alone) and, for the rules, its white space made single blanks; its rules are picked by their gate words, each picked rule's
+Gate words, looked for once white space is made single blanks, decide which texts can hold anything; the rest only get their words counted.
+A gated text is lower-cased (A-Z alone), its white space too made single blanks; its rules are picked by their gate words, each picked rule's
 places are found, and an ordered sweep drops every detection that lies inside one of at least its rank.
 
 Defined cases: a null text is empty; an empty text has no words, places or labels and score 0; repeated
@@ -21,6 +21,8 @@ from tidewatch.llm.license_rules import GATE, rules
 
 #: What stands between words: ASCII but letters and digits. Splitting on it is far cheaper than extracting its complement.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: White space but a single blank.
+WRAPS = r"[\t-\r]\s*| \s+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The base phrases and their labels.
@@ -79,11 +81,13 @@ def _sweep(found: Column) -> Column:
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
     slim = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gate = reduce(or_, [F.contains(F.lower("text"), F.lit(word)) for word in GATE])
-    parts = slim.select("doc_id", F.split("text", BREAK, -1).alias("parts"), F.when(gate, F.translate("text", UPPER, SMALL)).alias("low"))
+    flat = slim.select("*", F.regexp_replace(F.lower("text"), WRAPS, " ").alias("flat"))  # a column of its own, computed once for all gate words
+    gate = reduce(or_, [F.contains("flat", F.lit(word)) for word in GATE])
+    low = F.regexp_replace(F.translate("text", UPPER, SMALL), WRAPS, " ")
+    parts = flat.select("doc_id", F.split("text", BREAK, -1).alias("parts"), F.when(gate, low).alias("low"))
     edges = sum(F.when(F.get("parts", i) == "", 1).otherwise(0) for i in (F.lit(0), F.size("parts") - 1))
     counted = parts.select("doc_id", F.greatest(F.size("parts") - edges, F.lit(0)).cast("bigint").alias("n_words"), "low")
-    words = counted.select("*", F.array_remove(F.split("low", BREAK, -1), "").alias("words"), F.when(F.col("low").isNotNull(), _sweep(detections(F.regexp_replace("low", r"\s+", " ")))).alias("swept"))
+    words = counted.select("*", F.array_remove(F.split("low", BREAK, -1), "").alias("words"), F.when(F.col("low").isNotNull(), _sweep(detections(F.col("low")))).alias("swept"))
 
     def at(phrase: tuple[str, ...], i: Column) -> Column:
         hit = F.lit(True)
