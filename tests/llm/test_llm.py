@@ -272,6 +272,21 @@ def test_leaks_are_caught_and_clean_documents_left(spark, awkward, empty):
     assert sum(len(i.items) for i in decontam.indexes(items, block_bytes=40)) == 2
 
 
+def test_long_items_are_retrieved_whole(spark):
+    rng = np.random.default_rng(10)
+    vocab, lengths = np.array([f"v{i}" for i in range(5000)]), [20, 256, 257, 512, 513, 600, 900, 1000, 1200, 2000, 5000]
+    zipf = 1 / np.arange(1, 5001)
+    texts = {n: " ".join(rng.choice(vocab, n - 6, p=zipf / zipf.sum())) + ". The answer is so and so" for n in lengths}
+    noise = [f"noise{i}" for i in range(900)]
+    docs = [(n, " ".join(noise[:at]) + " " + t.upper() + " " + " ".join(noise)) for at, (n, t) in zip(range(0, 900, 75), texts.items())]
+    docs.append((-1, " ".join(noise)))
+    items = spark.createDataFrame(list(texts.items()), "item_id bigint, text string")
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items).where("score > 0.999 AND question_share = 1 AND answer_share = 1")
+    assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(n, n) for n in lengths}
+    assert [decontam.length_class(n) for n in (1, 256, 257, 512, 513, 1024, 1025)] == [0, 0, 1, 1, 2, 2, 3]
+    assert sum(len(i.items) for i in decontam.indexes(items)) == len(lengths) and len(list(decontam.index_blocks(items))) == 1
+
+
 def brute_components(data):
     sets = {}
     for i, t in data:

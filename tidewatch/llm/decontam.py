@@ -11,7 +11,10 @@ A retrieved pair counts as a leak once the words agree in order: of the k-word s
 its answer at least the given shares stand in the document. The answer is the item's last sentence, or the last
 half of an item of one sentence.
 
-The index of a block of items is broadcast. Its size is checked: items are cut into as many blocks by the hash of
+A window is twice as long as the longest item of its index and moves by half of its length, so every item lies whole in
+one, however long it is. Items of up to `SHORT` words share an index; longer ones are indexed by length, one index for each doubling.
+
+The indexes of a block of items are broadcast. Its size is checked: items are cut into as many blocks by the hash of
 their id as keep each below `BLOCK_BYTES` of text, and the documents are searched once per block. Document
 frequencies and the mean length are counted over all items.
 
@@ -35,7 +38,7 @@ from tidewatch.llm._vec import NONWORD, Words, buffers, pieces, shingles
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION_SHARE, ANSWER_SHARE, SHINGLE = 0.6, 0.5, 0.5, 3
-BLOCK_BYTES, POSTING_BLOCK, LONGEST_WINDOW = 16 << 20, 8, 256
+BLOCK_BYTES, POSTING_BLOCK, SHORT = 16 << 20, 8, 256
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -164,7 +167,7 @@ def build(rows: list[tuple[int, str]], frequency: dict[int, int], n_items: int,
         np.array([i for i, _ in rows], dtype=np.int64), terms, first,
         np.array([i for x in lists for i, _ in x], dtype=np.int64), np.array([s for x in lists for _, s in x]),
         np.array([max(s for _, s in x) for x in lists]),
-        [_hashes(q, k) for q, _ in parts], [_hashes(a, k) for _, a in parts], 2 * min(longest, LONGEST_WINDOW),
+        [_hashes(q, k) for q, _ in parts], [_hashes(a, k) for _, a in parts], 2 * longest,
     )
 
 
@@ -178,8 +181,19 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms).view(np.int64))], names=["term"])
 
 
+def length_class(words: int) -> int:
+    """0 for items of up to SHORT words, 1 for up to twice as many, and so on."""
+    return max(0, (words - 1) // SHORT).bit_length()
+
+
 def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """One index per block of items, so many blocks that none holds much over `block_bytes` of text. benchmark: item_id, text."""
+    """The indexes of all blocks, one by one."""
+    for block in index_blocks(benchmark, block_bytes):
+        yield from block
+
+
+def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Index]]:
+    """The indexes of each block of items, by length; so many blocks that none holds much over `block_bytes` of text. benchmark: item_id, text."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     blocks = -(-int(size["b"] or 0) // block_bytes)
@@ -192,9 +206,12 @@ def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[In
         rows = sorted((r["item_id"], r["text"]) for r in block.collect())
         known = block.select("text").mapInArrow(_term_rows, "term bigint").distinct()
         frequency = {r["term"] & (1 << 64) - 1: r["df"] for r in known.join(counts, "term").collect()}
-        rows = [r for r in rows if len(Words(*buffers(pa.array([r[1]])), NONWORD))]
-        if rows:
-            yield build(rows, frequency, int(size["n"]), float(mean_length))
+        classes: dict[int, list[tuple[int, str]]] = {}
+        for r in rows:
+            if n := len(Words(*buffers(pa.array([r[1]])), NONWORD).hashes()):
+                classes.setdefault(length_class(n), []).append(r)
+        if classes:
+            yield [build(classes[c], frequency, int(size["n"]), float(mean_length)) for c in sorted(classes)]
 
 
 PAIRS = "doc_id bigint, item_id bigint, score double, question_share double, answer_share double"
@@ -204,7 +221,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
     """Every (document, item) pair that is retrieved and verified. docs: doc_id, text; benchmark: item_id, text."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def searched(index: Index) -> DataFrame:
+    def searched(block: list[Index]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows: list[tuple] = []
@@ -213,11 +230,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
                     h, ids = w.hashes(), batch.column(0).slice(first_row, to - first_row).to_pylist()
                     for i in range(to - first_row):
                         own = h[w.first[i] : w.first[i + 1]]
-                        found = index.candidates(own, threshold)
+                        found = [(index, item, score) for index in block for item, score in sorted(index.candidates(own, threshold).items())]
                         if not found:
                             continue
                         whole = np.unique(shingles(own, np.array([0, len(own)]), k)[0])
-                        for item, score in sorted(found.items()):
+                        for index, item, score in found:
                             q, a = (float(np.isin(x, whole, assume_unique=True).mean()) if len(x) else 1.0 for x in (index.question[item], index.answer[item]))
                             if q >= question and a >= answer:
                                 rows.append((ids[i], int(index.items[item]), min(1.0, score), q, a))
@@ -226,8 +243,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
         return slim.mapInArrow(run, PAIRS)
 
     out = docs.sparkSession.createDataFrame([], PAIRS)
-    for index in indexes(benchmark):
-        out = out.union(searched(index))
+    for block in index_blocks(benchmark):
+        out = out.union(searched(block))
     return out
 
 
