@@ -51,6 +51,41 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return both.groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("component"), F.count("*").alias("size")).where("size > 1").select("node", "component")
 
 
+def coloured_components(edges: DataFrame) -> DataFrame:
+    """What strong_components gives, without closures: for large cores, whose pairs are too many.
+
+    Every node takes the smallest node that reaches it as its colour; those of a colour that reach the node it is named
+    after are that node's component. They are taken out, and what is left starts anew. A step holds one row a node or edge."""
+    core = stored(edges.select("src", "dst").where("src <> dst").distinct(), "core")
+    found = core.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    while True:
+        size = core.count()
+        while size:
+            left = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            core = stored(left, "core")
+            before, size = size, core.count()
+            if size == before:
+                break
+        if not size:
+            return found
+        colour = stored(core.select(F.col("src").alias("node"), F.col("src").alias("colour"), F.lit(True).alias("new")).distinct(), "colour")
+        while not (front := colour.where("new")).isEmpty():
+            told = front.join(core, front.node == core.src).select(F.col("dst").alias("node"), "colour", F.lit(None).cast(colour.schema["node"].dataType).alias("old"))
+            least = colour.select("node", "colour", F.col("colour").alias("old")).union(told).groupBy("node").agg(F.min("colour").alias("colour"), F.min("old").alias("old"))
+            colour = stored(least.select("node", "colour", (F.col("colour") < F.col("old")).alias("new")), "colour")
+        of = colour.select("node", "colour")
+        inner = stored(core.join(of.select(F.col("node").alias("src"), "colour"), "src").join(of.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other").select("src", "dst"), "inner")
+        member = front = stored(of.where("node = colour").select("node", F.col("colour").alias("component")), "member")
+        while not front.isEmpty():
+            new = front.join(inner, front.node == inner.dst).select(F.col("src").alias("node"), "component").distinct().join(member, "node", "left_anti")
+            front = stored(new, "member")
+            member = member.union(front)
+        cycles = member.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").select("component")
+        found = found.union(member.join(cycles, "component", "left_semi").select("node", "component"))
+        gone = member.select("node")
+        core = stored(core.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "core")
+
+
 def new_cycles(after: DataFrame, before: DataFrame) -> DataFrame:
     """(component, members): cycles of the after side that no cycle of the before side contains."""
     a = strong_components(after)
@@ -65,9 +100,9 @@ def closing_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     return edges.join(c.select(F.col("node").alias("src"), F.col("component").alias("ca")), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("cb")), "dst").where("ca = cb").select("src", "dst", "refs", F.col("ca").alias("component"))
 
 
-def call_cycles(edges: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(component, members, judged): cycles that hold a judged routine."""
-    c = strong_components(edges)
+def call_cycles(edges: DataFrame, subjects: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(component, members, judged): cycles that hold a judged routine; components are those of the edges, if known."""
+    c = strong_components(edges) if components is None else components
     judged = c.join(subjects.select("node").distinct().withColumn("j", F.lit(1)), "node", "left")
     return judged.groupBy("component").agg(F.count("*").alias("members"), F.count("j").alias("judged")).where("judged > 0")
 

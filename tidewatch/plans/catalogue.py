@@ -44,6 +44,9 @@ VIEWS = {
     "ne": "ne AS (SELECT src, dst FROM ea EXCEPT SELECT src, dst FROM eb)",
     "am": "am AS (SELECT r_name AS node, n_name AS path, n_nationkey AS ordinal FROM nation JOIN region ON n_regionkey = r_regionkey)",
     "ce": """ce AS (SELECT src, dst, count(*) AS refs FROM (SELECT l_partkey % 200 AS src, lead(l_partkey % 200) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5)""",
+    "cea": """cea AS (SELECT src, dst, count(*) AS refs FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL GROUP BY 1, 2)""",
+    "rea": "rea AS (SELECT DISTINCT src AS seed, src AS node FROM cea UNION SELECT rea.seed, cea.dst FROM rea JOIN cea ON cea.src = rea.node)",
+    "sca": "sca AS (SELECT a.seed AS node, min(a.node) AS component FROM rea a JOIN rea b ON a.seed = b.node AND a.node = b.seed GROUP BY 1 HAVING count(*) > 1)",
     "cn": "cn AS (SELECT p_partkey % 200 AS node, CASE WHEN (p_partkey % 200) % 7 <> 0 THEN CAST(sum(p_size) AS DOUBLE) END AS complexity FROM part GROUP BY 1)",
     "ch": "ch AS (SELECT * FROM (VALUES ('M', 'NATION_3', NULL), ('D', 'NATION_7', NULL), ('R', 'NATION_2', 'NATION_9')) t(status, path, old_path))",
     "gone": "gone AS (SELECT path FROM ch WHERE status = 'D' UNION SELECT old_path FROM ch WHERE status = 'R')",
@@ -403,6 +406,23 @@ def closing_edges(spark, sf_dir):
     return graph.closing_edges(edges, graph.strong_components(edges))
 
 
+@query("SELECT node, component FROM sca", "cea", "rea", "sca", recursive=True)
+def scc_all(spark, sf_dir):
+    return graph.coloured_components(P.all_call_edges(spark, sf_dir))
+
+
+@query("SELECT component, count(*) AS members, count(p_partkey) AS judged FROM sca LEFT JOIN part ON p_partkey = node GROUP BY 1 HAVING count(p_partkey) > 0", "cea", "rea", "sca", recursive=True)
+def call_cycle_all(spark, sf_dir):
+    edges = P.all_call_edges(spark, sf_dir)
+    return graph.call_cycles(edges, P.all_call_nodes(spark, sf_dir), graph.coloured_components(edges))
+
+
+@query("SELECT src, dst, refs, a.component FROM cea JOIN sca a ON a.node = src JOIN sca b ON b.node = dst WHERE a.component = b.component", "cea", "rea", "sca", recursive=True)
+def closing_edges_all(spark, sf_dir):
+    edges = P.all_call_edges(spark, sf_dir)
+    return graph.closing_edges(edges, graph.coloured_components(edges))
+
+
 _CYCLES = """ra_ AS (SELECT src AS seed, src AS node FROM ea UNION SELECT r.seed, e.dst FROM ra_ r JOIN ea e ON e.src = r.node),
     rb_ AS (SELECT src AS seed, src AS node FROM eb UNION SELECT r.seed, e.dst FROM rb_ r JOIN eb e ON e.src = r.node),
     ca_ AS (SELECT x.seed AS node, min(x.node) AS component FROM ra_ x JOIN ra_ y ON x.seed = y.node AND x.node = y.seed GROUP BY 1 HAVING count(*) > 1),
@@ -501,6 +521,20 @@ def pass_through(spark, sf_dir):
     return dead.pass_through(facts).select("key", "forwards_to")
 
 
+_CFA = _CF.replace("FROM ce ", "FROM cea ")
+
+
+@query(_CFA + "SELECT * FROM cf", "cea")
+def caller_callee_counts_all(spark, sf_dir):
+    return dead.call_facts(P.all_call_edges(spark, sf_dir))
+
+
+@query(_CFA + "SELECT key, forwards_to FROM cf WHERE callers = 1 AND callees = 1", "cea")
+def pass_through_all(spark, sf_dir):
+    facts = dead.call_facts(P.all_call_edges(spark, sf_dir)).select("*", F.col("key").cast("string").alias("longname"), F.lit(False).alias("overrides"), F.lit(1).alias("statements"))
+    return dead.pass_through(facts).select("key", "forwards_to")
+
+
 @query("SELECT p_brand AS name, count(DISTINCT p_type) AS classes FROM part GROUP BY 1")
 def method_declarations(spark, sf_dir):
     return dead.method_declarations(P.read(spark, sf_dir, "part").select(F.col("p_type").alias("class"), F.col("p_brand").alias("method")))

@@ -81,6 +81,18 @@ def call_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("node", F.when(F.col("node") % 7 != 0, F.col("c")).alias("complexity"))
 
 
+def all_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, refs between all parts that stand next to each other in an order, however seldom."""
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    steps = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    return steps.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("refs"))
+
+
+def all_call_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, complexity of every part; keys divisible by 7 are unmeasured."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_size").cast("double")).alias("complexity"))
+
+
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, value, path."""
     return read(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("props").alias("value"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"))
