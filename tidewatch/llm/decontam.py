@@ -8,8 +8,8 @@ stay below the threshold is dropped before any list is opened; that is the same
 whole index, and it is computed for all windows of a batch at once from running sums.
 
 A retrieved pair counts as a leak once the words agree in order: of the k-word shingles of the item's question and of
-its answer at least the given shares stand in the document. The answer is the item's last sentence, or the last
-half of an item of one sentence.
+its answer at least the given shares stand in the document; a part of fewer than k words is one shingle of all its words.
+The answer is the item's last sentence, or the last half of an item of one sentence.
 
 A window is twice as long as the longest item of its index and moves by half of its length, so every item lies whole in
 one, however long it is. Items of up to `SHORT` words share an index; longer ones are indexed by length, one index for each doubling.
@@ -61,8 +61,8 @@ class Index:
     posting: np.ndarray  # item numbers, rising in every list
     weight: np.ndarray
     most: np.ndarray  # largest weight of every list
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
+    question: list[Part]
+    answer: list[Part]
     window: int
 
     def __post_init__(self) -> None:
@@ -141,9 +141,20 @@ class Index:
         return best
 
 
-def _hashes(text: str, k: int) -> np.ndarray:
+Part = tuple[int, np.ndarray]  # words of a shingle, hashes of the distinct shingles
+
+
+def _part(text: str, k: int) -> Part:
+    """The shingles of a question or an answer, of k words or of all it has, whichever is less."""
     w = Words(*buffers(pa.array([text])), NONWORD)
-    return np.unique(shingles(w.hashes(), w.first, k)[0])
+    size = min(k, len(w))
+    return (size, np.unique(shingles(w.hashes(), w.first, size)[0])) if size else (0, np.zeros(0, np.uint64))
+
+
+def share(part: Part, held: dict[int, np.ndarray]) -> float:
+    """Which share of a part's shingles a document holds, of which `held` has the shingles by length; 1 for a part without a word."""
+    size, wanted = part
+    return float(np.isin(wanted, held[size], assume_unique=True).mean()) if size else 1.0
 
 
 def build(rows: list[tuple[int, str]], frequency: dict[int, int], n_items: int, mean_length: float, k: int = SHINGLE) -> Index:
@@ -167,7 +178,7 @@ def build(rows: list[tuple[int, str]], frequency: dict[int, int], n_items: int,
         np.array([i for i, _ in rows], dtype=np.int64), terms, first,
         np.array([i for x in lists for i, _ in x], dtype=np.int64), np.array([s for x in lists for _, s in x]),
         np.array([max(s for _, s in x) for x in lists]),
-        [_hashes(q, k) for q, _ in parts], [_hashes(a, k) for _, a in parts], 2 * longest,
+        [_part(q, k) for q, _ in parts], [_part(a, k) for _, a in parts], 2 * longest,
     )
 
 
@@ -233,9 +244,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
                         found = [(index, item, score) for index in block for item, score in sorted(index.candidates(own, threshold).items())]
                         if not found:
                             continue
-                        whole = np.unique(shingles(own, np.array([0, len(own)]), k)[0])
+                        held = {n: np.unique(shingles(own, np.array([0, len(own)]), n)[0]) for n in {size for index, item, _ in found for size, _ in (index.question[item], index.answer[item]) if size}}
                         for index, item, score in found:
-                            q, a = (float(np.isin(x, whole, assume_unique=True).mean()) if len(x) else 1.0 for x in (index.question[item], index.answer[item]))
+                            q, a = share(index.question[item], held), share(index.answer[item], held)
                             if q >= question and a >= answer:
                                 rows.append((ids[i], int(index.items[item]), min(1.0, score), q, a))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())], names=["doc_id", "item_id", "score", "question_share", "answer_share"])
