@@ -7,19 +7,25 @@ sketch says is cheapest: a longer prefix posts more shingles but asks for more m
 verified. A pair uses the smaller l of its two classes, and the prefixes that its own needed overlap, num/(num+den) of both sizes,
 leaves: shorter ones than either class had to post for its smallest partners. Postings carry their position for that.
 
-Only which documents are connected is asked for, so a pair inside a known component is of no use. Shingles posted by a
-single class are dropped at once. On the rest, a few linear rounds come first: every class (then every component) is
-verified against one member of the component that it shares most posted shingles with, and what links is merged. Groups
-of copies collapse there without their pairs being listed. The full multi-match join then lists the pairs that
-still lie in different components, and verifies all of them. No pair is dropped for any other reason than the filters, which
-lose nothing.
+Texts are read once. That pass stores every class's sorted shingle hashes; prefixes, candidates and verification read
+those. Postings of a shingle that a single class has posted go at once, then those of classes that are left with fewer
+postings than any partner asks for.
+
+Only which documents are connected is asked for, so a pair inside a known component is of no use. Linear rounds come first:
+of the components that post a shingle, the one with the plainest member (the shingle stands earliest in its order, so it has
+the fewest rare shingles) is the shingle's hub; every other component is verified against the hub that it meets in
+most shingles, and what links is merged. A large group of near copies collapses onto its original there. Rounds go on while
+they pay. Then components are joined with components, one row per shingle and component, with bounds that no pair of
+their members can beat; only for the component pairs that stay are pairs of classes listed, counted and verified, all of them.
+No pair is dropped for any other reason than these filters, which lose nothing; no pair is verified twice.
 
 A shingle that the sketch finds in very many sets is dealt by (shingle, salt), and the joins are plain sort-merge joins that
 AQE splits, so no shingle needs to fit a task. All tables between steps lie in the shared folder.
 
 Defined cases: null text and text without a word have the empty set, which links with nothing, not even another; a
 text of fewer than k words is one shingle; repeated rows are in one class; a component's id is its smallest doc_id, and
-null if all its ids are null; other columns are ignored. Sets are compared by 64-bit hashes of their shingles.
+null if all its ids are null; other columns are ignored. Sets are compared by 64-bit hashes of their shingles. Classes are told
+apart by 128 bits: a class's 64-bit name that two sets share is given up for the other half.
 """
 
 from __future__ import annotations
@@ -29,18 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.llm._io import kept
-from tidewatch.llm._vec import SPACE, Words, mix, pieces, shingles
+from tidewatch.llm._vec import SPACE, Words, buffers, mix, pieces, shingles
 from tidewatch.llm.components import components
 
 K, NUM, DEN = 5, 80, 100
 LEVELS = 4
-CELL_BITS, BLOCK_BITS = 21, 14
-SALT_ROWS, HUB_TURNS = 20_000, 5
+CELL_BITS, BLOCK_BITS, BITMAP_BITS = 21, 14, 26
+SALT_ROWS, PAYS = 20_000, 20
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -57,58 +64,71 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np
         yield first, to, s, np.searchsorted(doc, np.arange(to - first + 1))
 
 
-def signatures(s: np.ndarray, border: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, border: np.ndarray, seed: int = 0xA24BAED4963EE407) -> np.ndarray:
     """A signed 64-bit signature of every set, whatever the order of its members; 0 for the empty set."""
     n = np.diff(border)
     total = np.zeros(len(s) + 1, dtype=np.uint64)
-    np.cumsum(mix(s ^ np.uint64(0xA24BAED4963EE407)), dtype=np.uint64, out=total[1:])
+    np.cumsum(mix(s ^ np.uint64(seed)), dtype=np.uint64, out=total[1:])
     sig = mix((total[border[1:]] - total[border[:-1]]) + n.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     return np.where(n > 0, np.where(sig == 0, np.uint64(1), sig), np.uint64(0)).view(np.int64)
 
 
-FACTS = "doc_id bigint, cls bigint, n bigint, block int, cells binary"
+def _packed(s: np.ndarray, border: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """The sets as binary values; null where `keep` is false."""
+    size = np.where(keep, np.diff(border), 0)
+    data = s[np.repeat(keep, np.diff(border))].astype("<u8")
+    offsets = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(keep, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(keep), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+FACTS = "doc_id bigint, cls bigint, cls2 bigint, n bigint, members binary, part int, block int, cells binary"
 
 
 def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """Per row its class and set size; per task its part of the frequency sketch, over the classes it met."""
-    names = ["doc_id", "cls", "n", "block", "cells"]
+    """Per row its class and set size, with the set for the first row of a class in a task; per task its part of the
+    frequency sketch, over the classes it met."""
+    names = [f.split()[0] for f in FACTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, dtype=np.int64)
-        seen: set[int] = set()
+        part = TaskContext.get().partitionId()
+        seen: set[tuple[int, int]] = {(0, 0)}
         for batch in batches:
             for first, to, s, border in sets_of(batch.column(1), k):
-                sig, rows = signatures(s, border), to - first
-                fresh = [i for i, c in enumerate(sig.tolist()) if not (c in seen or seen.add(c))]
+                sig, sig2, rows = signatures(s, border), signatures(s, border, 0x2545F4914F6CDD1D), to - first
                 keep = np.zeros(rows, dtype=bool)
-                keep[fresh] = True
+                keep[[i for i, c in enumerate(zip(sig.tolist(), sig2.tolist(), strict=True)) if not (c in seen or seen.add(c))]] = True
                 cell, times = np.unique(s[np.repeat(keep, np.diff(border))] >> np.uint64(64 - CELL_BITS), return_counts=True)
                 cells[cell.astype(np.int64)] += times
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(sig), pa.array(np.diff(border).astype(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+                none = pa.nulls(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(sig), pa.array(sig2), pa.array(np.diff(border).astype(np.int64)), _packed(s, border, keep), none, none, pa.nulls(rows, pa.binary())], names=names)
         step = 1 << BLOCK_BITS
-        parts = [(b, zlib.compress(x.astype("<i4").tobytes(), 1)) for b in range(len(cells) // step) if (x := cells[b * step : (b + 1) * step]).any()]
-        none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([b for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
+        blocks = [(b, zlib.compress(x.astype("<i8").tobytes(), 1)) for b in range(len(cells) // step) if (x := cells[b * step : (b + 1) * step]).any()]
+        none = pa.nulls(len(blocks), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(blocks), pa.binary()), pa.array([part] * len(blocks), pa.int32()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=names)
 
     return docs.mapInArrow(run, FACTS)
 
 
 def _sketch(facts: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle of each cell, summed over all tasks; a table of fixed size."""
+    """How many sets hold a shingle of each cell, summed over all tasks in two levels; a table of fixed size."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[b] = total.get(b, 0) + np.frombuffer(zlib.decompress(x.as_py()), "<i4").astype(np.int64)
+                total[b] = total.get(b, 0) + np.frombuffer(zlib.decompress(x.as_py()), "<i8")
         for b, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype("<i4").tobytes()], pa.binary())], names=["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(x.astype("<i8").tobytes(), 1)], pa.binary())], names=["block", "cells"])
 
-    out = np.zeros(1 << CELL_BITS, dtype=np.int32)
-    summed = facts.where("block IS NOT NULL").select("block", "cells").repartition(1 << (CELL_BITS - BLOCK_BITS - 2), "block").mapInArrow(add, "block int, cells binary")
+    blocks = facts.where("block IS NOT NULL")
+    level = blocks.repartition("block", "part").select("block", "cells").mapInArrow(add, "block int, cells binary")
+    summed = level.repartition(1 << (CELL_BITS - BLOCK_BITS - 2), "block").mapInArrow(add, "block int, cells binary")
+    out = np.zeros(1 << CELL_BITS, dtype=np.int64)
     for r in summed.collect():
-        out[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["cells"], "<i4")
-    return out
+        out[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(zlib.decompress(r["cells"]), "<i8")
+    return out.astype(np.int32) if out.max(initial=0) < 2**31 else out
 
 
 def prefix(s: np.ndarray, frequency: np.ndarray, load: float, num: int = NUM, den: int = DEN, levels: int = LEVELS) -> tuple[np.ndarray, int]:
@@ -131,143 +151,173 @@ def prefix(s: np.ndarray, frequency: np.ndarray, load: float, num: int = NUM, de
 POSTINGS = "shingle bigint, salt int, cls bigint, n bigint, pos int, ell int"
 
 
-def _postings(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int, salt_rows: int) -> DataFrame:
+def smallest_set(num: int, den: int) -> int:
+    """The smallest size of a set that can link with another than its equal."""
+    return next(n for n in range(1, den + num + 2) if n * den >= num * (n + 1))
+
+
+def _postings(classes: DataFrame, sketch: np.ndarray, num: int, den: int, salt_rows: int) -> DataFrame:
+    """The chosen prefix of every class (cls, members); a class that several tasks met is posted by each."""
     load = float(sketch.mean())
-    smallest = min(n for n in range(1, den + 2) if (n * den >= num * (n + 1)))  # smaller sets link with equal ones only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            for first, to, s, border in sets_of(batch.column(1), k):
-                sig = signatures(s, border)
-                count = sketch[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                out: list[tuple] = []
-                for i in range(to - first):
-                    a, b, c = int(border[i]), int(border[i + 1]), int(sig[i])
-                    if b - a < smallest or c in seen:
-                        continue
-                    seen.add(c)
-                    at, ell = prefix(s[a:b], count[a:b], load, num, den)
-                    f = count[a:b][at]
-                    salts = 1 + f.astype(np.int64) // salt_rows
-                    out.append((s[a:b][at].view(np.int64), np.where(salts > 1, 1 + np.int64(c) % salts, 0).astype(np.int32), np.full(len(at), c), np.full(len(at), b - a), np.arange(len(at), dtype=np.int32), np.full(len(at), ell, np.int32)))
-                if out:
+            data, off = buffers(batch.column(1))
+            cls = batch.column(0).to_numpy()
+            out: list[tuple] = []
+            held = 0
+            for i in range(len(cls)):
+                s = data[off[i] : off[i + 1]].view("<u8")
+                f = sketch[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                at, ell = prefix(s, f, load, num, den)
+                salts = 1 + f[at].astype(np.int64) // salt_rows
+                out.append((s[at].view(np.int64), np.where(salts > 1, 1 + cls[i] % salts, 0).astype(np.int32), np.full(len(at), cls[i]), np.full(len(at), len(s)), np.arange(len(at), dtype=np.int32), np.full(len(at), ell, np.int32)))
+                held += len(at)
+                if held > 50_000 or i == len(cls) - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["shingle", "salt", "cls", "n", "pos", "ell"])
+                    out, held = [], 0
 
-    return docs.mapInArrow(run, POSTINGS)
+    return classes.where(F.col("n") >= smallest_set(num, den)).select("cls", "members").mapInArrow(run, POSTINGS)
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings of shingles that more than one class has posted; salted shingles stay in any case."""
+    """The postings of shingles that more than one class has posted (salted shingles stay in any case), of classes
+    that are left with as many of them as some partner asks for."""
     group = W.partitionBy("shingle", "salt")
-    marked = postings.select("*", F.min("cls").over(group).alias("lo"), F.max("cls").over(group).alias("hi"))
-    return marked.where("lo <> hi OR salt > 0").select("shingle", "cls", "n", "pos", "ell").distinct()
+    marked = postings.select("*", F.min("cls").over(group).alias("lo"), F.max("cls").over(group).alias("hi"), F.min("ell").over(group).alias("asked"))
+    found = marked.where("lo <> hi OR salt > 0").withColumn("asked", F.when(F.col("salt") > 0, 1).otherwise(F.col("asked"))).drop("lo", "hi", "salt").distinct()
+    own = W.partitionBy("cls")
+    counted = found.select("*", F.count("*").over(own).alias("have"), F.min("asked").over(own).alias("want"))
+    return counted.where("have >= want").select("shingle", "cls", "n", "pos", "ell")
+
+
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of 2^BITMAP_BITS bits in 64-bit words, with the bit of every wanted class set; made by the executors."""
+    bit = F.pmod("cls", F.lit(1 << BITMAP_BITS))
+    words = wanted.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(cls, {1 << BITMAP_BITS}) & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, text), one text of each wanted class; every task hands on the first that it meets."""
+def _sets(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(cls, members) once for each class with a shared posting. A bitmap of fixed size keeps most others from the shuffle."""
+    wanted = shared.select("cls").distinct()
+    bitmap = zlib.compress(_bitmap(wanted).tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        bits = np.frombuffer(zlib.decompress(bitmap), np.uint64)
         for batch in batches:
-            texts = batch.column(1)
-            for first, to, s, border in sets_of(texts, k):
-                sig = signatures(s, border).tolist()
-                rows = [i for i, c in enumerate(sig) if c and not (c in seen or seen.add(c))]
-                yield pa.RecordBatch.from_arrays([pa.array([sig[i] for i in rows], pa.int64()), texts.slice(first, to - first).take(pa.array(rows, pa.int64()))], names=["cls", "text"])
+            at = batch.column(0).to_numpy() & ((1 << BITMAP_BITS) - 1)
+            yield batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
 
-    found = docs.mapInArrow(run, "cls bigint, text string").join(wanted, "cls", "left_semi")
-    nth = F.row_number().over(W.partitionBy("cls").orderBy("cls"))  # on the join's own partitioning and order
-    return found.withColumn("nth", nth).where("nth = 1").drop("nth")
+    near = classes.select("cls", "members").mapInArrow(run, "cls bigint, members binary")
+    nth = F.row_number().over(W.partitionBy("cls").orderBy("cls"))  # one of equal sets, on the join's own partitioning
+    return near.join(wanted, "cls", "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, compared in full."""
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, linked) for the pairs (a, b), compared in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(column: pa.Array) -> list[np.ndarray]:
-            return [s[border[i] : border[i + 1]] for first, to, s, border in sets_of(column, k) for i in range(to - first)]
-
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                b = part.column(1).to_numpy()
-                change = np.flatnonzero(np.diff(b, prepend=b[0] - 1 if len(b) else 0))
-                right, own = sets(part.column(3).take(pa.array(change))), np.cumsum(np.isin(np.arange(len(b)), change)) - 1
-                good = []
-                for i, x in enumerate(sets(part.column(2))):
-                    y = right[own[i]]
-                    spot = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
-                    both = int((y[spot] == x).sum()) if len(y) else 0
-                    good.append(den * both >= num * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+            (x_data, x_off), (y_data, y_off) = buffers(batch.column(2)), buffers(batch.column(3))
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                x, y = x_data[x_off[i] : x_off[i + 1]].view("<u8"), y_data[y_off[i] : y_off[i + 1]].view("<u8")
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                good[i] = den * both >= num * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], names=["a", "b", "linked"])
 
+    left = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
-def _fits(n1: str, n2: str, num: int, den: int):
-    return (F.least(n1, n2) * den) >= (F.greatest(n1, n2) * num)
 
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-def _hub_pairs(shared: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """For every component but the smallest of each shared shingle, a pair of members with the component it meets most.
 
-    shared: shingle, cls, n, comp. One row per (shingle, component) is looked at, and one pair per component is returned.
-    Which member stands for its component changes with the turn."""
-    one = shared.groupBy("shingle", "comp").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")).alias("x"))
-    hub = one.groupBy("shingle").agg(F.min(F.struct("comp", "x")).alias("h"))
-    met = one.join(hub, "shingle").where(F.col("comp") != F.col("h.comp"))
-    met = met.select("comp", F.col("h.comp").alias("hub"), F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("h.x.cls").alias("b"), F.col("h.x.n").alias("nb")).where(_fits("na", "nb", num, den))
-    pair = met.groupBy("comp", "hub").agg(F.count("*").alias("c"), F.min(F.struct("a", "b")).alias("p"))
-    best = pair.groupBy("comp").agg(F.max(F.struct("c", "p")).alias("best"))
-    return best.select("best.p.a", "best.p.b")
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    return pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _labelled(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    return shared.join(roots, F.col("cls") == F.col("node"), "left").select("shingle", "cls", "n", "pos", "ell", F.coalesce("root", "cls").alias("comp"))
+def _hub_pairs(across: DataFrame, tried: DataFrame | None, num: int, den: int) -> DataFrame:
+    """For every component but the hub of each shared shingle, a pair (a, b) of its plainest member with that of a hub: of
+    the pairs not tried yet, the one that it meets in most shingles. across: shingle, cls, n, pos, comp."""
+    one = across.groupBy("shingle", "comp").agg(F.min(F.struct("pos", "cls", "n")).alias("x"))
+    hub = one.groupBy("shingle").agg(F.min(F.struct("x", "comp")).alias("h"))
+    fits = F.least("x.n", "h.x.n") * den >= F.greatest("x.n", "h.x.n") * num
+    met = one.join(hub, "shingle").where((F.col("comp") != F.col("h.comp")) & fits)
+    pair = met.groupBy("comp", *_ordered(F.col("x.cls"), F.col("h.x.cls"))).agg(F.count("*").alias("c"))
+    best = _untried(pair, tried).groupBy("comp").agg(F.max(F.struct("c", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
 
 
-def _across(labelled: DataFrame) -> DataFrame:
-    """Only shingles that more than one component has posted."""
+def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """shared with each class's component, of shingles that more than one component has posted."""
+    labelled = shared.join(roots, F.col("cls") == F.col("node"), "left").select("shingle", "cls", "n", "pos", "ell", F.coalesce("root", "cls").alias("comp"))
     open_ = labelled.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
     return labelled.join(open_, "shingle", "left_semi")
 
 
-def _match_pairs(across: DataFrame, num: int, den: int) -> DataFrame:
-    """The multi-match join: pairs of classes in different components that share enough of their common prefixes."""
-    # shingles of one passage are posted by the same classes: one of them stands for all, with their number as weight
-    kind = across.groupBy("shingle").agg(F.bit_xor(F.xxhash64("cls", "pos")).alias("x"), F.bit_xor(F.xxhash64("pos", "cls", F.lit(7))).alias("y"), F.count("*").alias("f"))
-    across = across.join(kind.groupBy("x", "y", "f").agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight")), "shingle")
-    one, two = across.select("shingle", "weight", *[F.col(c).alias(f"{c}_1") for c in ("cls", "n", "pos", "ell", "comp")]), across.select("shingle", *[F.col(c).alias(f"{c}_2") for c in ("cls", "n", "pos", "ell", "comp")])
+def _near_components(across: DataFrame, num: int, den: int) -> DataFrame:
+    """The multi-match join on components: pairs (comp_1, comp_2) of which some members may share enough of their prefixes.
+
+    A shingle at pos counts for classes of n and m members if (num + den) * pos < den * n - num * m + (num + den) * l; the
+    best member of a component is put against the smallest of the other."""
+    both = num + den
+    facts = across.groupBy("shingle", "comp").agg(F.max(F.lit(den) * F.col("n") - F.lit(both) * F.col("pos")).alias("reach"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("ell").alias("ell"), F.max("ell").alias("top"))
+    one, two = (facts.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("comp", "reach", "low", "high", "ell", "top")]) for i in (1, 2))
+    room = F.least("top_1", "top_2") * both
+    fits = (F.col("high_1") * den >= F.col("low_2") * num) & (F.col("high_2") * den >= F.col("low_1") * num)
+    met = one.join(two, "shingle").where((F.col("comp_1") < F.col("comp_2")) & fits & (F.col("reach_1") + room > F.col("low_2") * num) & (F.col("reach_2") + room > F.col("low_1") * num))
+    return met.groupBy("comp_1", "comp_2").agg(F.count("*").alias("c"), F.min(F.least("ell_1", "ell_2")).alias("ell")).where("c >= ell").select("comp_1", "comp_2")
+
+
+def _match_pairs(across: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
+    """The multi-match join of classes, for the component pairs in `near`: pairs that share enough of their own prefixes."""
+    one, two = (across.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("cls", "n", "pos", "ell", "comp")]) for i in (1, 2))
     # the overlap that this pair needs; it is at least what either class asked for, so the prefixes in hand are long enough
     need = F.expr(f"({num} * (n_1 + n_2) + {num + den - 1}) DIV {num + den}")
     ell = F.least("ell_1", "ell_2")
-    met = one.join(two, "shingle").where((F.col("cls_1") < F.col("cls_2")) & (F.col("comp_1") != F.col("comp_2")) & _fits("n_1", "n_2", num, den) & (F.col("pos_1") < F.col("n_1") - need + ell) & (F.col("pos_2") < F.col("n_2") - need + ell))
-    counted = met.groupBy(F.col("cls_1").alias("a"), F.col("cls_2").alias("b")).agg(F.sum("weight").alias("c"), F.min(F.least("ell_1", "ell_2")).alias("ell"))
+    fits = F.least("n_1", "n_2") * den >= F.greatest("n_1", "n_2") * num
+    met = near.join(one, "comp_1").join(two, ["comp_2", "shingle"]).where(fits & (F.col("pos_1") < F.col("n_1") - need + ell) & (F.col("pos_2") < F.col("n_2") - need + ell))
+    counted = met.groupBy(*_ordered(F.col("cls_1"), F.col("cls_2"))).agg(F.count("*").alias("c"), F.min(ell).alias("ell"))
     return counted.where("c >= ell").select("a", "b")
 
 
-def similar_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, salt_rows: int = SALT_ROWS, hub_turns: int = HUB_TURNS) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, salt_rows: int = SALT_ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = kept(_facts(slim, k), "shingle-facts")
-    shared = kept(_shared(_postings(slim, _sketch(facts), k, num, den, salt_rows)), "shared-shingles")
-    texts = kept(_texts(slim, shared.select("cls").distinct(), k), "candidate-texts")
-    links, roots, across = None, None, shared.withColumn("comp", F.col("cls"))
-    for turn in range(hub_turns):
-        more = kept(_verified(_hub_pairs(across, turn, num, den), texts, k, num, den), "hub-links")
-        if links is not None and more.isEmpty():
-            break
-        links = more if links is None else links.union(more)
-        roots = components(links)
-        across = kept(_across(_labelled(shared, roots)), "open-shingles")
-    links = links.union(kept(_verified(_match_pairs(across, num, den), texts, k, num, den), "match-links"))
-    roots = components(links)
-    rows = facts.where("block IS NULL").select("doc_id", "cls", "n")
+    facts = kept(_facts(slim, k), "shingle-sets")
+    rows = _renamed(facts).where("block IS NULL")
+    classes = rows.where("members IS NOT NULL")
+    shared = kept(_shared(_postings(classes, _sketch(facts), num, den, salt_rows)), "shared-shingles")
+    sets = kept(_sets(classes, shared), "candidate-sets")
+    tried, across, pays = None, shared.withColumn("comp", F.col("cls")), True
+    while pays:
+        more = kept(_verified(_hub_pairs(across, tried, num, den), sets, num, den), "hub-pairs")
+        r = more.agg(F.count("*").alias("n"), F.count_if("linked").alias("linked")).first()
+        pays = r["linked"] > 0 and r["linked"] * PAYS >= r["n"]
+        tried = more if tried is None else tried.union(more)
+        if r["linked"]:
+            across = kept(_across(shared, components(tried.where("linked"))), "open-shingles")
+    near = kept(_near_components(across, num, den), "near-components")
+    tried = tried.union(kept(_verified(_untried(_match_pairs(across, near, num, den), tried), sets, num, den), "match-pairs"))
+    roots = components(tried.where("linked"))
     least = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     joined = least.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("comp"))
     named = joined.join(joined.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("cls", "component_id")
-    out = rows.join(named, "cls", "left")
+    out = rows.select("doc_id", "cls", "n").join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _renamed(facts: DataFrame) -> DataFrame:
+    """facts with the second half of the signature as the class's name wherever the first half names two sets. About one
+    pair in 2^64 does, so the list of such names is short: some tens at 10^10 sets."""
+    clash = facts.where("block IS NULL").groupBy("cls").agg(F.min("cls2").alias("lo"), F.max("cls2").alias("hi")).where("lo <> hi").select("cls")
+    names = [r["cls"] for r in clash.limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 names of classes clash; that can't be chance")
+    return facts.withColumn("cls", F.when(F.col("cls").isin(names), F.col("cls2")).otherwise(F.col("cls"))) if names else facts
