@@ -267,7 +267,10 @@ def test_leaks_are_caught_and_clean_documents_left(spark, awkward, empty):
     docs = spark.createDataFrame([(1, noise + " WHICH river runs under the old stone bridge in spring; the green river! " + noise), (2, noise), (3, "the old stone bridge"), (4, "one two three four five six seven eight nine ten"), (5, None), (6, "which river runs under the old stone bridge in spring")], "doc_id bigint, text string")
     pairs = decontam.leaks(docs, items)
     assert rows(pairs.select("doc_id", "item_id")) == [(1, 1), (4, 4)]
-    assert rows(decontam.without(docs, pairs).select("doc_id")) == [(2,), (3,), (5,), (6,)]
+    assert rows(decontam.without(docs, items).select("doc_id")) == [(2,), (3,), (5,), (6,)]
+    tricky = docs.withColumn("doc_id", F.when(F.col("doc_id") > 2, F.lit(9))).withColumn("score", F.lit("x"))  # null and shared ids
+    assert rows(decontam.without(tricky, items).select("doc_id", "text")) == rows(tricky.where(F.coalesce(F.lower("text"), F.lit("")).rlike("^(word0.*word299|the old.*|.*spring|)$") & ~F.coalesce(F.lower("text"), F.lit("")).contains("green")).select("doc_id", "text"))
+    assert decontam.without(awkward, items.limit(0)).count() == len(AWKWARD) and decontam.without(empty, items).count() == 0
     assert decontam.leaks(awkward, items.limit(0)).count() == 0 and decontam.leaks(empty, items).count() == 0
     assert sum(len(i.items) for i in decontam.indexes(items, block_bytes=40)) == 2
 
@@ -349,6 +352,16 @@ def test_join_equals_brute_force(spark, salt_rows):
     assert collections.Counter(tuple(r) for r in got.collect()) == brute_components(data)
 
 
+def test_one_row_of_each_group_stays(spark, awkward, empty):
+    text = lambda n, *more: " ".join([*(f"w{n}x{i}" for i in range(30)), *more])
+    data = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(2, "end")), (4, text(3)), (4, text(3)), (4, text(3).upper()), (None, text(4)), (None, text(4)), (None, text(1)), (None, text(5)), (7, None), (7, None), (8, ""), (9, text(6))]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in data], "doc_id bigint, text string, cls string, comp int")
+    got = jaccard.one_of_each_group(df)
+    want = [(1, text(1)), (2, text(2)), (4, text(3).upper()), (None, text(4)), (None, text(5)), (7, None), (7, None), (8, ""), (9, text(6))]
+    assert got.columns == df.columns and rows(got.select("doc_id", "text")) == sorted(want, key=repr)
+    assert jaccard.one_of_each_group(empty).count() == 0 and jaccard.one_of_each_group(awkward).count() == len(AWKWARD) - 1
+
+
 def test_large_groups_cost_rows_in_proportion(spark, monkeypatch):
     """A group of near copies, many of them too far from each other: no step lists it in pairs, and the result is exact."""
     made = {}
@@ -366,12 +379,17 @@ def test_large_groups_cost_rows_in_proportion(spark, monkeypatch):
         made.clear()
         got = jaccard.similar_components(spark.createDataFrame(data, "doc_id bigint, text string"))
         assert collections.Counter(tuple(r) for r in got.collect()) == brute_components(data)
-        assert sum(df.count() for what in ("hub-pairs", "match-pairs", "near-components") for df in made[what]) < 4 * size
+        assert sum(df.count() for what in ("pairs", "near-components") for df in made[what]) < 4 * size
 
 
-def test_clashing_names_of_classes_are_told_apart(spark):
-    cols = [(1, 7, 11, 6, None, 0, None, None), (2, 7, 12, 6, None, 0, None, None), (3, 9, 13, 6, None, 0, None, None)]
-    assert [r.cls for r in jaccard._renamed(spark.createDataFrame(cols, jaccard.FACTS)).orderBy("doc_id").collect()] == [11, 12, 9]
+def test_clashing_names_of_classes_are_told_apart(spark, monkeypatch):
+    rows_ = spark.createDataFrame([(1, 7, 11, 6), (2, 7, 12, 6), (3, 9, 13, 6), (4, 9, 13, 6)], "doc_id bigint, cls bigint, cls2 bigint, n bigint")
+    assert jaccard._clashes(rows_) == [7]
+    data = [(i, f"a b c d e f g h i j {'k' if i % 2 else 'l m n o p'}") for i in range(6)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    every = [r.cls for r in jaccard._facts(df, 5).where("cls IS NOT NULL").distinct().collect()]
+    monkeypatch.setattr(jaccard, "_clashes", lambda _: every)
+    assert collections.Counter(tuple(r) for r in jaccard.similar_components(df).collect()) == brute_components(data)
 
 
 def test_prefixes_share_as_many_as_asked():

@@ -19,7 +19,7 @@ their id as keep each below `BLOCK_BYTES` of text, and the documents are searche
 frequencies and the mean length are counted over all items.
 
 Defined cases: null or empty texts of documents and items match nothing; repeated rows are searched each on its own;
-an empty benchmark gives no pairs; other columns are ignored.
+an empty benchmark gives no pairs and takes no document away; other columns are ignored or handed on.
 """
 
 from __future__ import annotations
@@ -226,11 +226,24 @@ def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterat
 
 
 PAIRS = "doc_id bigint, item_id bigint, score double, question_share double, answer_share double"
+Hit = tuple[int, float, float, float]  # item id, score, question share, answer share
+
+
+def _verified(block: list[Index], own: np.ndarray, threshold: float, question: float, answer: float, k: int) -> Iterator[Hit]:
+    """The items of a block that a document with word hashes `own` holds."""
+    found = [(index, item, score) for index in block for item, score in sorted(index.candidates(own, threshold).items())]
+    sizes = {size for index, item, _ in found for size, _ in (index.question[item], index.answer[item]) if size}
+    held = {n: np.unique(shingles(own, np.array([0, len(own)]), n)[0]) for n in sizes}
+    for index, item, score in found:
+        q, a = share(index.question[item], held), share(index.answer[item], held)
+        if q >= question and a >= answer:
+            yield int(index.items[item]), min(1.0, score), q, a
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_SHARE, answer: float = ANSWER_SHARE, k: int = SHINGLE) -> DataFrame:
     """Every (document, item) pair that is retrieved and verified. docs: doc_id, text; benchmark: item_id, text."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
 
     def searched(block: list[Index]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,18 +251,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
                 rows: list[tuple] = []
                 for first_row, to, data, off in pieces(batch.column(1)):
                     w = Words(data, off, NONWORD)
-                    h, ids = w.hashes(), batch.column(0).slice(first_row, to - first_row).to_pylist()
+                    h, ids = w.hashes(), batch.column(0).slice(first_row, to - first_row)
                     for i in range(to - first_row):
-                        own = h[w.first[i] : w.first[i + 1]]
-                        found = [(index, item, score) for index in block for item, score in sorted(index.candidates(own, threshold).items())]
-                        if not found:
-                            continue
-                        held = {n: np.unique(shingles(own, np.array([0, len(own)]), n)[0]) for n in {size for index, item, _ in found for size, _ in (index.question[item], index.answer[item]) if size}}
-                        for index, item, score in found:
-                            q, a = share(index.question[item], held), share(index.answer[item], held)
-                            if q >= question and a >= answer:
-                                rows.append((ids[i], int(index.items[item]), min(1.0, score), q, a))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())], names=["doc_id", "item_id", "score", "question_share", "answer_share"])
+                        rows += [(ids[i].as_py(), *hit) for hit in _verified(block, h[w.first[i] : w.first[i + 1]], threshold, question, answer, k)]
+                columns = zip(*rows, strict=True) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "score", "question_share", "answer_share"])
 
         return slim.mapInArrow(run, PAIRS)
 
@@ -259,6 +265,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
     return out
 
 
-def without(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """docs without those that leak an item; rows with a null doc_id stay."""
-    return docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti")
+def without(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_SHARE, answer: float = ANSWER_SHARE, k: int = SHINGLE) -> DataFrame:
+    """The rows of docs (text and any columns) whose own text holds no item, whatever their ids; no join and no shuffle."""
+
+    def cleaned(rest: DataFrame, block: list[Index]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for first_row, to, data, off in pieces(batch.column(batch.schema.get_field_index("text"))):
+                    w = Words(data, off, NONWORD)
+                    h = w.hashes()
+                    for i in range(to - first_row):
+                        clean[first_row + i] = next(_verified(block, h[w.first[i] : w.first[i + 1]], threshold, question, answer, k), None) is None
+                yield batch.filter(pa.array(clean))
+
+        return rest.mapInArrow(run, rest.schema)
+
+    for block in index_blocks(benchmark):
+        docs = cleaned(docs, block)
+    return docs

@@ -7,8 +7,8 @@ sketch says is cheapest: a longer prefix posts more shingles but asks for more m
 verified. A pair uses the smaller l of its two classes, and the prefixes that its own needed overlap, num/(num+den) of both sizes,
 leaves: shorter ones than either class had to post for its smallest partners. Postings carry their position for that.
 
-Texts are read once. That pass stores every class's sorted shingle hashes; prefixes, candidates and verification read
-those. Postings of a shingle that a single class has posted go at once, then those of classes that are left with fewer
+Texts are read three times, for the sketch, the prefixes and the sets of candidate classes; sets are not stored, since
+hashes are longer than the texts they come from. Postings of a shingle that a single class has posted go at once, then those of classes that are left with fewer
 postings than any partner asks for.
 
 Only which documents are connected is asked for, so a pair inside a known component is of no use. Linear rounds come first:
@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewatch.llm._io import kept
 from tidewatch.llm._vec import SPACE, Words, buffers, mix, pieces, shingles
@@ -55,13 +56,12 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np
     for first, to, data, off in pieces(column):
         w = Words(data, off, SPACE)
         s, border = shingles(w.hashes(), w.first, k)
-        doc = np.repeat(np.arange(to - first), np.diff(border))
-        order = np.lexsort((s, doc))
-        s, doc = s[order], doc[order]
+        for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
+            s[a:b].sort()
         new = np.ones(len(s), dtype=bool)
-        new[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
-        s, doc = s[new], doc[new]
-        yield first, to, s, np.searchsorted(doc, np.arange(to - first + 1))
+        new[1:] = s[1:] != s[:-1]
+        new[border[:-1][np.diff(border) > 0]] = True
+        yield first, to, s[new], np.concatenate([[0], np.cumsum(new)])[border]
 
 
 def signatures(s: np.ndarray, border: np.ndarray, seed: int = 0xA24BAED4963EE407) -> np.ndarray:
@@ -73,21 +73,28 @@ def signatures(s: np.ndarray, border: np.ndarray, seed: int = 0xA24BAED4963EE407
     return np.where(n > 0, np.where(sig == 0, np.uint64(1), sig), np.uint64(0)).view(np.int64)
 
 
+SECOND = 0x2545F4914F6CDD1D
+
+
+def names_of(s: np.ndarray, border: np.ndarray, clash: np.ndarray) -> np.ndarray:
+    """The class names of the sets: the signature, or the second one where the first is in `clash`."""
+    sig = signatures(s, border)
+    return np.where(np.isin(sig, clash), signatures(s, border, SECOND), sig) if len(clash) else sig
+
+
 def _packed(s: np.ndarray, border: np.ndarray, keep: np.ndarray) -> pa.Array:
-    """The sets as binary values; null where `keep` is false."""
-    size = np.where(keep, np.diff(border), 0)
-    data = s[np.repeat(keep, np.diff(border))].astype("<u8")
-    offsets = np.concatenate([[0], np.cumsum(size * 8)]).astype(np.int32)
-    valid = pa.py_buffer(np.packbits(keep, bitorder="little").tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(keep), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    """The sets for which `keep` is true, as binary values."""
+    size = np.diff(border)
+    data = s[np.repeat(keep, size)].astype("<u8")
+    offsets = np.concatenate([[0], np.cumsum(size[keep] * 8)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-FACTS = "doc_id bigint, cls bigint, cls2 bigint, n bigint, members binary, part int, block int, cells binary"
+FACTS = "doc_id bigint, cls bigint, cls2 bigint, n bigint, part int, block int, cells binary"
 
 
 def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """Per row its class and set size, with the set for the first row of a class in a task; per task its part of the
-    frequency sketch, over the classes it met."""
+    """Per row its class and set size; per task its part of the frequency sketch, over the classes it met."""
     names = [f.split()[0] for f in FACTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,17 +103,17 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
         seen: set[tuple[int, int]] = {(0, 0)}
         for batch in batches:
             for first, to, s, border in sets_of(batch.column(1), k):
-                sig, sig2, rows = signatures(s, border), signatures(s, border, 0x2545F4914F6CDD1D), to - first
+                sig, sig2, rows = signatures(s, border), signatures(s, border, SECOND), to - first
                 keep = np.zeros(rows, dtype=bool)
                 keep[[i for i, c in enumerate(zip(sig.tolist(), sig2.tolist(), strict=True)) if not (c in seen or seen.add(c))]] = True
                 cell, times = np.unique(s[np.repeat(keep, np.diff(border))] >> np.uint64(64 - CELL_BITS), return_counts=True)
                 cells[cell.astype(np.int64)] += times
                 none = pa.nulls(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(sig), pa.array(sig2), pa.array(np.diff(border).astype(np.int64)), _packed(s, border, keep), none, none, pa.nulls(rows, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(sig), pa.array(sig2), pa.array(np.diff(border).astype(np.int64)), none, none, pa.nulls(rows, pa.binary())], names=names)
         step = 1 << BLOCK_BITS
         blocks = [(b, zlib.compress(x.astype("<i8").tobytes(), 1)) for b in range(len(cells) // step) if (x := cells[b * step : (b + 1) * step]).any()]
         none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(blocks), pa.binary()), pa.array([part] * len(blocks), pa.int32()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([part] * len(blocks), pa.int32()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=names)
 
     return docs.mapInArrow(run, FACTS)
 
@@ -156,28 +163,29 @@ def smallest_set(num: int, den: int) -> int:
     return next(n for n in range(1, den + num + 2) if n * den >= num * (n + 1))
 
 
-def _postings(classes: DataFrame, sketch: np.ndarray, num: int, den: int, salt_rows: int) -> DataFrame:
-    """The chosen prefix of every class (cls, members); a class that several tasks met is posted by each."""
-    load = float(sketch.mean())
+def _postings(docs: DataFrame, sketch: np.ndarray, clash: list[int], k: int, num: int, den: int, salt_rows: int) -> DataFrame:
+    """The chosen prefix of every class; a class that several tasks meet is posted by each."""
+    load, smallest, clashing = float(sketch.mean()), smallest_set(num, den), np.array(clash, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            data, off = buffers(batch.column(1))
-            cls = batch.column(0).to_numpy()
-            out: list[tuple] = []
-            held = 0
-            for i in range(len(cls)):
-                s = data[off[i] : off[i + 1]].view("<u8")
-                f = sketch[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                at, ell = prefix(s, f, load, num, den)
-                salts = 1 + f[at].astype(np.int64) // salt_rows
-                out.append((s[at].view(np.int64), np.where(salts > 1, 1 + cls[i] % salts, 0).astype(np.int32), np.full(len(at), cls[i]), np.full(len(at), len(s)), np.arange(len(at), dtype=np.int32), np.full(len(at), ell, np.int32)))
-                held += len(at)
-                if held > 50_000 or i == len(cls) - 1:
+            for first, to, s, border in sets_of(batch.column(1), k):
+                cls = names_of(s, border, clashing)
+                count = sketch[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                out: list[tuple] = []
+                for i in range(to - first):
+                    a, b, c = int(border[i]), int(border[i + 1]), int(cls[i])
+                    if b - a < smallest or c in seen:
+                        continue
+                    seen.add(c)
+                    at, ell = prefix(s[a:b], count[a:b], load, num, den)
+                    salts = 1 + count[a:b][at].astype(np.int64) // salt_rows
+                    out.append((s[a:b][at].view(np.int64), np.where(salts > 1, 1 + c % salts, 0).astype(np.int32), np.full(len(at), c), np.full(len(at), b - a), np.arange(len(at), dtype=np.int32), np.full(len(at), ell, np.int32)))
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["shingle", "salt", "cls", "n", "pos", "ell"])
-                    out, held = [], 0
 
-    return classes.where(F.col("n") >= smallest_set(num, den)).select("cls", "members").mapInArrow(run, POSTINGS)
+    return docs.mapInArrow(run, POSTINGS)
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -200,18 +208,24 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(classes: DataFrame, shared: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, shared: DataFrame, clash: list[int], k: int) -> DataFrame:
     """(cls, members) once for each class with a shared posting. A bitmap of fixed size keeps most others from the shuffle."""
     wanted = shared.select("cls").distinct()
-    bitmap = zlib.compress(_bitmap(wanted).tobytes(), 1)
+    bitmap, clashing = zlib.compress(_bitmap(wanted).tobytes(), 1), np.array(clash, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(zlib.decompress(bitmap), np.uint64)
+        seen: set[int] = {0}
         for batch in batches:
-            at = batch.column(0).to_numpy() & ((1 << BITMAP_BITS) - 1)
-            yield batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-
-    near = classes.select("cls", "members").mapInArrow(run, "cls bigint, members binary")
+            for _, _, s, border in sets_of(batch.column(1), k):
+                cls = names_of(s, border, clashing)
+                at = cls & ((1 << BITMAP_BITS) - 1)
+                keep = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                keep &= [not (hit and (c in seen or seen.add(c))) for c, hit in zip(cls.tolist(), keep.tolist(), strict=True)]
+                keep &= np.diff(border) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), _packed(s, border, keep)], names=["cls", "members"])
+
+    near = docs.mapInArrow(run, "cls bigint, members binary")
     nth = F.row_number().over(W.partitionBy("cls").orderBy("cls"))  # one of equal sets, on the join's own partitioning
     return near.join(wanted, "cls", "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
 
@@ -229,9 +243,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 good[i] = den * both >= num * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], names=["a", "b", "linked"])
 
-    left = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean")
+    # pairs are a stored table: while it is small, its size is known and no set is shuffled but those of a
+    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a")
+    right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y")).join(pairs.select("b"), "b", "left_semi")
+    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -287,37 +302,72 @@ def _match_pairs(across: DataFrame, near: DataFrame, num: int, den: int) -> Data
     return counted.where("c >= ell").select("a", "b")
 
 
-def similar_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+def _clashes(rows: DataFrame) -> list[int]:
+    """The class names that stand for two sets. About one pair in 2^64 does, so the list is short: some tens at 10^10 sets."""
+    clash = rows.groupBy("cls").agg(F.min("cls2").alias("lo"), F.max("cls2").alias("hi")).where("lo <> hi").select("cls")
+    names = [r["cls"] for r in clash.limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 names of classes clash; that can't be chance")
+    return sorted(names)
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, salt_rows: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(doc_id, cls and n of every row; node and root of the linked classes that aren't their component's root; clashing names)."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = kept(_facts(slim, k), "shingle-sets")
-    rows = _renamed(facts).where("block IS NULL")
-    classes = rows.where("members IS NOT NULL")
-    shared = kept(_shared(_postings(classes, _sketch(facts), num, den, salt_rows)), "shared-shingles")
-    sets = kept(_sets(classes, shared), "candidate-sets")
+    facts = kept(_facts(slim, k), "shingle-facts")
+    rows = facts.where("block IS NULL").select("doc_id", "cls", "cls2", "n")
+    if clash := _clashes(rows):
+        rows = rows.withColumn("cls", F.when(F.col("cls").isin(clash), F.col("cls2")).otherwise(F.col("cls")))
+    shared = kept(_shared(_postings(slim, _sketch(facts), clash, k, num, den, salt_rows)), "shared-shingles")
+    sets = kept(_sets(slim, shared, clash, k), "candidate-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return kept(_verified(kept(pairs, "pairs"), sets, num, den), "verified-pairs")
+
     tried, across, pays = None, shared.withColumn("comp", F.col("cls")), True
     while pays:
-        more = kept(_verified(_hub_pairs(across, tried, num, den), sets, num, den), "hub-pairs")
+        more = verified(_hub_pairs(across, tried, num, den))
         r = more.agg(F.count("*").alias("n"), F.count_if("linked").alias("linked")).first()
         pays = r["linked"] > 0 and r["linked"] * PAYS >= r["n"]
         tried = more if tried is None else tried.union(more)
         if r["linked"]:
             across = kept(_across(shared, components(tried.where("linked"))), "open-shingles")
     near = kept(_near_components(across, num, den), "near-components")
-    tried = tried.union(kept(_verified(_untried(_match_pairs(across, near, num, den), tried), sets, num, den), "match-pairs"))
-    roots = components(tried.where("linked"))
+    tried = tried.union(verified(_untried(_match_pairs(across, near, num, den), tried)))
+    return rows.select("doc_id", "cls", "n"), components(tried.where("linked")), clash
+
+
+def similar_components(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+    rows, roots, _ = _classes(docs, k, num, den, salt_rows)
     least = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     joined = least.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("comp"))
     named = joined.join(joined.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("cls", "component_id")
-    out = rows.select("doc_id", "cls", "n").join(named, "cls", "left")
+    out = rows.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _renamed(facts: DataFrame) -> DataFrame:
-    """facts with the second half of the signature as the class's name wherever the first half names two sets. About one
-    pair in 2^64 does, so the list of such names is short: some tens at 10^10 sets."""
-    clash = facts.where("block IS NULL").groupBy("cls").agg(F.min("cls2").alias("lo"), F.max("cls2").alias("hi")).where("lo <> hi").select("cls")
-    names = [r["cls"] for r in clash.limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 names of classes clash; that can't be chance")
-    return facts.withColumn("cls", F.when(F.col("cls").isin(names), F.col("cls2")).otherwise(F.col("cls"))) if names else facts
+def one_of_each_group(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """docs (doc_id, text and any sortable columns) with one row of each component: that of the smallest doc_id, then of
+    the smallest class, then the smallest row. Decided per row: rows that share an id but not the text are apart, a null id is
+    as good as another (but the last choice), and rows without a word all stay."""
+    names = docs.columns
+    rows, roots, clash = _classes(docs, k, num, den, salt_rows)
+    clashing = np.array(clash, dtype=np.int64)
+    keys = rows.where("n > 0").groupBy("doc_id", "cls").agg(F.count("*").alias("times"))
+    keys = keys.join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", "cls", "times", F.coalesce("root", "cls").alias("comp"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls").alias("key"))
+    first = keys.groupBy("comp").agg(F.min("key").alias("first"), F.sum("times").alias("all")).where("`all` > 1").select("comp", "first")
+    marks = kept(keys.join(first, "comp").select(F.col("doc_id").alias("id_"), F.col("cls").alias("cls_"), (F.col("key") != F.col("first")).alias("gone"), "times").where("gone OR times > 1"), "copies")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text_")
+            cls = np.concatenate([names_of(s, border, clashing) for _, _, s, border in sets_of(batch.column(at), k)] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(cls)], names=[*(n for n in batch.schema.names if n != "text_"), "cls_of"])
+
+    slim = docs.select(*names, F.col("doc_id").cast("bigint").alias("id_of"), F.col("text").cast("string").alias("text_"))
+    schema = StructType([*slim.schema.fields[:-1], StructField("cls_of", LongType())])
+    marked = slim.mapInArrow(name, schema).join(marks, F.col("id_of").eqNullSafe(F.col("id_")) & (F.col("cls_of") == F.col("cls_")), "left")
+    single = marked.where("gone IS NULL").select(*names)
+    repeated = marked.where("NOT gone").groupBy("id_of", "cls_of").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return single.unionByName(repeated)
