@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontam, jaccard, langid, toxicity
@@ -33,7 +32,8 @@ def _with_text(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC; the labels are those of sf_dir."""
+    """Documents whose toxicity score is below TOXIC; the labels are those of sf_dir. Each row is judged on its own text; a
+    text that is null or empty is not toxic, and without labels no text is."""
     model = toxicity.fit(docs, *training_ids(table(spark, sf_dir, "labels"), "toxic", toxicity.SAMPLE))
     scored = toxicity.score(_with_text(docs), model)
     return scored.where(F.col("score") < TOXIC).selectExpr(*BACK)
@@ -47,21 +47,18 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, for each group of near copies; rows without a doc_id or without words stay."""
-    found = jaccard.similar_components(docs)
-    gone = found.where("n_shingles > 0 AND doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))  # rows repeated under one id are one document
-    return left.withColumn("nth", nth).where("nth = 1 OR doc_id IS NULL").select(*COLUMNS)
+    """One row, of the smallest doc_id, for each group of near copies; rows without words stay, and ids don't link rows."""
+    return jaccard.one_of_each_group(docs.select(*COLUMNS))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark of sf_dir."""
-    return decontam.without(docs, decontam.leaks(docs, table(spark, sf_dir, "benchmark"))).select(*COLUMNS)
+    """The rows whose text holds no item of the benchmark of sf_dir; rows without a text stay."""
+    return decontam.without(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents and their places in sequences of at most 1024 tokens."""
+    """Token pieces of the documents and their places in sequences of at most 1024 tokens; a text that is null or empty
+    gives its end token, rows that repeat are packed each on its own, no rows give none."""
     return pack_documents(docs, BYTE_BPE, BYTE_BPE_SPECIALS)
 
 
@@ -82,5 +79,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The stages' models are beyond SQL; the tests hold each stage against a brute-force version.
+#: The stages' models are beyond SQL; the tests hold the last three stages against brute force and the first two against planted rows.
 ORACLE_SQL: str | None = None
