@@ -16,7 +16,8 @@ of the components that post a shingle, the one with the plainest member (the shi
 the fewest rare shingles) is the shingle's hub; every other component is verified against the hub that it meets in
 most shingles, and what links is merged. A large group of near copies collapses onto its original there. Rounds go on while
 they pay. Then components are joined with components, one row per shingle and component, with bounds that no pair of
-their members can beat; only for the component pairs that stay are pairs of classes listed, counted and verified, all of them.
+their members can beat; only for the component pairs that stay, and the shingles by which they met, are pairs of classes
+listed, counted and verified, all of them.
 No pair is dropped for any other reason than these filters, which lose nothing; no pair is verified twice.
 
 A shingle that the sketch finds in very many sets is dealt by (shingle, salt), and the joins are plain sort-merge joins that
@@ -277,7 +278,7 @@ def _across(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _near_components(across: DataFrame, num: int, den: int) -> DataFrame:
-    """The multi-match join on components: pairs (comp_1, comp_2) of which some members may share enough of their prefixes.
+    """The multi-match join on components: the shingles by which pairs (comp_1, comp_2) may have members that share enough.
 
     A shingle at pos counts for classes of n and m members if (num + den) * pos < den * n - num * m + (num + den) * l; the
     best member of a component is put against the smallest of the other."""
@@ -287,17 +288,23 @@ def _near_components(across: DataFrame, num: int, den: int) -> DataFrame:
     room = F.least("top_1", "top_2") * both
     fits = (F.col("high_1") * den >= F.col("low_2") * num) & (F.col("high_2") * den >= F.col("low_1") * num)
     met = one.join(two, "shingle").where((F.col("comp_1") < F.col("comp_2")) & fits & (F.col("reach_1") + room > F.col("low_2") * num) & (F.col("reach_2") + room > F.col("low_1") * num))
-    return met.groupBy("comp_1", "comp_2").agg(F.count("*").alias("c"), F.min(F.least("ell_1", "ell_2")).alias("ell")).where("c >= ell").select("comp_1", "comp_2")
+    pair = W.partitionBy("comp_1", "comp_2")
+    counted = met.select("*", F.count("*").over(pair).alias("c"), F.min(F.least("ell_1", "ell_2")).over(pair).alias("ell")).where("c >= ell")
+    return counted.select("comp_1", "comp_2", "shingle", F.col("low_2").alias("low"), F.col("high_2").alias("high"), F.col("top_2").alias("top"))
 
 
 def _match_pairs(across: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
-    """The multi-match join of classes, for the component pairs in `near`: pairs that share enough of their own prefixes."""
+    """The multi-match join of classes, for the component pairs in `near` and the shingles by which they met: pairs that
+    share enough of their own prefixes. A member that reaches no class of the other component by a shingle is not listed."""
     one, two = (across.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("cls", "n", "pos", "ell", "comp")]) for i in (1, 2))
     # the overlap that this pair needs; it is at least what either class asked for, so the prefixes in hand are long enough
     need = F.expr(f"({num} * (n_1 + n_2) + {num + den - 1}) DIV {num + den}")
     ell = F.least("ell_1", "ell_2")
     fits = F.least("n_1", "n_2") * den >= F.greatest("n_1", "n_2") * num
-    met = near.join(one, "comp_1").join(two, ["comp_2", "shingle"]).where(fits & (F.col("pos_1") < F.col("n_1") - need + ell) & (F.col("pos_2") < F.col("n_2") - need + ell))
+    reaches = F.lit(num + den) * F.col("pos_1") < F.col("n_1") * den - F.col("low") * num + F.least("ell_1", "top") * (num + den)
+    near_n = (F.col("n_1") * den >= F.col("low") * num) & (F.col("high") * den >= F.col("n_1") * num)
+    some = near.join(one, ["comp_1", "shingle"]).where(reaches & near_n).drop("low", "high", "top")
+    met = some.join(two, ["comp_2", "shingle"]).where(fits & (F.col("pos_1") < F.col("n_1") - need + ell) & (F.col("pos_2") < F.col("n_2") - need + ell))
     counted = met.groupBy(*_ordered(F.col("cls_1"), F.col("cls_2"))).agg(F.count("*").alias("c"), F.min(ell).alias("ell"))
     return counted.where("c >= ell").select("a", "b")
 
@@ -361,12 +368,12 @@ def one_of_each_group(docs: DataFrame, k: int = K, num: int = NUM, den: int = DE
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text_")
-            cls = np.concatenate([names_of(s, border, clashing) for _, _, s, border in sets_of(batch.column(at), k)] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(cls)], names=[*(n for n in batch.schema.names if n != "text_"), "cls_of"])
+            text = batch.column(batch.schema.get_field_index("text"))
+            cls = np.concatenate([names_of(s, border, clashing) for _, _, s, border in sets_of(text, k)] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls)], names=[*batch.schema.names, "cls_of"])
 
-    slim = docs.select(*names, F.col("doc_id").cast("bigint").alias("id_of"), F.col("text").cast("string").alias("text_"))
-    schema = StructType([*slim.schema.fields[:-1], StructField("cls_of", LongType())])
+    slim = docs.withColumn("text", F.col("text").cast("string")).select(*names, F.col("doc_id").cast("bigint").alias("id_of"))
+    schema = StructType([*slim.schema.fields, StructField("cls_of", LongType())])
     marked = slim.mapInArrow(name, schema).join(marks, F.col("id_of").eqNullSafe(F.col("id_")) & (F.col("cls_of") == F.col("cls_")), "left")
     single = marked.where("gone IS NULL").select(*names)
     repeated = marked.where("NOT gone").groupBy("id_of", "cls_of").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
