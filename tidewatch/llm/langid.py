@@ -30,7 +30,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from tidewatch.llm._vec import pieces
 
 WINDOW, WIDTHS, FILTERS, DIMS = 128, (2, 3, 4), 12, 8
-PER_LANGUAGE, SPANS, SPAN_CHARS = 400, 3, 160
+PER_LANGUAGE, SPANS, SPAN_CHARS, SPARE = 400, 3, 160, 4
 _REACH = max(WIDTHS) - 1
 
 _LETTER_BYTE = np.zeros(256, dtype=bool)
@@ -162,18 +162,19 @@ class Predictor:
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most `per_language` labelled rows of each language, each with a few short spans of its text. docs: doc_id, text, lang."""
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "lang")
-    # ranks are taken on narrow rows; a limit per group is applied before the shuffle too
+    """The `per_language` labelled rows of each language with the smallest hashes, each with a few short spans of its text;
+    equal rows count once. docs: doc_id, text, lang.
+
+    Hashes below a bound that some SPARE times as many rows reach are ranked only, so no task ranks a whole language."""
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    many = known.groupBy("lang").agg(F.count("*").alias("many"))
+    order = F.xxhash64("doc_id", "lang", F.xxhash64("text"))
     room = F.greatest(F.length("text") - SPAN_CHARS, F.lit(1))
     spans = F.concat_ws("", *[F.substring("text", F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(k)), room).cast("int"), F.lit(SPAN_CHARS)) for k in range(SPANS)])
-    slim = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("lang", order.alias("o"), spans.alias("spans"))
-
-    def first(df: DataFrame, *keys: str) -> DataFrame:
-        return df.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("o", "spans"))).where(F.col("r") <= per_language)
-
-    salted = first(slim.withColumn("salt", F.pmod("o", F.lit(64))), "lang", "salt")  # no task ranks a whole language
-    return first(salted.drop("r"), "lang").select("lang", "spans")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("o", "spans"))
+    # a language has few rows in `many`; the planner checks its size before it broadcasts it
+    drawn = known.withColumn("o", order).join(many, "lang").where(F.pmod("o", F.lit(1 << 40)) < F.lit(float(1 << 40) * SPARE * per_language) / F.col("many"))
+    return drawn.groupBy("lang", "o").agg(F.min(spans).alias("spans")).withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "spans")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet:
@@ -181,10 +182,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet:
     return train([re.sub(r"\s+", " ", s).encode() for s in rows["spans"]], list(rows["lang"]))
 
 
-
-def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """docs (doc_id, text, and any columns to keep in front) plus lang_pred and score."""
-    keep = [f for f in docs.schema.fields if f.name != "text"]
+def predict(docs: DataFrame, net: ByteNet, keep_text: bool = False) -> DataFrame:
+    """docs (text, and any columns to keep) plus lang_pred and score, and without the text unless it is to stay; columns of
+    docs that are named lang_pred or score give way."""
+    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score") and (keep_text or f.name != "text")]
     schema = StructType([*keep, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     names = [f.name for f in keep]
 
@@ -194,4 +195,4 @@ def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
             lang, score = predictor.documents(batch.column(batch.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)

@@ -75,7 +75,7 @@ def corpus_vectors(docs: DataFrame) -> np.ndarray:
         places, signs = index_vectors()
         table = np.zeros((BUCKETS + SHAPES, DIMS), dtype=np.int64)
         for batch in batches:
-            for _, _, data, off in pieces(batch.column(0)):
+            for _, _, data, off in pieces(batch.column(0), 1 << 20):
                 word, shape, first = units(data, off)
                 for ids in (word, shape):
                     _add_contexts(table, ids, first, places, signs)
@@ -182,6 +182,6 @@ def fit(docs: DataFrame, ids: DataFrame, sizes: dict[int, int]) -> QualityModel:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in pooled(batch.column(1), vectors)], pa.binary())], names=["doc_id", "y", "v"])
 
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id bigint, y int, v binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = got.sort_values(["doc_id", "v"]).drop_duplicates("doc_id")  # of texts that share an id always the same one
     x = np.stack([np.frombuffer(v, np.float32) for v in got["v"]]) if len(got) else np.zeros((0, POOLED), np.float32)
     return train(x, got["y"].to_numpy(), sizes, vectors)

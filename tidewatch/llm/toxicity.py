@@ -175,7 +175,7 @@ def sample_features(docs: DataFrame, ids: DataFrame) -> tuple[list[np.ndarray],
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tobytes() for f in found], pa.binary())], names=["doc_id", "y", "f"])
 
     got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id bigint, y int, f binary").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = got.sort_values(["doc_id", "f"]).drop_duplicates("doc_id")  # of texts that share an id always the same one
     return [np.frombuffer(f, np.uint32) for f in got["f"]], got["y"].to_numpy()
 
 
@@ -184,9 +184,10 @@ def fit(docs: DataFrame, ids: DataFrame, sizes: dict[int, int], **options) -> To
     return train(sets, y, sizes, **options)
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """docs (doc_id, text, and columns to keep) with the model's score in place of the text; `model` has scores(column)."""
-    keep = [f for f in docs.schema.fields if f.name != "text"]
+def score(docs: DataFrame, model, keep_text: bool = False) -> DataFrame:
+    """docs (text, and columns to keep) with the model's score behind, and without the text unless it is to stay; a column
+    of docs that is named score gives way. `model` has scores(column)."""
+    keep = [f for f in docs.schema.fields if f.name != "score" and (keep_text or f.name != "text")]
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,4 +195,4 @@ def score(docs: DataFrame, model) -> DataFrame:
             at = batch.schema.get_field_index
             yield pa.RecordBatch.from_arrays([*(batch.column(at(n)) for n in names), pa.array(model.scores(batch.column(at("text"))), pa.float64())], names=[*names, "score"])
 
-    return docs.mapInArrow(run, StructType([*keep, StructField("score", DoubleType())]))
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, StructType([*keep, StructField("score", DoubleType())]))
