@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -39,7 +39,7 @@ def _table(kind: str, n: int) -> np.ndarray:
         step = np.full(max(n + 1, CHUNK + 1), _P if kind == "p" else _PINV, dtype=np.uint64)
         step[0] = 1
         have = np.cumprod(step, dtype=np.uint64)
-        if len(have) <= 4 * CHUNK:
+        if len(have) <= 16 * CHUNK:
             _powers[kind] = have
     return have
 

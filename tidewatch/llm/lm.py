@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm._io import kept
 from tidewatch.llm._vec import SPACE, Words, pieces
 
-FREQUENT, FLUSH = 200_000, 1_000_000
+FREQUENT, FLUSH, RUN = 200_000, 1_000_000, 1 << 20  # RUN: bytes of text whose distinct words are looked at together
 ZIPF_SHIFT = 2.7
 _MARK = "▁".encode()
 
@@ -153,7 +153,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return keys, np.bincount(where, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
 
         for batch in batches:
-            for _, _, data, off in pieces(batch.column(0)):
+            for _, _, data, off in pieces(batch.column(0), RUN):
                 held.append(np.unique(Words(data, off, SPACE).hashes(), return_counts=True))
                 size += len(held[-1][0])
                 if size > FLUSH:
@@ -207,7 +207,7 @@ def score_documents(docs: DataFrame, train: DataFrame, model: str, most: int = F
         bits = np.zeros(1 << 22, dtype=bool)
         bits[known >> np.uint64(42)] = True
         for batch in batches:
-            for first_row, to, data, off in pieces(batch.column(2)):
+            for first_row, to, data, off in pieces(batch.column(2), RUN):
                 rows = to - first_row
                 w = Words(data, off, SPACE)
                 h = w.hashes()
