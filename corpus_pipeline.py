@@ -23,27 +23,20 @@ from tidewatch.llm.packing import pack_documents
 TOXIC, SURE = 0.5, 0.3
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-BACK = ["kept_text AS text" if c == "text" else c for c in COLUMNS]
-
-
-def _with_text(docs: DataFrame) -> DataFrame:
-    """The scorers give every column back but the text; so it goes in twice."""
-    return docs.select(*[F.col("text").alias("kept_text") if c == "text" else F.col(c) for c in COLUMNS], "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC; the labels are those of sf_dir. Each row is judged on its own text; a
     text that is null or empty is not toxic, and without labels no text is."""
     model = toxicity.fit(docs, *training_ids(table(spark, sf_dir, "labels"), "toxic", toxicity.SAMPLE))
-    scored = toxicity.score(_with_text(docs), model)
-    return scored.where(F.col("score") < TOXIC).selectExpr(*BACK)
+    return toxicity.score(docs, model, keep_text=True).where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents for which one of the learned languages is told with a probability of SURE or more; `und` goes."""
     net = langid.fit(docs.where(bucket_of("doc_id", 3) != 1).select("doc_id", "text", "lang"))
-    told = langid.predict(_with_text(docs), net)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).selectExpr(*BACK)
+    told = langid.predict(docs, net, keep_text=True)
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*COLUMNS)
 
 
 def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
