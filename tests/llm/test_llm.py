@@ -222,6 +222,61 @@ def test_packing_is_whole_and_close_to_the_bound(seed):
     assert sum(k for _, k in packing.solve(np.bincount([6, 5, 5, 4, 4, 3, 3], minlength=11), 10)[0]) == 3
 
 
+def test_packing_finds_the_fewest_bins():
+    """Against an exact search over all partitions of small instances, and against best fit where that isn't the best."""
+
+    def fewest(items, cap):
+        best = [len(items)]
+
+        def place(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for r in sorted(set(rooms)):
+                if r >= items[i]:
+                    at = rooms.index(r)
+                    place(i + 1, [*rooms[:at], r - items[i], *rooms[at + 1 :]])
+            place(i + 1, [*rooms, cap - items[i]])
+
+        place(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        cap = int(rng.integers(8, 30))
+        items = sorted(rng.integers(1, cap + 1, int(rng.integers(1, 11))).tolist(), reverse=True)
+        assert sum(k for _, k in packing.solve(np.bincount(items, minlength=cap + 1), cap)[0]) == fewest(items, cap)
+    better = 0
+    for seed in range(6):
+        hist = np.bincount(np.random.default_rng(seed).integers(150, 500, 300), minlength=1025)
+        ours, bound = packing.solve(hist, 1024, 6000)
+        better += sum(k for _, k in ours) < sum(k for _, k in packing.best_fit(hist, 1024))
+    assert better >= 4
+    seen = [(p, left) for p, left in packing.fillings(np.bincount([2, 2, 3, 5, 6], minlength=13), 4, 12, 0)]
+    assert seen[0] == (((6, 1), (2, 1)), 0) and (((5, 1), (3, 1)), 0) in seen and len(seen) == 2
+
+
+def test_ids_of_a_whole_table_equal_the_other_library():
+    import duckdb
+    from tokenizers import Tokenizer
+
+    coder, ours = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder(BYTE_BPE, BYTE_BPE_SPECIALS)
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    assert all(np.frombuffer(ours(t), "<u4").tolist() == e.ids for t, e in zip(texts, coder.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_split_lengths_pack_alike(spark):
+    df = spark.createDataFrame([(None if i % 3 else i, "same words " * (i % 4 * 200)) for i in range(60)], "doc_id bigint, text string")
+    pieces = packing.kept(packing.token_pieces(df, BYTE_BPE, BYTE_BPE_SPECIALS), "pieces")
+    whole, split = (packing.pack(pieces, salt_rows=n).toPandas() for n in (1_000_000, 3))
+    for g in (whole, split):
+        g = g.sort_values(["sequence_id", "offset"])
+        assert len(g) == pieces.count() and (g.groupby("sequence_id").length.cumsum() - g.length == g.offset).all() and g.groupby("sequence_id").length.sum().max() <= 1024
+    assert whole.sequence_id.nunique() == split.sequence_id.nunique()
+
+
 def test_packed_sequences_hold_every_id(awkward, empty):
     from tokenizers import Tokenizer
 

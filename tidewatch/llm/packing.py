@@ -6,11 +6,13 @@ back to the pieces by their rank among pieces of equal length. Nothing that grow
 the driver.
 
 The solver starts from best-fit decreasing as the incumbent. Against the lower bound it then searches by bin
-completion: take the largest open length, list the fillings of its bin that no other filling dominates, branch
-on them fullest first, and cut a branch once its waste shows that it can't beat the incumbent. A branch uses a
-filling as often as the histogram allows, so depth follows the number of patterns, not of bins.
+completion: take the largest open length, enumerate the fillings of its bin that no other filling dominates, and branch
+on them. Fillings within a small waste come first, those of the longest pieces before others, since short pieces are worth
+most at the end; the allowance changes from search to search. A node is cut once its waste, or the lower bound of what is
+left, shows that it can't beat the incumbent; now and then its rest is packed by best fit, for a new incumbent. A branch uses
+a filling as often as the histogram allows, so depth follows the number of patterns, not of bins.
 
-Ranks come from per-(length, salt) row numbers plus offsets; salts split a length that holds many rows.
+Ranks come from per-(length, salt) row numbers plus offsets; a length has a salt for every SALT_ROWS of its rows.
 
 Defined cases: a null text is empty and gives one piece, the end token alone; repeated rows are packed each on
 its own; an empty table gives no rows; other columns are ignored.
@@ -28,14 +30,15 @@ import pandas as pd
 import pyarrow as pa
 import tiktoken
 from public_tokenizers import PATTERN
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.llm._io import kept
 
-CAPACITY, END_ID, SALTS = 1024, 2, 64
-SEARCH_NODES = 8_000
+CAPACITY, END_ID, SALT_ROWS = 1024, 2, 1_000_000
+SEARCH_NODES, BEST_FIT_EVERY = 26_000, 128
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -45,16 +48,13 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 def lower_bound(hist: np.ndarray, cap: int) -> int:
     """The largest of the Martello-Toth bounds over all cuts a <= cap / 2."""
-    sizes = np.arange(cap + 1, dtype=np.int64)
-    count, mass = np.cumsum(hist), np.cumsum(hist * sizes)
-    best = -(-int(mass[-1]) // cap)
-    for a in range(cap // 2 + 1):
-        big = int(count[-1] - count[cap - a])  # longer than cap - a
-        mid_n = int(count[cap - a] - count[cap // 2])
-        mid_mass = int(mass[cap - a] - mass[cap // 2])
-        low_mass = int(mass[cap // 2] - (mass[a - 1] if a else 0))
-        best = max(best, big + mid_n + max(0, -(-(low_mass - (mid_n * cap - mid_mass)) // cap)))
-    return best
+    half, a = cap // 2, np.arange(cap // 2 + 1)
+    count, mass = np.cumsum(hist), np.cumsum(hist * np.arange(cap + 1, dtype=np.int64))
+    big = count[-1] - count[cap - a]  # longer than cap - a
+    mid_n, mid_mass = count[cap - a] - count[half], mass[cap - a] - mass[half]
+    low_mass = mass[half] - np.where(a > 0, mass[np.maximum(a - 1, 0)], 0)
+    spare = np.maximum(0, -(-(low_mass - (mid_n * cap - mid_mass)) // cap))
+    return int(max(-(-int(mass[-1]) // cap), (big + mid_n + spare).max()))
 
 
 def best_fit(hist: np.ndarray, cap: int) -> list[tuple[Pattern, int]]:
@@ -107,94 +107,127 @@ def _fits(items: tuple[int, ...], rooms: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(hist: np.ndarray, first: int, cap: int, most: int = 80) -> list[tuple[int, ...]]:
-    """Undominated fillings of the bin that `first` opens, fullest first and then those of the most abundant lengths.
+def fillings(hist: np.ndarray, first: int, cap: int, waste: int) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
+    """(pieces beside `first` as (length, how many), room left) of all undominated fillings of the bin that `first` opens.
 
-    All fillings by one or two pieces without waste are listed; of the others the search looks at `most`."""
+    Those that leave at most `waste`, or as little as can be, come first, then the others; each time those of the longest
+    pieces first. They are made one by one as they are asked for. The sums that the pieces from some length down can reach
+    are kept as bits, so no path is walked that doesn't end in a filling."""
     room = cap - first
     sizes = [int(s) for s in np.flatnonzero(hist[: room + 1])[::-1]]
-    if not sizes:
-        return [()]
-    if sizes[0] == room:
-        return [(room,)]  # one piece that fills the bin dominates every other filling
-    use = hist.copy()
-    low = np.arange(1, room // 2 + 1)
-    pairs = low[(hist[low] > 0) & (hist[room - low] > (low * 2 == room))]
-    found: list[tuple[int, ...]] = [(room - int(s), int(s)) for s in pairs]
-    stop = len(found) + most
-
-    def walk(start: int, left: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= stop:
-            return
-        grew = False
-        for i in range(start, len(sizes)):
-            s = sizes[i]
-            if s <= left and use[s]:
-                grew = True
-                use[s] -= 1
-                walk(i, left - s, (*chosen, s))
-                use[s] += 1
-                if len(found) >= stop:
-                    return
-        if not grew and not any(s <= left and use[s] for s in sizes):
-            found.append(chosen)
-
-    common = int(np.argmax(hist[: room + 1]))
-    for k in range(min(int(hist[common]), room // common), 0, -1):  # fillings around the most abundant length
-        use[common] -= k
-        stop = len(found) + most // 4
-        walk(0, room - k * common, (common,) * k)
-        use[common] += k
-    stop = len(found) + most
-    walk(0, room, ())
-    found = list({tuple(sorted(f, reverse=True)): None for f in found})
-    found.sort(key=lambda f: (-sum(f), -max(int(hist[s]) for s in f), len(f), tuple(-x for x in f)))
-    undominated: list[tuple[int, ...]] = []
-    for f in found[: 2 * most]:
-        if not any(len(f) <= 8 and len(g) <= 8 and _fits(f, g) for g in undominated):
-            undominated.append(f)
-    return undominated
+    counts = [int(hist[s]) for s in sizes]
+    sums, whole = [1] * (len(sizes) + 1), (1 << (room + 1)) - 1
+    for i in range(len(sizes) - 1, -1, -1):
+        sums[i] = sums[i + 1]
+        for _ in range(min(counts[i], room // sizes[i])):
+            more = (sums[i] | sums[i] << sizes[i]) & whole
+            if more == sums[i]:
+                break
+            sums[i] = more
+
+    def least_rest(i: int, left: int) -> int:
+        return left - (sums[i] & ((1 << (left + 1)) - 1)).bit_length() + 1
+
+    def maximal(left: int, chosen: tuple) -> bool:
+        used = dict(chosen)
+        return not any(s <= left and n > used.get(s, 0) for s, n in zip(reversed(sizes), reversed(counts), strict=True))
+
+    def walk(i: int, left: int, chosen: tuple, low: int, high: int) -> Iterator[tuple[tuple, int]]:
+        """Maximal choices from sizes[i:] that leave low < rest <= high."""
+        for j in range(i, len(sizes)):
+            if sizes[j] > left:
+                continue
+            if least_rest(j, left) > high:
+                return
+            for k in range(min(counts[j], left // sizes[j]), 0, -1):
+                if least_rest(j + 1, left - k * sizes[j]) <= high:
+                    yield from walk(j + 1, left - k * sizes[j], (*chosen, (sizes[j], k)), low, high)
+        if low < left <= high and maximal(left, chosen):
+            yield chosen, left
+
+    given: list[tuple[int, ...]] = []
+    near = max(waste, least_rest(0, room))
+    for low, high in ((-1, near), (near, room)):
+        for found, left in walk(0, room, (), low, high):
+            plain = tuple(s for s, k in found for _ in range(k))
+            if not any(sum(plain) <= sum(g) and _fits(plain, g) for g in given):
+                given.append(plain)
+                yield found, left
+
+
+def _branches(left: np.ndarray, cap: int, waste: int) -> Iterator[tuple[Pattern, int, int]]:
+    """(pattern, how often, waste of each) of the bins that the longest open piece may stand in; a pattern as often as can be, then once."""
+    first = int(np.flatnonzero(left)[-1])
+    rest = left.copy()
+    rest[first] -= 1
+    for found, spare in fillings(rest, first, cap, waste):
+        sizes = dict(found)
+        sizes[first] = sizes.get(first, 0) + 1
+        p = tuple(sorted(sizes.items(), reverse=True))
+        times = min(int(left[s]) // k for s, k in p)
+        yield p, times, spare
+        if times > 1:
+            yield p, 1, spare
+
+
+def _search(hist: np.ndarray, cap: int, waste: int, swerves: int, best: int, nodes: int) -> tuple[list[tuple[Pattern, int]] | None, int]:
+    """(a packing of fewer than `best` bins or None, nodes used): depth first, with at most `swerves` branches that aren't their
+    node's first. A node is cut if its bins and the lower bound of what is left, or its waste, can't beat `best`."""
+    total = int((hist * np.arange(cap + 1)).sum())
+    found, used = None, 0
+    stack: list[list] = []  # what is left, its branches, bins, waste, swerves left, branches taken
+    path: list[tuple[Pattern, int]] = []
+    node: tuple[np.ndarray, int, int, int] | None = (hist, 0, 0, swerves)
+    while used < nodes:
+        if node is not None:
+            left, bins, lost, may = node
+            used += 1
+            if not left.any():
+                found, best = list(path), bins
+            elif lost <= (best - 1) * cap - total and bins + lower_bound(left, cap) < best:
+                if used % BEST_FIT_EVERY == 0:
+                    rest = best_fit(left, cap)
+                    if (full := bins + sum(n for _, n in rest)) < best:
+                        found, best = [*path, *rest], full
+                stack.append([left, _branches(left, cap, waste), bins, lost, may, 0])
+                path.append(((), 0))
+            node = None
+        if not stack:
+            break
+        left, branches, bins, lost, may, nth = stack[-1]
+        branch = next(branches, None) if nth <= may else None  # no filling is made that won't be tried
+        stack[-1][-1] += 1
+        if branch is None:
+            stack.pop()
+            path.pop()
+            continue
+        p, times, spare = branch
+        path[-1] = (p, times)
+        after = left.copy()
+        for s, k in p:
+            after[s] -= times * k
+        node = (after, bins + times, lost + times * spare, may - nth)
+    return found, used
 
 
 def solve(hist: np.ndarray, cap: int = CAPACITY, nodes: int = SEARCH_NODES) -> tuple[list[tuple[Pattern, int]], int]:
-    """(patterns with multiplicities, lower bound). `nodes` limits the search; the incumbent always packs everything."""
+    """(patterns with multiplicities, lower bound). `nodes` limits the search; the incumbent always packs everything.
+
+    Straight searches are started for waste allowances of 0, 1, 2, ... and then in growing steps up to half a bin; after
+    them come searches that swerve once, twice and so on. All stop as soon as a packing meets the bound."""
     hist = np.asarray(hist, dtype=np.int64)
-    bound = lower_bound(hist, cap)
-    best = best_fit(hist, cap)
-    best_bins = sum(n for _, n in best)
-    total = int((hist * np.arange(cap + 1)).sum())
-    # an entry holds its parent's histogram and is applied when it is taken, so memory follows the nodes, not the branches
-    stack: list[tuple[np.ndarray, Pattern, int, tuple, int, int]] = [(hist.astype(np.int32 if hist.max(initial=0) < 2**31 else np.int64), (), 0, (), 0, 0)]
-    while stack and best_bins > bound and nodes:
-        nodes -= 1
-        left, taken, times, path, bins, waste = stack.pop()
-        if waste > (best_bins - 1) * cap - total:
-            continue
-        if taken:
-            left = left.copy()
-            for s, k in taken:
-                left[s] -= times * k
-        open_sizes = np.flatnonzero(left)
-        if not len(open_sizes):
-            if bins < best_bins:
-                best_bins, steps = bins, []
-                while path:
-                    path, step = path
-                    steps.append(step)
-                best = steps
-            continue
-        first = int(open_sizes[-1])
-        rest = left.copy()
-        rest[first] -= 1
-        branches = []
-        for f in fillings(rest, first, cap):
-            p = pattern((first, *f))
-            times = min(int(left[s]) // k for s, k in p)
-            each, room = cap - first - sum(f), (best_bins - 1) * cap - total - waste  # a better packing wastes no more
-            times = min(times, room // each) if each else times if room >= 0 else 0
-            if times > 0:
-                branches.append((left, p, times, (path, (p, times)), bins + times, waste + times * each))
-        stack.extend(reversed(branches))
+    bound, best = lower_bound(hist, cap), best_fit(hist, cap)
+    best_bins, first = sum(n for _, n in best), True
+    allowances = [w for w in (*range(17), *range(20, 33, 4), *range(40, 65, 8), *range(96, cap, 32)) if w <= cap // 2]
+    for swerves in range(64):
+        for waste in allowances:
+            if (best_bins == bound and not first) or nodes <= 0:
+                return best, bound
+            # the first search may also tie with best fit: its patterns are few, whatever the input
+            found, used = _search(hist, cap, waste, swerves, best_bins + first, min(nodes, 20 * cap))
+            nodes, first = nodes - max(used, 1), False
+            if found is not None:
+                best, best_bins = found, sum(n for _, n in found)
     return best, bound
 
 
@@ -218,15 +251,16 @@ def _encoder(vocabulary: str, specials: tuple[tuple[str, int], ...]) -> Encoder:
 
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+KEYED = PIECES + ", uid bigint"
 
 
 def token_pieces(df: DataFrame, vocabulary: str, specials: dict[str, int], capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token pieces of every document: its ids and the end id, cut from the back into pieces of `capacity`."""
+    """Token pieces of every document: its ids and the end id, cut from the back into pieces of `capacity`; uid numbers them."""
     end = np.array([end_id], dtype="<u4").tobytes()
     special = tuple(sorted(specials.items()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary, special)
+        encode, uid = _encoder(vocabulary, special), TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, docs = batch.column(0).to_pylist(), batch.column(1)
             rows: tuple[list, ...] = ([], [], [], [], [])
@@ -239,10 +273,11 @@ def token_pieces(df: DataFrame, vocabulary: str, specials: dict[str, int], capac
                     for column, value in zip(rows, (doc_id, piece, at, size, zlib.crc32(data[4 * at : 4 * (at + size)])), strict=True):
                         column.append(value)
                     at += size
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] + [pa.array(np.arange(uid, uid + len(rows[0])))], names=["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
+            uid += len(rows[0])
 
     slim = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(cut, PIECES)
+    return slim.mapInArrow(cut, KEYED)
 
 
 def _deal(patterns: list[tuple[Pattern, int]], cap: int) -> dict[int, tuple[np.ndarray, ...]]:
@@ -260,21 +295,22 @@ def _deal(patterns: list[tuple[Pattern, int]], cap: int) -> dict[int, tuple[np.n
     return {s: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for s, r in rows.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """`pieces` with sequence_id and offset. `pieces` must be a stored table: it is read twice and must not change."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """`pieces` with sequence_id and offset in place of uid. `pieces` must be a stored table: it is read more than once and
+    must not change. The driver gets a row per length, and one more for every `salt_rows` pieces."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().toPandas()  # at most capacity x salts rows
-    counts = counts.sort_values(["length", "salt"])
-    counts["base"] = counts.groupby("length")["count"].cumsum() - counts["count"]
     hist = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.groupby("length")["count"].sum().items():
-        hist[int(length)] = n
-    patterns, _ = solve(hist, capacity)
-    deal = _deal(patterns, capacity)
+    for r in pieces.groupBy("length").count().collect():
+        hist[r["length"]] = r["count"]
+    deal = _deal(solve(hist, capacity)[0], capacity)
+    salts = {n: -(-int(hist[n]) // salt_rows) for n in np.flatnonzero(hist > salt_rows).tolist()}
+    many = F.coalesce(F.create_map(*[F.lit(x) for pair in salts.items() for x in pair])[F.col("length").cast("int")], F.lit(1)) if salts else F.lit(1)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("uid"), many).cast("int"))
+    counts = salted.groupBy("length", "salt").count().toPandas().sort_values(["length", "salt"])
+    counts["base"] = counts.groupby("length")["count"].cumsum() - counts["count"]
     bases = spark.createDataFrame(counts[["length", "salt", "base"]].astype({"length": "int64", "salt": "int32", "base": "int64"}) if len(counts) else pd.DataFrame({"length": [], "salt": [], "base": []}), "length bigint, salt int, base bigint")
-    order = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("row", F.row_number().over(order)).join(F.broadcast(bases), ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("row") - 1).alias("rank"))
+    order = W.partitionBy("length", "salt").orderBy("uid")
+    ranked = salted.withColumn("row", F.row_number().over(order)).join(bases, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("row") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
