@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -97,10 +98,80 @@ def test_parser_survives_damage():
     assert mpeg.parse(b"").offsets == [] and mpeg.parse(b"\xff" * 50).offsets == []
 
 
+def _frame(version_bits, layer_bits, index, rate, mode, body, protected=True, pad=0):
+    head = bytes([0xFF, 0xE0 | version_bits << 3 | layer_bits << 1 | (not protected), index << 4 | rate << 2 | pad << 1, mode << 6])
+    h = mpeg.read_header(head + bytes(4), 0)
+    raw = head + bytes(2) + body
+    return h, bytearray(raw.ljust(h.length, b"\0")[: h.length])
+
+
+def _crc_by_bits(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ b else 0)
+    return c
+
+
+def test_checksums_of_the_lower_layers():
+    rng = np.random.default_rng(1)
+    for layer_bits, index, mode, size in ((3, 5, 3, 128), (3, 9, 0, 256), (3, 9, 1, 4 * (2 * 4 + 28)), (2, 10, 3, None), (2, 4, 3, None), (2, 14, 0, None)):
+        h, f = _frame(3, layer_bits, index, 1, mode, rng.integers(0, 256, 60, dtype=np.uint8).tobytes())
+        bits = np.unpackbits(np.frombuffer(bytes(f[6:]), np.uint8)).tolist()
+        if size is None:  # allocations, then two bits for each that isn't 0
+            size, used, nch = 0, 0, 1 if mode == 3 else 2
+            per = [4] * 2 + [3] * 6 if h.kbps // nch <= 48 else [4] * 11 + [3] * 12 + [2] * 4
+            for b in per:
+                for _ in range(nch):
+                    used += any(bits[size : size + b])
+                    size += b
+            size += 2 * used
+        f[4:6] = _crc_by_bits(np.unpackbits(np.frombuffer(bytes(f[2:4]), np.uint8)).tolist() + bits[:size]).to_bytes(2, "big")
+        s = mpeg.parse(bytes(f) * 3)
+        assert (s.crc_checked, s.crc_bad, len(s.offsets), s.samples) == (3, 0, 3, 3 * h.samples)
+        f[6] ^= 64
+        assert mpeg.parse(bytes(f) * 3).crc_bad == 3
+
+
+def test_tables_and_tags_of_other_writers():
+    h, f = _frame(3, 1, 9, 0, 3, b"", protected=False)
+    f[36:62] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 5000, 3, 3, 2, 2, 1)
+    f[62:68] = struct.pack(">HHH", 10, 20, 30)
+    _, plain = _frame(3, 1, 9, 0, 3, b"", protected=False)
+    table = mpeg.parse(bytes(f) + bytes(plain) * 3).table
+    assert table == {"kind": "VBRI", "bytes": 5000, "frames": 3, "toc": [20, 40, 60], "frames_per_entry": 1}
+    low, short = _frame(2, 1, 2, 1, 3, b"", protected=False)
+    short[36:40] = b"VBRI"
+    assert len(short) == low.length and mpeg.parse(bytes(short) * 3).headers
+    text = b"\x01\xff\xfea\0b\0"
+    unsynced = text.replace(b"\xff", b"\xff\0")
+    ext = (6).to_bytes(4, "big") + bytes(6)
+    body = ext + b"TIT2" + len(text).to_bytes(4, "big") + b"\0\0" + unsynced
+    tag = b"ID3\3\0" + bytes([0xC0]) + bytes(len(body) >> k & 127 for k in (21, 14, 7, 0)) + body
+    assert mpeg.parse(tag + bytes(plain) * 3).tags["TIT2"] == "ab"
+
+
+def test_parser_never_raises():
+    rng = np.random.default_rng(5)
+    raw = bytes(range(97, 117)) * 100
+    clean = mpeg.encode(mpeg.padded(raw), len(raw))
+    _, other = _frame(2, 1, 1, 1, 3, b"")
+    for base in (clean, bytes(other) * 4, b"ID3\4\0\xff" + clean[6:]):
+        for _ in range(700):
+            b = bytearray(base)
+            for at in rng.integers(0, len(b), int(rng.integers(1, 30))):
+                b[at] = int(rng.choice([0, 255, 0xE3, int(rng.integers(0, 256))]))
+            at = int(rng.integers(0, len(b)))
+            b[at : at + 4] = rng.choice([b"VBRI", b"Xing", b"ID3\3", b"\xff\xfd\x10\0"])
+            mpeg.parse(bytes(b[: int(rng.integers(0, len(b) + 1))]))
+
+
 def test_media_query_shape(awkward, empty):
     got = {r.doc_id: r for r in mpeg.describe_media(mpeg.store_media(awkward)).collect()}
     p = mpeg.padded("Ünïcode ß 日本".encode())
     assert got[5].payload_sha256 == hashlib.sha256(p).hexdigest() and got[5].tail_crc32 == zlib.crc32(p[-16:]) and got[1].n_bytes == 0 and got[1].payload_bytes == 192
+    whole = {r.doc_id: r for r in mpeg.media_digest(awkward).collect()}[7]
+    stored = {r.doc_id: bytes(r.media) for r in mpeg.store_media(awkward).collect()}[7]
+    assert whole.duration == whole.samples / 48000 == len(whole.frame_offsets) * 1152 / 48000 and all(mpeg.read_header(stored, at) for at in whole.frame_offsets)
     assert rows(mpeg.media_digest(awkward)) == rows(mpeg.describe_media(mpeg.store_media(awkward))) and mpeg.media_digest(empty).count() == 0
 
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm._io import kept
+
 UNIT = 192
 
 #: Fixed values of the format: kbit/s by header index for MPEG-1 layers I, II, III, then MPEG-2 layers I, and II or III.
@@ -83,13 +85,54 @@ _CRC = _crc_table()
 
 
 @lru_cache(maxsize=4096)  # few frame heads differ
-def crc16(data: bytes) -> int:
-    c = 0xFFFF
-    for x in data:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC-16 of the first `bits` bits of data, or of all."""
+    c, whole = 0xFFFF, len(data) if bits is None else bits // 8
+    for x in data[:whole]:
         c = (c << 8 & 0xFFFF) ^ _CRC[c >> 8 ^ x]
+    for k in range(0 if bits is None else bits % 8):
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ (data[whole] >> (7 - k) & 1) else 0)
     return c
 
 
+#: Fixed values of the format: bits of a layer II allocation per subband, as (bits, subbands); "low" is for half sample rates.
+ALLOCATION_BITS = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19))}
+
+
+def _allocation(h: Header) -> list[int]:
+    each = h.kbps if h.mono else h.kbps // 2
+    if h.version != 1:
+        kind = "low"
+    elif each <= 48:
+        kind = "d" if h.rate == 32000 else "c"
+    else:
+        kind = "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for bits, n in ALLOCATION_BITS[kind] for _ in range(n)]
+
+
+def checksum_holds(frame: bytes, h: Header) -> bool:
+    """Whether a protected frame's CRC word is that of its header and of what its layer protects: side information in layer III,
+    allocations in layer I, allocations and scale factor selections in layer II."""
+    channels, body = 1 if h.mono else 2, frame[6:]
+    if h.layer == 3:
+        n = 8 * h.side
+    else:
+        wide = 32 if h.layer == 1 else len(_allocation(h))
+        bound = min(wide, 4 * (frame[3] >> 4 & 3) + 4) if frame[3] >> 6 == 1 else wide  # above it channels share allocations
+        if h.layer == 1:
+            n = 4 * (channels * bound + wide - bound)
+        else:
+            bits, n, used = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 0, 0
+            for band, size in enumerate(_allocation(h)):
+                for _ in range(channels if band < bound else 1):
+                    used += (bits >> (512 - n - size) & ((1 << size) - 1) != 0) * (1 if band < bound else channels)
+                    n += size
+            n += 2 * used
+    if 8 * len(body) < n:
+        return False
+    return crc16(frame[2:4] + body[: -(-n // 8)], 16 + n) == int.from_bytes(frame[4:6], "big")
+
+
 @dataclass
 class Stream:
     offsets: list[int] = field(default_factory=list)
@@ -117,10 +160,17 @@ def _syncsafe(b: bytes) -> int:
 def _read_id3v2(b: bytes, out: Stream) -> int:
     if b[:3] != b"ID3" or len(b) < 10:
         return 0
-    end, at, major = 10 + _syncsafe(b[6:10]), 10, b[3]
-    while major >= 3 and at + 10 <= min(end, len(b)) and b[at]:
+    end, at, major, flags = 10 + _syncsafe(b[6:10]), 0, b[3], b[5]
+    b = b[10:end]
+    if flags & 0x80 and major < 4:  # a zero byte was put behind every 255
+        b = b.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and len(b) >= 4:  # an extended header stands first
+        at = _syncsafe(b) if major == 4 else 4 + int.from_bytes(b[:4], "big")
+    while major >= 3 and at + 10 <= len(b) and b[at]:
         size = _syncsafe(b[at + 4 : at + 8]) if major == 4 else int.from_bytes(b[at + 4 : at + 8], "big")
         name, body = b[at : at + 4].decode("latin-1"), b[at + 10 : at + 10 + size]
+        if major == 4 and b[at + 9] & 2:
+            body = body.replace(b"\xff\0", b"\xff")
         if name[:1] == "T" and body:
             text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace")
             key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
@@ -140,8 +190,8 @@ def _read_table(frame: bytes, h: Header) -> dict[str, object]:
         if flags & 4:
             out["toc"] = list(frame[at : at + 100])
         return out
-    if frame[36:40] == b"VBRI":
-        _, _, _, size, frames, entries, scale, width, per = struct.unpack(">HHHIIHHHH", frame[40:62] + b"")
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        _, _, _, size, frames, entries, scale, width, per = struct.unpack(">HHHIIHHHH", frame[40:62])
         toc = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(entries)]
         return {"kind": "VBRI", "bytes": size, "frames": frames, "toc": toc, "frames_per_entry": per}
     return {}
@@ -177,9 +227,9 @@ def parse(b: bytes) -> Stream:
             if out.table:
                 at += h.length
                 continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.crc_checked += 1
-            out.crc_bad += crc16(b[at + 2 : at + 4] + b[at + 6 : at + 6 + h.side]) != int.from_bytes(b[at + 4 : at + 6], "big")
+            out.crc_bad += not checksum_holds(b[at : at + h.length], h)
         out.offsets.append(at)
         out.headers.append(h)
         out.samples += h.samples
@@ -243,7 +293,7 @@ def decode(media: bytes) -> tuple[bytes, int, Stream]:
 
 
 ENCODED = "doc_id bigint, media binary"
-DECODED = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+DECODED = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, samples bigint, sample_rate int, duration double, frame_offsets array<bigint>"
 
 
 def _described(doc_id: int | None, media: bytes) -> tuple:
@@ -251,7 +301,7 @@ def _described(doc_id: int | None, media: bytes) -> tuple:
     if s.crc_bad or s.table.get("frames") != len(s.offsets):
         raise ValueError(f"document {doc_id}: the stored stream is damaged")
     feature = f"mpeg1.l3;{s.rate}Hz;frames={len(s.offsets)};samples={s.samples};ms={s.samples * 1000 // s.rate};crc_ok={s.crc_checked};first={s.offsets[0]};last={s.offsets[-1]};mid={s.offset_at(s.samples / s.rate / 2)}"
-    return doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.samples, s.rate, s.samples / s.rate, s.offsets
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +313,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("samples", pa.int64()), ("sample_rate", pa.int32()), ("duration", pa.float64()), ("frame_offsets", pa.list_(pa.int64()))])
     for batch in batches:
         rows = [_described(i, m.as_buffer().to_pybytes()) for i, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
@@ -279,14 +329,11 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """Read stored streams back: payload digests, exact duration, checksum count and seek offsets. Damage raises."""
+    """Read stored streams (doc_id, media) back: payload digests, exact duration in samples and seconds, checksum count and the
+    byte offset of every frame, by which a player seeks. Damage raises."""
     return media.mapInArrow(_describe, DECODED)
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Both steps in one pass over Arrow batches, so that the streams stay in the worker that made them."""
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _describe(_store(batches))
-
-    return _slim(df, id_col, text_col).mapInArrow(both, DECODED)
+    """Write the streams of all texts as a media column of a table in the shared folder, and describe what is read back from it."""
+    return describe_media(kept(store_media(df, id_col, text_col), "media", compression="zstd"))
