@@ -7,15 +7,15 @@ sketch says is cheapest: a longer prefix posts more shingles but asks for more m
 verified. A pair uses the smaller l of its two classes, and the prefixes that its own needed overlap, num/(num+den) of both sizes,
 leaves: shorter ones than either class had to post for its smallest partners. Postings carry their position for that.
 
-Texts are read three times, for the sketch, the prefixes and the sets of candidate classes; sets are not stored, since
-hashes are longer than the texts they come from. Postings of a shingle that a single class has posted go at once, then those of classes that are left with fewer
+Texts are read for the sketch, for the prefixes, and for the sets of the classes to verify in each step. Sets are not
+stored but for these, since hashes are longer than the texts they come from. Postings of a shingle that a single class has posted go at once, then those of classes that are left with fewer
 postings than any partner asks for.
 
 Only which documents are connected is asked for, so a pair inside a known component is of no use. Linear rounds come first:
 of the components that post a shingle, the one with the plainest member (the shingle stands earliest in its order, so it has
 the fewest rare shingles) is the shingle's hub; every other component is verified against the hub that it meets in
 most shingles, and what links is merged. A large group of near copies collapses onto its original there. Rounds go on while
-they pay. Then components are joined with components, one row per shingle and component, with bounds that no pair of
+they add a tenth of the links found so far. Then components are joined with components, one row per shingle and component, with bounds that no pair of
 their members can beat; only for the component pairs that stay, and the shingles by which they met, are pairs of classes
 listed, counted and verified, all of them.
 No pair is dropped for any other reason than these filters, which lose nothing; no pair is verified twice.
@@ -49,7 +49,7 @@ from tidewatch.llm.components import components
 K, NUM, DEN = 5, 80, 100
 LEVELS = 4
 CELL_BITS, BLOCK_BITS, BITMAP_BITS = 21, 14, 26
-SALT_ROWS, PAYS = 20_000, 20
+SALT_ROWS, PAYS = 20_000, 10
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -209,9 +209,8 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, shared: DataFrame, clash: list[int], k: int) -> DataFrame:
-    """(cls, members) once for each class with a shared posting. A bitmap of fixed size keeps most others from the shuffle."""
-    wanted = shared.select("cls").distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, clash: list[int], k: int) -> DataFrame:
+    """(cls, members) once for each class in the stored table `wanted` (cls). A bitmap of fixed size keeps most others from the shuffle."""
     bitmap, clashing = zlib.compress(_bitmap(wanted).tobytes(), 1), np.array(clash, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +225,9 @@ def _sets(docs: DataFrame, shared: DataFrame, clash: list[int], k: int) -> DataF
                 keep &= np.diff(border) > 0
                 yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), _packed(s, border, keep)], names=["cls", "members"])
 
-    near = docs.mapInArrow(run, "cls bigint, members binary")
-    nth = F.row_number().over(W.partitionBy("cls").orderBy("cls"))  # one of equal sets, on the join's own partitioning
-    return near.join(wanted, "cls", "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
+    near = docs.mapInArrow(run, "cls bigint, members binary").join(wanted, "cls", "left_semi")
+    nth = F.row_number().over(W.partitionBy("cls").orderBy("cls"))  # one of equal sets
+    return near.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -260,12 +259,12 @@ def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
 
 def _hub_pairs(across: DataFrame, tried: DataFrame | None, num: int, den: int) -> DataFrame:
     """For every component but the hub of each shared shingle, a pair (a, b) of its plainest member with that of a hub: of
-    the pairs not tried yet, the one that it meets in most shingles. across: shingle, cls, n, pos, comp."""
-    one = across.groupBy("shingle", "comp").agg(F.min(F.struct("pos", "cls", "n")).alias("x"))
+    the pairs not tried yet that meet often enough, the one that meets most often. across: shingle, cls, n, pos, ell, comp."""
+    one = across.groupBy("shingle", "comp").agg(F.min(F.struct("pos", "cls", "n", "ell")).alias("x"))
     hub = one.groupBy("shingle").agg(F.min(F.struct("x", "comp")).alias("h"))
     fits = F.least("x.n", "h.x.n") * den >= F.greatest("x.n", "h.x.n") * num
     met = one.join(hub, "shingle").where((F.col("comp") != F.col("h.comp")) & fits)
-    pair = met.groupBy("comp", *_ordered(F.col("x.cls"), F.col("h.x.cls"))).agg(F.count("*").alias("c"))
+    pair = met.groupBy("comp", *_ordered(F.col("x.cls"), F.col("h.x.cls"))).agg(F.count("*").alias("c"), F.min(F.least("x.ell", "h.x.ell")).alias("ell")).where("c >= ell")
     best = _untried(pair, tried).groupBy("comp").agg(F.max(F.struct("c", "a", "b")).alias("best"))
     return best.select("best.a", "best.b").distinct()
 
@@ -283,14 +282,16 @@ def _near_components(across: DataFrame, num: int, den: int) -> DataFrame:
     A shingle at pos counts for classes of n and m members if (num + den) * pos < den * n - num * m + (num + den) * l; the
     best member of a component is put against the smallest of the other."""
     both = num + den
-    facts = across.groupBy("shingle", "comp").agg(F.max(F.lit(den) * F.col("n") - F.lit(both) * F.col("pos")).alias("reach"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("ell").alias("ell"), F.max("ell").alias("top"))
-    one, two = (facts.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("comp", "reach", "low", "high", "ell", "top")]) for i in (1, 2))
+    facts = across.groupBy("shingle", "comp").agg(F.max(F.lit(den) * F.col("n") - F.lit(both) * F.col("pos")).alias("reach"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("ell").alias("ell"), F.max("ell").alias("top"), F.count("*").alias("many"))
+    one, two = (facts.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("comp", "reach", "low", "high", "ell", "top", "many")]) for i in (1, 2))
     room = F.least("top_1", "top_2") * both
     fits = (F.col("high_1") * den >= F.col("low_2") * num) & (F.col("high_2") * den >= F.col("low_1") * num)
     met = one.join(two, "shingle").where((F.col("comp_1") < F.col("comp_2")) & fits & (F.col("reach_1") + room > F.col("low_2") * num) & (F.col("reach_2") + room > F.col("low_1") * num))
     pair = W.partitionBy("comp_1", "comp_2")
     counted = met.select("*", F.count("*").over(pair).alias("c"), F.min(F.least("ell_1", "ell_2")).over(pair).alias("ell")).where("c >= ell")
-    return counted.select("comp_1", "comp_2", "shingle", F.col("low_2").alias("low"), F.col("high_2").alias("high"), F.col("top_2").alias("top"))
+    swap = F.col("many_1") > F.col("many_2")  # the component with fewer members at the shingle comes first
+    other = {c: F.when(swap, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2")).alias(c) for c in ("low", "high", "top", "comp")}
+    return counted.select(F.when(swap, F.col("comp_2")).otherwise(F.col("comp_1")).alias("comp_1"), other["comp"].alias("comp_2"), "shingle", other["low"], other["high"], other["top"])
 
 
 def _match_pairs(across: DataFrame, near: DataFrame, num: int, den: int) -> DataFrame:
@@ -326,18 +327,20 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, salt_rows: int) -> tup
     if clash := _clashes(rows):
         rows = rows.withColumn("cls", F.when(F.col("cls").isin(clash), F.col("cls2")).otherwise(F.col("cls")))
     shared = kept(_shared(_postings(slim, _sketch(facts), clash, k, num, den, salt_rows)), "shared-shingles")
-    sets = kept(_sets(slim, shared, clash, k), "candidate-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return kept(_verified(kept(pairs, "pairs"), sets, num, den), "verified-pairs")
+        pairs = kept(pairs, "pairs")
+        wanted = kept(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "pairs-classes")
+        return kept(_verified(pairs, kept(_sets(slim, wanted, clash, k), "pairs-sets"), num, den), "verified-pairs")
 
-    tried, across, pays = None, shared.withColumn("comp", F.col("cls")), True
+    tried, across, pays, links = None, shared.withColumn("comp", F.col("cls")), True, 0
     while pays:
         more = verified(_hub_pairs(across, tried, num, den))
-        r = more.agg(F.count("*").alias("n"), F.count_if("linked").alias("linked")).first()
-        pays = r["linked"] > 0 and r["linked"] * PAYS >= r["n"]
+        linked = more.where("linked").count()
+        links += linked
+        pays = linked * PAYS > links
         tried = more if tried is None else tried.union(more)
-        if r["linked"]:
+        if linked:
             across = kept(_across(shared, components(tried.where("linked"))), "open-shingles")
     near = kept(_near_components(across, num, den), "near-components")
     tried = tried.union(verified(_untried(_match_pairs(across, near, num, den), tried)))
