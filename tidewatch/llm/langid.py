@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tidewatch.llm._io import kept
 from tidewatch.llm._vec import pieces
 
 WINDOW, WIDTHS, FILTERS, DIMS = 128, (2, 3, 4), 12, 8
@@ -167,14 +168,14 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFram
 
     Hashes below a bound that some SPARE times as many rows reach are ranked only, so no task ranks a whole language."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    many = known.groupBy("lang").agg(F.count("*").alias("many"))
+    many = kept(known.groupBy("lang").agg(F.count("*").alias("many")), "languages")
     order = F.xxhash64("doc_id", "lang", F.xxhash64("text"))
     room = F.greatest(F.length("text") - SPAN_CHARS, F.lit(1))
     spans = F.concat_ws("", *[F.substring("text", F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(k)), room).cast("int"), F.lit(SPAN_CHARS)) for k in range(SPANS)])
     rank = F.row_number().over(W.partitionBy("lang").orderBy("o", "spans"))
-    # a language has few rows in `many`; the planner checks its size before it broadcasts it
-    drawn = known.withColumn("o", order).join(many, "lang").where(F.pmod("o", F.lit(1 << 40)) < F.lit(float(1 << 40) * SPARE * per_language) / F.col("many"))
-    return drawn.groupBy("lang", "o").agg(F.min(spans).alias("spans")).withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "spans")
+    # `many` is a stored table, so the planner knows its size and broadcasts it while it is small
+    drawn = known.select("lang", order.alias("o"), spans.alias("spans")).join(many, "lang").where(F.pmod("o", F.lit(1 << 40)) < F.lit(float(1 << 40) * SPARE * per_language) / F.col("many"))
+    return drawn.groupBy("lang", "o").agg(F.min("spans").alias("spans")).withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "spans")
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet:
