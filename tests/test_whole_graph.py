@@ -20,11 +20,11 @@ def test_coloured_components_equal_brute_force(spark, seed, n, m):
     assert rows(graph.coloured_components(df)) == sorted(((a, min(s)) for a, s in same.items() if len(s) > 1), key=repr)
 
 
-@pytest.mark.parametrize("name", ["scc_all", "call_cycle_all", "closing_edges_all", "caller_callee_counts_all", "pass_through_all"])
+@pytest.mark.parametrize("name", ["scc", "call_cycle", "closing_edges", "caller_callee_counts", "pass_through", "reach", "reachable_complexity", "impact"])
 def test_whole_graph_equals_its_sql(spark, duck, name):  # noqa: F811
     df, want = QUERIES[name](spark, DATA), duck.sql(SQL[name])
     got = plain([tuple(r) for r in df.collect()], df.columns)
     assert sorted(df.columns) == sorted(want.columns) and got == plain(want.fetchall(), want.columns)
     parts, lines = duck.sql("SELECT count(DISTINCT l_partkey) FROM lineitem").fetchall()[0][0], len(got)
-    assert name == "pass_through_all" or lines > (1 if name == "closing_edges_all" else 0)
-    assert name != "caller_callee_counts_all" or lines == parts
+    assert name == "pass_through" or lines > (1 if name == "closing_edges" else 0)
+    assert name != "caller_callee_counts" or lines == parts

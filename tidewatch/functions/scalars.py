@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Steps of the ladder of limits that people write, and the largest.
@@ -81,6 +81,22 @@ def non_stub_methods(methods: Column, automatic: Column) -> Column:
     return F.greatest(F.lit(0), methods - 2 * F.coalesce(automatic, F.lit(0)))
 
 
+def count_params(parameters: Column) -> Column:
+    """How many parameters are declared; none are 0."""
+    return F.coalesce(F.size(parameters), F.lit(0))
+
+
+def long_name(scope: Column, path: Column, name: Column) -> Column:
+    """A file is named by its path, anything else by its qualified name."""
+    return F.when(scope == "file", path).otherwise(name)
+
+
+def root_checked(files: DataFrame, root: str) -> DataFrame:
+    """One row (held: true) if some file (path) lies below the root, none for no files; a root that holds none of them is refused."""
+    some = files.agg(F.bool_or(F.col("path").startswith(root)).alias("held")).where("held IS NOT NULL")
+    return some.select(F.when(F.col("held"), F.col("held")).otherwise(F.raise_error(F.lit(f"no file below {root}"))).alias("held"))
+
+
 def below_floor(metrics: Column, floor_metric: str, minimum: int) -> Column:
     """Known and below the minimum; unknown means judged."""
     value = F.element_at(metrics, floor_metric)

@@ -7,16 +7,26 @@ when there are none.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_top(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a session whose workers are on this machine may go without; a cluster is refused."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return top or os.path.join(tempfile.gettempdir(), "tidewatch-shared")
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df, written to the folder that all machines share and read back."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewatch-shared"
+    top = shared_top(spark)
     path = f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -34,6 +44,17 @@ def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         found = found.union(front)
 
 
+def bounded(edges: DataFrame, requested: DataFrame) -> DataFrame:
+    """Edges out of nodes that the requested ones (node) reach. One set is grown for all of them, a row a node."""
+    steps = edges.select("src", "dst").where("src <> dst").distinct()
+    found = front = stored(requested.select("node").distinct(), "bound")
+    while not front.isEmpty():
+        new = front.join(steps, front.node == steps.src).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
+        front = stored(new, "bound")
+        found = found.union(front)
+    return edges.join(found.select(F.col("node").alias("src")), "src", "left_semi").select(*edges.columns)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): nodes that reach each other; component is the smallest of them, nodes on no cycle are left out.
 
@@ -114,6 +135,31 @@ def reachable_complexity(subjects: DataFrame, edges: DataFrame, nodes: DataFrame
     return summed if most is None else summed.where(F.col("complexity") > most)
 
 
+def labelled(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(node, component) of every node of either table: its cycle's name, or its own."""
+    c = coloured_components(edges) if components is None else components
+    every = nodes.select("node").union(edges.select(F.col("src").alias("node"))).union(edges.select(F.col("dst").alias("node"))).distinct()
+    return every.join(c.select("node", F.col("component").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
+
+
+def reach_components(nodes: DataFrame, edges: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """(seed, node): every pair of components of which the first reaches the second, itself included.
+
+    All members of a component reach the same, so the closure is taken over the acyclic graph of components: a large cycle is one row."""
+    label = stored(labelled(nodes, edges), "label") if label is None else label
+    ends = edges.select("src", "dst").join(label.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(label.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+    between = stored(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "between")
+    return reach(label.select(F.col("component").alias("node")).distinct(), between)
+
+
+def whole_reachable_complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """reachable_complexity with every node of `nodes` as a subject, by way of the graph of components."""
+    label = stored(labelled(nodes, edges), "label")
+    weight = label.join(nodes, "node", "left").groupBy(F.col("component").alias("node")).agg(F.count("*").alias("n"), F.sum("complexity").alias("c"), F.count_if(F.col("complexity").isNull()).alias("u"))
+    summed = reach_components(nodes, edges, label).join(weight, "node").groupBy(F.col("seed").alias("component")).agg(F.sum("n").alias("reached"), F.coalesce(F.sum("c"), F.lit(0.0)).alias("complexity"), F.sum("u").alias("unmeasured"))
+    return nodes.select("node").distinct().join(label, "node").join(summed, "component").select("node", "reached", "complexity", "unmeasured")
+
+
 def impact(start: DataFrame, edges: DataFrame, depth: int = 3, opaque: DataFrame | None = None) -> DataFrame:
     """(start, node, depth): who refers to a start, at the nearest depth; opaque nodes are passed without using up a level."""
     back = edges.select(F.col("dst").alias("at"), F.col("src").alias("to")).where("at <> to").distinct()

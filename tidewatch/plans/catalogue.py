@@ -43,17 +43,13 @@ VIEWS = {
     "eb": "eb AS (SELECT src, dst, refs FROM se WHERE side = 'before')",
     "ne": "ne AS (SELECT src, dst FROM ea EXCEPT SELECT src, dst FROM eb)",
     "am": "am AS (SELECT r_name AS node, n_name AS path, n_nationkey AS ordinal FROM nation JOIN region ON n_regionkey = r_regionkey)",
-    "ce": """ce AS (SELECT src, dst, count(*) AS refs FROM (SELECT l_partkey % 200 AS src, lead(l_partkey % 200) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5)""",
     "cea": """cea AS (SELECT src, dst, count(*) AS refs FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL GROUP BY 1, 2)""",
     "rea": "rea AS (SELECT DISTINCT src AS seed, src AS node FROM cea UNION SELECT rea.seed, cea.dst FROM rea JOIN cea ON cea.src = rea.node)",
     "sca": "sca AS (SELECT a.seed AS node, min(a.node) AS component FROM rea a JOIN rea b ON a.seed = b.node AND a.node = b.seed GROUP BY 1 HAVING count(*) > 1)",
-    "cn": "cn AS (SELECT p_partkey % 200 AS node, CASE WHEN (p_partkey % 200) % 7 <> 0 THEN CAST(sum(p_size) AS DOUBLE) END AS complexity FROM part GROUP BY 1)",
     "ch": "ch AS (SELECT * FROM (VALUES ('M', 'NATION_3', NULL), ('D', 'NATION_7', NULL), ('R', 'NATION_2', 'NATION_9')) t(status, path, old_path))",
     "gone": "gone AS (SELECT path FROM ch WHERE status = 'D' UNION SELECT old_path FROM ch WHERE status = 'R')",
     "af": """af AS (SELECT path FROM (SELECT path FROM ch WHERE status <> 'D' UNION
         SELECT src FROM ((SELECT src, dst FROM ea WHERE dst NOT IN (FROM gone) EXCEPT SELECT src, dst FROM eb) UNION (SELECT src, dst FROM eb WHERE dst NOT IN (FROM gone) EXCEPT SELECT src, dst FROM ea)) t(src, dst)) WHERE path NOT IN (FROM gone))""",
-    "re": "re AS (SELECT DISTINCT src AS seed, src AS node FROM ce UNION SELECT re.seed, ce.dst FROM re JOIN ce ON ce.src = re.node)",
-    "sc": "sc AS (SELECT a.seed AS node, min(a.node) AS component FROM re a JOIN re b ON a.seed = b.node AND a.node = b.seed GROUP BY 1 HAVING count(*) > 1)",
     "ln": """ln AS (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line) - 1 AS idx, substr(sha256(code), 1, 16) AS hash
         FROM (SELECT CAST(doc_id AS VARCHAR) AS path, i AS line, regexp_replace(parts[i], '\\s+', '', 'g') AS code
               FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))) WHERE code <> '')""".replace("\\\\", "\\"),
@@ -371,55 +367,39 @@ def duplicate_definition(spark, sf_dir):
 # --- graphs -----------------------------------------------------------------------------------------------
 
 
-def _subjects(spark, sf_dir):
-    return P.call_nodes(spark, sf_dir).where("node < 10").select("node")
+_LABEL = "lb AS (SELECT node, coalesce(component, node) AS component FROM (SELECT src AS node FROM cea UNION SELECT dst FROM cea UNION SELECT p_partkey FROM part) LEFT JOIN sca USING (node))"
 
 
-@query("SELECT seed, node FROM re WHERE seed < 10 UNION SELECT node, node FROM cn WHERE node < 10", "ce", "cn", "re", recursive=True)
+@query(f", {_LABEL} SELECT DISTINCT a.component AS seed, b.component AS node FROM rea JOIN lb a ON a.node = seed JOIN lb b ON b.node = rea.node UNION SELECT component, component FROM lb", "cea", "rea", "sca", recursive=True)
 def reach(spark, sf_dir):
-    return graph.reach(_subjects(spark, sf_dir), P.call_edges(spark, sf_dir))
+    """Which groups of parts that call each other reach which; parts on no cycle are groups of one."""
+    return graph.reach_components(P.call_nodes(spark, sf_dir), P.call_edges(spark, sf_dir))
 
 
 @query(
-    """SELECT seed AS node, count(*) AS reached, coalesce(sum(complexity), 0) AS complexity, count(*) - count(complexity) AS unmeasured
-       FROM (SELECT seed, node FROM re WHERE seed < 10 UNION SELECT node, node FROM cn WHERE node < 10) LEFT JOIN cn USING (node) GROUP BY 1""",
-    "ce", "cn", "re", recursive=True,
+    """, cn AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS complexity FROM part)
+       SELECT seed AS node, count(*) AS reached, coalesce(sum(complexity), 0) AS complexity, count(*) - count(complexity) AS unmeasured
+       FROM (SELECT seed, node FROM rea WHERE seed IN (SELECT node FROM cn) UNION SELECT node, node FROM cn) LEFT JOIN cn USING (node) GROUP BY 1""",
+    "cea", "rea", recursive=True,
 )
 def reachable_complexity(spark, sf_dir):
-    return graph.reachable_complexity(_subjects(spark, sf_dir), P.call_edges(spark, sf_dir), P.call_nodes(spark, sf_dir))
+    return graph.whole_reachable_complexity(P.call_nodes(spark, sf_dir), P.call_edges(spark, sf_dir))
 
 
-@query("SELECT node, component FROM sc", "ce", "re", "sc", recursive=True)
+@query("SELECT node, component FROM sca", "cea", "rea", "sca", recursive=True)
 def scc(spark, sf_dir):
-    return graph.strong_components(P.call_edges(spark, sf_dir))
+    return graph.coloured_components(P.call_edges(spark, sf_dir))
 
 
-@query("SELECT component, count(*) AS members, count(*) FILTER (node % 2 = 0) AS judged FROM sc GROUP BY 1 HAVING count(*) FILTER (node % 2 = 0) > 0", "ce", "re", "sc", recursive=True)
+@query("SELECT component, count(*) AS members, count(p_partkey) AS judged FROM sca LEFT JOIN part ON p_partkey = node GROUP BY 1 HAVING count(p_partkey) > 0", "cea", "rea", "sca", recursive=True)
 def call_cycle(spark, sf_dir):
     edges = P.call_edges(spark, sf_dir)
-    return graph.call_cycles(edges, P.call_nodes(spark, sf_dir).where("node % 2 = 0"))
+    return graph.call_cycles(edges, P.call_nodes(spark, sf_dir), graph.coloured_components(edges))
 
 
-@query("SELECT src, dst, refs, a.component FROM ce JOIN sc a ON a.node = src JOIN sc b ON b.node = dst WHERE a.component = b.component", "ce", "re", "sc", recursive=True)
+@query("SELECT src, dst, refs, a.component FROM cea JOIN sca a ON a.node = src JOIN sca b ON b.node = dst WHERE a.component = b.component", "cea", "rea", "sca", recursive=True)
 def closing_edges(spark, sf_dir):
     edges = P.call_edges(spark, sf_dir)
-    return graph.closing_edges(edges, graph.strong_components(edges))
-
-
-@query("SELECT node, component FROM sca", "cea", "rea", "sca", recursive=True)
-def scc_all(spark, sf_dir):
-    return graph.coloured_components(P.all_call_edges(spark, sf_dir))
-
-
-@query("SELECT component, count(*) AS members, count(p_partkey) AS judged FROM sca LEFT JOIN part ON p_partkey = node GROUP BY 1 HAVING count(p_partkey) > 0", "cea", "rea", "sca", recursive=True)
-def call_cycle_all(spark, sf_dir):
-    edges = P.all_call_edges(spark, sf_dir)
-    return graph.call_cycles(edges, P.all_call_nodes(spark, sf_dir), graph.coloured_components(edges))
-
-
-@query("SELECT src, dst, refs, a.component FROM cea JOIN sca a ON a.node = src JOIN sca b ON b.node = dst WHERE a.component = b.component", "cea", "rea", "sca", recursive=True)
-def closing_edges_all(spark, sf_dir):
-    edges = P.all_call_edges(spark, sf_dir)
     return graph.closing_edges(edges, graph.coloured_components(edges))
 
 
@@ -434,14 +414,17 @@ def file_cycle(spark, sf_dir):
     return graph.new_cycles(*P.strong_edges(spark, sf_dir))
 
 
+_IMPACT = """SELECT start, node, CAST(min(d) AS INTEGER) AS depth FROM (SELECT *, 1 AS d FROM i1 UNION ALL SELECT *, 2 FROM i2) GROUP BY 1, 2"""
+
+
 @query(
-    """, i1 AS (SELECT DISTINCT s.node AS start, ce.src AS node, 1 AS d FROM cn s JOIN ce ON ce.dst = s.node WHERE s.node < 5 AND ce.src <> s.node),
-       i2 AS (SELECT DISTINCT start, ce.src AS node, 2 AS d FROM i1 JOIN ce ON ce.dst = i1.node), i3 AS (SELECT DISTINCT start, ce.src AS node, 3 AS d FROM i2 JOIN ce ON ce.dst = i2.node)
-       SELECT start, node, CAST(min(d) AS INTEGER) AS depth FROM (FROM i1 UNION ALL FROM i2 UNION ALL FROM i3) WHERE node <> start GROUP BY 1, 2""",
-    "ce", "cn",
+    f""", i1 AS (SELECT DISTINCT dst AS start, src AS node FROM cea JOIN part ON p_partkey = dst WHERE src <> dst),
+       i2 AS (SELECT DISTINCT start, src AS node FROM i1 JOIN cea ON cea.dst = i1.node WHERE cea.src <> start AND cea.src <> cea.dst) {_IMPACT}""",
+    "cea",
 )
 def impact(spark, sf_dir):
-    return graph.impact(P.call_nodes(spark, sf_dir).where("node < 5"), P.call_edges(spark, sf_dir))
+    """Who refers to any part, over at most two steps; every part is a start."""
+    return graph.impact(P.call_nodes(spark, sf_dir), P.call_edges(spark, sf_dir), 2)
 
 
 # --- text -------------------------------------------------------------------------------------------------
@@ -506,35 +489,21 @@ def unused_routine(spark, sf_dir):
     return dead.unreferenced(facts, ["^src0$"]).select("doc_id")
 
 
-_CF = """, ci AS (SELECT dst AS key, count(DISTINCT src) AS callers FROM ce WHERE src <> dst GROUP BY 1), co AS (SELECT src AS key, count(DISTINCT dst) AS callees, min(dst) AS one FROM ce WHERE src <> dst GROUP BY 1),
+_CF = """, ci AS (SELECT dst AS key, count(DISTINCT src) AS callers FROM cea WHERE src <> dst GROUP BY 1), co AS (SELECT src AS key, count(DISTINCT dst) AS callees, min(dst) AS one FROM cea WHERE src <> dst GROUP BY 1),
     cf AS (SELECT key, coalesce(callers, 0) AS callers, coalesce(callees, 0) AS callees, CASE WHEN callees = 1 THEN one END AS forwards_to FROM ci FULL JOIN co USING (key)) """
 
 
-@query(_CF + "SELECT * FROM cf", "ce")
+@query(_CF + "SELECT * FROM cf", "cea")
 def caller_callee_counts(spark, sf_dir):
     return dead.call_facts(P.call_edges(spark, sf_dir))
 
 
-@query(_CF + "SELECT key, forwards_to FROM cf WHERE callers = 1 AND callees = 1", "ce")
+@query(_CF + "SELECT key, forwards_to FROM cf WHERE callers = 1 AND callees = 1", "cea")
 def pass_through(spark, sf_dir):
     facts = dead.call_facts(P.call_edges(spark, sf_dir)).select("*", F.col("key").cast("string").alias("longname"), F.lit(False).alias("overrides"), F.lit(1).alias("statements"))
     return dead.pass_through(facts).select("key", "forwards_to")
 
 
-_CFA = _CF.replace("FROM ce ", "FROM cea ")
-
-
-@query(_CFA + "SELECT * FROM cf", "cea")
-def caller_callee_counts_all(spark, sf_dir):
-    return dead.call_facts(P.all_call_edges(spark, sf_dir))
-
-
-@query(_CFA + "SELECT key, forwards_to FROM cf WHERE callers = 1 AND callees = 1", "cea")
-def pass_through_all(spark, sf_dir):
-    facts = dead.call_facts(P.all_call_edges(spark, sf_dir)).select("*", F.col("key").cast("string").alias("longname"), F.lit(False).alias("overrides"), F.lit(1).alias("statements"))
-    return dead.pass_through(facts).select("key", "forwards_to")
-
-
 @query("SELECT p_brand AS name, count(DISTINCT p_type) AS classes FROM part GROUP BY 1")
 def method_declarations(spark, sf_dir):
     return dead.method_declarations(P.read(spark, sf_dir, "part").select(F.col("p_type").alias("class"), F.col("p_brand").alias("method")))

@@ -26,6 +26,10 @@ DEFAULTS: dict[str, dict] = {
 NO_RATCHET = ["file.CountDeclFunction", "file.CountDeclClass", "file.CountLineCode", "class.CountDeclMethod", "class.CountDeclMethodNonStub", "class.CountDeclInstanceVariable", "class.CountClassCoupled", "class.CountClassDerived"]
 
 
+#: Shipped limits that warn.
+SOFT = {"file.RatioCommentToCode", "class.PercentLackOfCohesion", "routine.Essential", "class.MaxInheritanceTree", "routine.CountLineComment", "routine.LinesPerStatement"}
+
+
 def merge(layers: list[tuple[str, Mapping]]) -> tuple[dict, dict[str, str]]:
     """(settings, layer of every leaf): later layers win; tables merge, lists and scalars replace, and a bare number over a limit's table changes its maximum only."""
     out: dict = {}
@@ -64,7 +68,7 @@ def thresholds(spark: SparkSession, settings: Mapping) -> DataFrame:
             spec = value if isinstance(value, Mapping) else {"max": value}
             prefix, _, metric = name.rpartition(":")
             ratchet = spec.get("ratchet", f"{scope}.{name}" not in NO_RATCHET)
-            rows.append((scope, prefix.upper() or None, metric, None if spec.get("max") is None else float(spec["max"]), None if spec.get("min") is None else float(spec["min"]), spec.get("severity", "error"), bool(ratchet)))
+            rows.append((scope, prefix.upper() or None, metric, None if spec.get("max") is None else float(spec["max"]), None if spec.get("min") is None else float(spec["min"]), spec.get("severity", "warning" if f"{scope}.{name}" in SOFT else "error"), bool(ratchet)))
     return spark.createDataFrame(rows, "scope string, prefix string, metric string, most double, least double, severity string, ratchet boolean")
 
 

@@ -2,7 +2,7 @@
 
 Routines are customers (path: nation, longname: name, parameters: segment) measured by their orders; the before side is
 what was ordered until `CUT`, the after side the rest. Files are nations, architecture nodes regions. File edges are line items from
-the customer's to the supplier's nation, call edges run between part groups of neighbouring lines of an order. Definitions are
+the customer's to the supplier's nation, call edges run between the parts of neighbouring lines of an order. Definitions are
 events, code lines the lines of documents.
 """
 
@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CUT = "1998-07-01"
-GROUPS = 200
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,27 +67,14 @@ def arch_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("node"), F.col("n_name").alias("path"), F.col("n_nationkey").alias("ordinal"))
 
 
-def call_edges(spark: SparkSession, sf_dir: str, least: int = 5) -> DataFrame:
-    """src, dst, refs between part groups that stand next to each other in an order, at least so often."""
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    steps = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % GROUPS).alias("src"), F.lead(F.col("l_partkey") % GROUPS).over(order).alias("dst"))
-    return steps.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("refs")).where(F.col("refs") >= least)
-
-
-def call_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """node, complexity; groups divisible by 7 are unmeasured."""
-    part = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % GROUPS).alias("node")).agg(F.sum("p_size").cast("double").alias("c"))
-    return part.select("node", F.when(F.col("node") % 7 != 0, F.col("c")).alias("complexity"))
-
-
-def all_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, refs between all parts that stand next to each other in an order, however seldom."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     steps = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
     return steps.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("refs"))
 
 
-def all_call_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def call_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, complexity of every part; keys divisible by 7 are unmeasured."""
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_size").cast("double")).alias("complexity"))
 
