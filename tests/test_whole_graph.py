@@ -7,7 +7,7 @@ from tidewatch.operators import graph
 
 
 @pytest.mark.parametrize(("seed", "n", "m"), [(0, 12, 14), (1, 14, 22), (2, 0, 0)])
-def test_coloured_components_equal_brute_force(spark, seed, n, m):
+def test_strong_components_equal_brute_force(spark, seed, n, m):
     rng = np.random.default_rng(seed)
     pairs = {(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))} if n else set()
     reach = {a: {a} for a in range(n)}
@@ -17,7 +17,7 @@ def test_coloured_components_equal_brute_force(spark, seed, n, m):
                 x |= {b} if a in x else set()
     same = {a: {b for b in reach[a] if a in reach[b]} for a in range(n)}
     df = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src bigint, dst bigint, refs bigint")
-    assert rows(graph.coloured_components(df)) == sorted(((a, min(s)) for a, s in same.items() if len(s) > 1), key=repr)
+    assert rows(graph.strong_components(df)) == sorted(((a, min(s)) for a, s in same.items() if len(s) > 1), key=repr)
 
 
 @pytest.mark.parametrize("name", ["scc", "call_cycle", "closing_edges", "caller_callee_counts", "pass_through", "reach", "reachable_complexity", "impact"])

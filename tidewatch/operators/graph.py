@@ -58,24 +58,7 @@ def bounded(edges: DataFrame, requested: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): nodes that reach each other; component is the smallest of them, nodes on no cycle are left out.
 
-    Nodes without an edge in or out are trimmed first, again and again, so closures are built on the cyclic core only."""
-    core = stored(edges.select("src", "dst").where("src <> dst").distinct(), "core")
-    size = core.count()
-    while size:
-        left = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        core = stored(left, "core")
-        before, size = size, core.count()
-        if size == before:
-            break
-    pairs = reach(core.select(F.col("src").alias("node")), core)
-    both = pairs.join(pairs.select(F.col("node").alias("seed"), F.col("seed").alias("node")), ["seed", "node"])
-    return both.groupBy(F.col("seed").alias("node")).agg(F.min("node").alias("component"), F.count("*").alias("size")).where("size > 1").select("node", "component")
-
-
-def coloured_components(edges: DataFrame) -> DataFrame:
-    """What strong_components gives, without closures: for large cores, whose pairs are too many.
-
-    Every node takes the smallest node that reaches it as its colour; those of a colour that reach the node it is named
+    Nodes without an edge in or out are trimmed first, again and again. No closure is built: every node takes the smallest node that reaches it as its colour; those of a colour that reach the node it is named
     after are that node's component. They are taken out, and what is left starts anew. A step holds one row a node or edge."""
     core = stored(edges.select("src", "dst").where("src <> dst").distinct(), "core")
     found = core.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
@@ -137,7 +120,7 @@ def reachable_complexity(subjects: DataFrame, edges: DataFrame, nodes: DataFrame
 
 def labelled(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node of either table: its cycle's name, or its own."""
-    c = coloured_components(edges) if components is None else components
+    c = strong_components(edges) if components is None else components
     every = nodes.select("node").union(edges.select(F.col("src").alias("node"))).union(edges.select(F.col("dst").alias("node"))).distinct()
     return every.join(c.select("node", F.col("component").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 

@@ -44,14 +44,19 @@ def repeated_windows(lines: DataFrame, k: int) -> DataFrame:
 
 
 def duplicate_blocks(lines: DataFrame, k: int = 12, subjects: DataFrame | None = None) -> DataFrame:
-    """path, start, stop, code_lines, elsewhere: maximal runs of repeated windows with another place outside their own range."""
+    """path, start, stop, code_lines, elsewhere: maximal runs of repeated windows with another place outside their own range.
+
+    A place has one window, so the places of a run are those of its distinct keys, and no place is listed: the number of each
+    key's places is known, and those inside the range are the run's own and some of the k - 1 windows that follow it."""
     rep = repeated_windows(lines, k)
     judged = rep if subjects is None else rep.join(subjects.select("path").distinct(), "path", "left_semi")
     runs = judged.withColumn("island", F.col("idx") - F.row_number().over(W.partitionBy("path").orderBy("idx")))
-    blocks = runs.groupBy("path", "island").agg(F.min("line").alias("start"), F.max("last_line").alias("stop"), (F.max("idx") - F.min("idx") + k).alias("code_lines"))
-    places = rep.select("key", F.col("path").alias("p2"), F.col("line").alias("l2"), F.col("idx").alias("i2"))
-    met = runs.join(blocks, ["path", "island"]).join(places, "key").where((F.col("path") != F.col("p2")) | (F.col("l2") < F.col("start")) | (F.col("l2") > F.col("stop")))
-    return met.groupBy("path", "start", "stop", "code_lines").agg(F.count_distinct("p2", "l2").alias("elsewhere"))
+    blocks = runs.groupBy("path", "island").agg(F.min("line").alias("start"), F.max("last_line").alias("stop"), F.max("idx").alias("end"), (F.max("idx") - F.min("idx") + k).alias("code_lines"))
+    keys = runs.groupBy("path", "island", "key").agg((F.max("places") - F.count("*")).alias("others"))
+    after = blocks.where(F.lit(k > 1)).select("path", "island", F.explode(F.sequence(F.col("end") + 1, F.col("end") + max(1, k - 1))).alias("idx"))
+    tail = after.join(rep.select("path", "idx", "key"), ["path", "idx"]).select("path", "island", "key", F.lit(-1).cast("bigint").alias("others")).join(keys.select("path", "island", "key"), ["path", "island", "key"], "left_semi")
+    counted = keys.unionByName(tail).groupBy("path", "island").agg(F.sum("others").alias("elsewhere")).where("elsewhere > 0")
+    return blocks.join(counted, ["path", "island"]).select("path", "start", "stop", "code_lines", "elsewhere")
 
 
 def shapes(lines: DataFrame, id_col: str, text: str, least: int = 6) -> DataFrame:
@@ -91,15 +96,14 @@ def pair_scores(pairs: DataFrame, threshold: float = 0.9) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}, score double").where(F.col("score") >= threshold)
 
 
-def families(scores: DataFrame, rounds: int = 50) -> DataFrame:
+def families(scores: DataFrame) -> DataFrame:
     """(token, family): components of scored pairs, named by their smallest member; labels spread until none changes."""
     both = stored(scores.select("a", "b").union(scores.select("b", "a")).distinct(), "pairs")
     label = stored(both.groupBy(F.col("a").alias("token")).agg(F.least(F.min("b"), F.min("a")).alias("family")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("token").alias("b"), F.col("family").alias("f")), "b").groupBy(F.col("a").alias("token")).agg(F.min("f").alias("f"))
         moved = label.join(near, "token").select("token", F.least("family", "f").alias("family"), (F.col("f") < F.col("family")).alias("moved"))
         moved = stored(moved.join(label.select(F.col("token").alias("family"), F.col("family").alias("up")), "family").select("token", F.least("family", "up").alias("family"), "moved"), "labels")
         label = moved.select("token", "family")
         if moved.where("moved").isEmpty():
-            break
-    return label
+            return label

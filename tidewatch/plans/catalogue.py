@@ -388,19 +388,19 @@ def reachable_complexity(spark, sf_dir):
 
 @query("SELECT node, component FROM sca", "cea", "rea", "sca", recursive=True)
 def scc(spark, sf_dir):
-    return graph.coloured_components(P.call_edges(spark, sf_dir))
+    return graph.strong_components(P.call_edges(spark, sf_dir))
 
 
 @query("SELECT component, count(*) AS members, count(p_partkey) AS judged FROM sca LEFT JOIN part ON p_partkey = node GROUP BY 1 HAVING count(p_partkey) > 0", "cea", "rea", "sca", recursive=True)
 def call_cycle(spark, sf_dir):
     edges = P.call_edges(spark, sf_dir)
-    return graph.call_cycles(edges, P.call_nodes(spark, sf_dir), graph.coloured_components(edges))
+    return graph.call_cycles(edges, P.call_nodes(spark, sf_dir), graph.strong_components(edges))
 
 
 @query("SELECT src, dst, refs, a.component FROM cea JOIN sca a ON a.node = src JOIN sca b ON b.node = dst WHERE a.component = b.component", "cea", "rea", "sca", recursive=True)
 def closing_edges(spark, sf_dir):
     edges = P.call_edges(spark, sf_dir)
-    return graph.closing_edges(edges, graph.coloured_components(edges))
+    return graph.closing_edges(edges, graph.strong_components(edges))
 
 
 _CYCLES = """ra_ AS (SELECT src AS seed, src AS node FROM ea UNION SELECT r.seed, e.dst FROM ra_ r JOIN ea e ON e.src = r.node),
