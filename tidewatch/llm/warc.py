@@ -176,8 +176,11 @@ def write_bundles(pages: DataFrame, min_revisit: int = 1000, id_col: str = "page
     """The bundle table of all pages, as written to the shared folder."""
     slim = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     keyed = slim.withColumn("n", F.octet_length(F.coalesce("html", F.lit("")))).withColumn("digest", F.when(F.col("n") >= min_revisit, F.sha1(F.col("html").cast("binary"))))
-    shared = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("response")).where("copies > 1").select("digest", "response")
-    ready = keyed.join(shared, "digest", "left").select("page_id", "url", "html", F.col("response").alias("refers_to"), (F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))).alias("is_revisit"))
+    shared = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("response")).where("copies > 1").select(F.col("digest").alias("key"), "response")
+    shared = kept(shared, "warc-shared")  # stored, so the planner knows its size: while that is small no page is shuffled
+    # pages without a digest meet nobody; each has a key of its own, so they don't meet in one task either
+    own = F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    ready = keyed.withColumn("key", own).join(shared, "key", "left").select("page_id", "url", "html", F.col("response").alias("refers_to"), (F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))).alias("is_revisit"))
     return kept(ready.mapInArrow(_write, BUNDLES), "warc-bundles", compression="uncompressed")
 
 
