@@ -30,9 +30,12 @@ PHRASES = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("
 
 
 def _rule_table() -> Column:
-    """The rules as one constant array, which the optimiser folds into a literal."""
-    rows = [{"rule": i, "label": label, "priority": priority, "score": score, "keyword": word, "rx": rx} for i, (label, priority, score, word, rx) in enumerate(rules())]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rule:int,label:string,priority:int,score:double,keyword:string,rx:string>>")
+    """The rules by keyword as one constant array, which the optimiser folds into a literal."""
+    by: dict[str, list[dict]] = {}
+    for i, (label, priority, score, word, rx) in enumerate(rules()):
+        by.setdefault(word, []).append({"rule": i, "label": label, "priority": priority, "score": score, "rx": rx})
+    rows = [{"keyword": word, "rules": found} for word, found in by.items()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<keyword:string,rules:array<struct<rule:int,label:string,priority:int,score:double,rx:string>>>>")
 
 
 def _places(low: Column, r: Column) -> Column:
@@ -51,7 +54,7 @@ def _places(low: Column, r: Column) -> Column:
 
 def detections(low: Column) -> Column:
     """Array of (start, end, -priority order keys, label, score) for every place of every rule whose keyword occurs."""
-    picked = F.filter(_rule_table(), lambda r: F.contains(low, r["keyword"]))
+    picked = F.flatten(F.transform(F.filter(_rule_table(), lambda g: F.contains(low, g["keyword"])), lambda g: g["rules"]))  # each keyword is looked for once
     per_rule = F.transform(picked, lambda r: F.transform(_places(low, r), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("minus_end"), (-r["priority"]).alias("minus_priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["score"].alias("score"))))
     return F.array_sort(F.flatten(per_rule))
 
