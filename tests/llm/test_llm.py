@@ -187,6 +187,9 @@ def test_warc(spark):
         want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if same and i != 2 else "response", 2 if same and i != 2 else None))
     assert rows(got) == sorted(want, key=repr)
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
+    many = spark.createDataFrame([(None if i % 2 else i, "u", ("tiny" if i % 3 else "<p>big</p>" * 200)) for i in range(30)], "page_id bigint, url string, html string").withColumn("digest", F.lit("x")).withColumn("key", F.lit(1))
+    back = warc.read_bundles(warc.write_bundles(many))
+    assert back.count() == 30 and back.where("record_type = 'revisit'").count() == 9 and back.where("record_type = 'revisit' AND refers_to <> 24").count() == 0
     w = warc.BundleWriter(frame_bytes=500)
     for i in range(40):
         w.add(warc.record_id(i), warc.make_record(i, f"http://a/{i}", f"<p>{i}".encode() * 30, None, False))
@@ -279,6 +282,27 @@ def test_word_model_equals_a_plain_count(spark, awkward, empty, most):
     assert lm.score_documents(empty.select("doc_id", F.lit(True).alias("held_out"), "text"), empty.select("text"), PIECE_MODEL).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_scores_equal_a_plain_mixture(spark, most):
+    texts = ["kalle sieht das haus", "das haus das haus ist alt", None, "", "neu\tist neuland xq", "das " * 500]
+    train = [t for t in texts[:3] if t] + ["das ist das"]
+    c = collections.Counter(w for t in train for w in t.split())
+    once, twice, n = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values()), sum(c.values())
+    off, vocab = once / (once + 2 * twice), lm.Pieces(PIECE_MODEL)
+    total, ends = n + len(train) + 1, len(train) + 1  # a null training text ends too
+    stop = (ends + 0.5) / (total + 1)
+
+    def word(x):
+        w = _vec.Words(*_vec.buffers(pa.array([x])), _vec.SPACE)
+        inner = 10 ** float(lm.lattice(w, w.start, w.end, vocab)[0])
+        return np.log10(max(c[x] - off, 0) / n + off * len(c) / n * inner)
+
+    want = [(i, round(float(sum(word(x) + np.log10(1 - stop) for x in (t or "").split()) + np.log10(stop)), 5)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("held_out", F.lit(True))
+    got = lm.score_documents(docs, spark.createDataFrame([(t,) for t in [*train, None]], "text string"), PIECE_MODEL, most)
+    assert [(r.doc_id, round(r.score, 5)) for r in got.orderBy("doc_id").collect()] == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_is_whole_and_close_to_the_bound(seed):
     rng = np.random.default_rng(seed)

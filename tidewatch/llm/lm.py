@@ -3,8 +3,11 @@
 The lattice model takes the pieces and scores of an existing vocabulary. Its scores are ranks, so a piece's
 probability is read as Zipf's, in proportion to 1 / (rank + `ZIPF_SHIFT`), over all pieces and the 256 bytes that
 stand in for unknown characters. A word is the piece mark and its bytes; a log-space forward recursion over the word's
-positions adds the probabilities of every way to cut it into pieces. A text is a run of words, after each of which
-it ends with the share of end tokens among all training tokens. So the score is the marginal probability of the text.
+positions adds the probabilities of every way to cut it into pieces. Whole words of the training documents are pieces
+too: absolute discounting takes the share `discount` (n1 / (n1 + 2 n2), from all words seen once and twice) off each count
+and gives what that saves to the vocabulary's pieces. So the model grows with the corpus, and a word is never impossible.
+A text is a run of words, after each of which it ends with the share of end tokens among all training tokens. So the score is
+the marginal probability of the text.
 
 Word counts are exact and cover all training documents. Words seen often enough that at most `FREQUENT` of them exist
 are looked up from a broadcast table of that bounded size. The others, by their nature spread over few documents,
@@ -185,13 +188,18 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[int, np.nda
     return bound, words[order], found["c"].to_numpy(dtype=np.int64)[order]
 
 
-PARTS = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word bigint, c bigint"
+def discount(once: int, twice: int) -> float:
+    """What is taken off every count: the usual estimate from the numbers of words seen once and twice, inside 0.1 to 0.9."""
+    return min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+
+
+PARTS = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word bigint, c bigint, inner double"
 
 
 def score_documents(docs: DataFrame, train: DataFrame, model: str, most: int = FREQUENT) -> DataFrame:
     """Scores of docs (doc_id, held_out, text) under models learned from train (text)."""
     counts = kept(word_counts(train), "word-counts")
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     ends = train.count()
     total, kinds = int(sums["n"]) + ends, int(sums["v"]) + (ends > 0)
     below = total + 0.5 * (kinds + 1)
@@ -200,6 +208,10 @@ def score_documents(docs: DataFrame, train: DataFrame, model: str, most: int = F
     end_base, end_known = float(np.log10((ends + 0.5) / below)), int(ends > 0)
     _, known, known_c = frequent_words(counts, most)
     known_log = np.log10((known_c + 0.5) / below)
+    off = discount(int(sums["n1"]), int(sums["n2"]))
+    seen = max(1, int(sums["n"]))
+    saved = float(np.log10(off * sums["v"] / seen)) if sums["v"] else 0.0  # without a training word the pieces have it all
+    known_share = np.log10((known_c - off) / seen)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _pieces(model)
@@ -214,34 +226,41 @@ def score_documents(docs: DataFrame, train: DataFrame, model: str, most: int = F
                 doc = w.doc
                 words, at, where = np.unique(h, return_index=True, return_inverse=True)
                 marginal = lattice(w, w.start[at], w.end[at], vocab) if len(words) else np.zeros(0)
+                marginal += saved
                 n = np.diff(w.first)
-                log_p = np.bincount(doc, marginal[where], rows) + n * log_on + log_end
                 spot = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
                 hit = known[spot] == words if len(known) else np.zeros(len(words), dtype=bool)
                 value = np.zeros(len(words))
                 value[hit] = known_log[spot[hit]]
+                whole = np.zeros(len(words))
+                whole[hit] = np.logaddexp(known_share[spot[hit]] * _LN, marginal[hit] * _LN) / _LN
+                log_p = np.bincount(doc, whole[where], rows) + n * log_on + log_end
                 base = np.bincount(doc, value[where], rows) + end_base
                 n_known = np.bincount(doc, hit[where], rows).astype(np.int64) + end_known
                 ids = uid + np.arange(rows, dtype=np.int64)
                 uid += rows
                 none = lambda t, k: pa.nulls(k, t)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), batch.column(0).slice(first_row, rows), batch.column(1).slice(first_row, rows), pa.array(n + 1), pa.array(n_known), pa.array(base), pa.array(log_p), none(pa.int64(), rows), none(pa.int64(), rows)],
-                    names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "c"],
+                    [pa.array(ids), batch.column(0).slice(first_row, rows), batch.column(1).slice(first_row, rows), pa.array(n + 1), pa.array(n_known), pa.array(base), pa.array(log_p), none(pa.int64(), rows), none(pa.int64(), rows), none(pa.float64(), rows)],
+                    names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "c", "inner"],
                 )
                 rare = np.flatnonzero(~hit[where])
                 pair, times = np.unique(doc[rare].astype(np.int64) * max(1, len(words)) + where[rare], return_counts=True)
                 k = len(pair)
                 if k:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[pair // len(words)]), none(pa.int64(), k), none(pa.bool_(), k), none(pa.int64(), k), none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), pa.array(words[pair % len(words)].view(np.int64)), pa.array(times.astype(np.int64))],
-                        names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "c"],
+                        [pa.array(ids[pair // len(words)]), none(pa.int64(), k), none(pa.bool_(), k), none(pa.int64(), k), none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), pa.array(words[pair % len(words)].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(marginal[pair % len(words)])],
+                        names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "c", "inner"],
                     )
 
     parts = kept(docs.select(F.col("doc_id").cast("bigint"), "held_out", "text").mapInArrow(score, PARTS), "lm-parts")
-    rare = parts.where("word IS NOT NULL").select("uid", "word", F.col("c").alias("times"))
+    rare = parts.where("word IS NOT NULL").select("uid", "word", F.col("c").alias("times"), "inner")
     c = F.coalesce("c", F.lit(0))
-    looked = rare.join(counts, "word", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(below))).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    # log10 of the sum of two powers of ten, from the larger one, so that none is lost to underflow
+    own = F.log10((F.col("c") - F.lit(off)) / F.lit(float(seen)))
+    both = F.greatest(own, "inner") + F.log10(1 + F.pow(F.lit(10.0), -F.abs(own - F.col("inner"))))
+    scored = F.sum(F.col("times") * F.coalesce(both, "inner")).alias("rare_score")
+    looked = rare.join(counts, "word", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(below))).alias("rare_base"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), scored)
     whole = parts.where("word IS NULL").join(looked, "uid", "left")
     return whole.select(
         "doc_id",
@@ -250,5 +269,5 @@ def score_documents(docs: DataFrame, train: DataFrame, model: str, most: int = F
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
