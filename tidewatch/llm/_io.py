@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder's path below spark.checkpoint.dir; that setting is the cluster's, and only tests go without it."""
+    """A new folder's path below spark.checkpoint.dir. Only a session whose workers are on this machine may go without; a cluster is refused."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        top = "/tmp/tidewatch-shared"
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    top = top or os.path.join(tempfile.gettempdir(), "tidewatch-shared")
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
