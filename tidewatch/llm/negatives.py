@@ -128,7 +128,7 @@ def annulus(square: np.ndarray, top: float, low: np.ndarray, high: np.ndarray) -
 
 def scores_of(a: np.ndarray, b: np.ndarray, top: float) -> np.ndarray:
     """Integer inner products; floating-point sums are exact below 2^53."""
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if top < 2**53 else a @ b.T
+    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if top < 2**53 else a @ b.astype(np.int64).T
 
 
 class Best:
@@ -201,6 +201,10 @@ class Index:
         out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
         return out
 
+    def kinds(self) -> list[str]:
+        """Types of a block's ids, keys, labels, matrix, vantage, low and high; no component is larger than sqrt(top)."""
+        return ["<i8", "<i8", "<i8", "<i2" if self.top < 2**30 else "<i4" if self.top < 2**62 else "<i8", "<i4", "<f8", "<f8"]
+
     def homes(self, queries: DataFrame) -> DataFrame:
         """queries (q, ...) with the cell that their vector falls into."""
         index = self.bare()
@@ -235,7 +239,7 @@ class Index:
             above = distances(points, index.vantage[[n for n, _ in index.tree.way[cell]]])
             low, high = within(tree.way, tree.span, distances(points[tree.vantage], points[tree.order]))
             facts = [np.asarray(batch.column(1).fill_null(NO_ID))[tree.order], *(np.asarray(batch.column(i))[tree.order] for i in (0, 2)), q[tree.order], np.argsort(tree.order)[tree.vantage]]
-            stored = [*(x.astype("<i8").tobytes() for x in facts), low.tobytes(), high.tobytes()]
+            stored = [*(x.astype(kind).tobytes() for x, kind in zip(facts, index.kinds(), strict=False)), low.tobytes(), high.tobytes()]
             values = [cell, len(q), *stored, above.min(axis=0).tolist(), above.max(axis=0).tolist()]
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7, *[pa.list_(pa.float64())] * 2]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
@@ -297,13 +301,13 @@ class Index:
         def find(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pairs:
                 for i in range(batch.num_rows):
-                    kinds = ["<i8"] * 5 + ["<f8"] * 2
-                    block = [np.frombuffer(batch.column(2 + j)[i].as_py(), kind) for j, kind in enumerate(kinds)]
+                    block = [np.frombuffer(batch.column(2 + j)[i].as_py(), kind) for j, kind in enumerate(index.kinds())]
                     yield visit(columns(batch.column(0).slice(i, 1).flatten()), batch.column(1)[i].as_py(), block)
 
         dealt = batches.select("cell", "queries").mapInArrow(spread, f"cell int, queries {batches.schema['queries'].dataType.simpleString()}")
         payload = ["rows", "ids", "keys", "labels", "matrix", "vantage", "low", "high"]
-        return dealt.join(self.blocks.select("cell", *payload), "cell").select("queries", *payload).mapInArrow(find, HIT)
+        # neither side is small: a batch goes to many cells, which Spark can't tell from its function
+        return dealt.hint("merge").join(self.blocks.select("cell", *payload), "cell").select("queries", *payload).mapInArrow(find, HIT)
 
     def batches(self, queries: DataFrame, size: int = BATCH) -> DataFrame:
         """(cell, queries): queries of one cell in lists of about `size`."""
