@@ -1,4 +1,4 @@
-from difflib import SequenceMatcher
+import random
 
 from pyspark.sql import functions as F
 
@@ -45,22 +45,58 @@ def test_structure_rules(spark):
     assert rows(structure.duplicate_definitions(d)) == [("N", "1", 2)]
 
 
+def test_chains_of_any_length_cost_a_logarithm_of_steps(spark, monkeypatch):
+    """A path of 10,000 nodes with a circle at its end, a circle of links alone, and a node on two circles."""
+    n, written = 10_000, []
+    e = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).cast("bigint").alias("refs"))
+    more = [(n, n + 1, 1), (n + 1, n + 2, 1), (n + 2, n, 1), (20_000, 20_001, 1), (20_001, 20_002, 1), (20_002, 20_000, 1), (30_000, 30_001, 1), (30_001, 30_000, 1), (30_001, 30_002, 1), (30_002, 30_001, 1), (n + 2, 40_000, 1), (50, 50, 1)]
+    e = e.union(spark.createDataFrame(more, "src bigint, dst bigint, refs bigint"))
+    kept, add = graph.stored, graph.Grown.add
+    monkeypatch.setattr(graph, "stored", lambda df, what: written.append(what) or kept(df, what))
+    monkeypatch.setattr(graph.Grown, "add", lambda self, df: written.append("grown") or add(self, df))
+    cycles = [(x, 20_000) for x in range(20_000, 20_003)] + [(x, 30_000) for x in range(30_000, 30_003)] + [(x, n) for x in range(n, n + 3)]
+    assert rows(graph.strong_components(e)) == sorted(cycles, key=repr) and len(written) < 80
+    written.clear()
+    got = graph.reach(spark.createDataFrame([(5,), (9_999,), (77_777,)], "node bigint"), e)
+    assert got.where("seed = 5").count() == n - 5 + 4 and got.where("seed = 9999").count() == 5 and got.where("seed = 77777").count() == 1 and len(written) < 80
+    written.clear()
+    inside = graph.bounded(e, spark.createDataFrame([(9_990,), (50,), (77_777,)], "node bigint"))
+    assert inside.count() == n - 50 + 4 + 1 and len(written) < 80
+
+
+def test_strong_components_equal_closures(spark):
+    rng = random.Random(6)
+    pairs = [(100 * g + rng.randrange(12), 100 * g + rng.randrange(12)) for g in range(40) for _ in range(rng.randint(3, 22))]
+    step = {}
+    for a, b in pairs:
+        step.setdefault(a, set()).add(b)
+
+    def closure(x):
+        found, todo = set(), [x]
+        while todo:
+            for y in step.get(todo.pop(), ()):
+                if y not in found:
+                    found.add(y)
+                    todo.append(y)
+        return found
+
+    nodes = {x for p in pairs for x in p}
+    all_ = {x: closure(x) for x in nodes}
+    both = {x: {y for y in all_[x] if x in all_[y]} | {x} for x in nodes}
+    e = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src bigint, dst bigint, refs bigint")
+    assert rows(graph.strong_components(e)) == sorted(((x, min(c)) for x, c in both.items() if len(c) > 1), key=repr)
+    weights = spark.createDataFrame([(x, float(x % 7) if x % 5 else None) for x in nodes], "node bigint, complexity double")
+    want = sorted(((x, len(all_[x] | {x}), float(sum(y % 7 for y in all_[x] | {x} if y % 5)), sum(1 for y in all_[x] | {x} if y % 5 == 0)) for x in nodes), key=repr)
+    assert rows(graph.whole_reachable_complexity(weights, e)) == want
+    assert rows(graph.reachable_complexity(weights.select("node"), e, weights)) == want
+
+
 def test_duplicate_blocks_leave_out_their_own_range(spark):
     files = spark.createDataFrame([("a", "x\n\ny\nz\nq"), ("b", "p\n x\ny \nz"), ("c", "k\nk\nk\nk"), ("d", None)], "path string, text string")
     got = text.duplicate_blocks(text.code_lines(files), 3)
     assert rows(got.select("path", "start", "stop", "code_lines", "elsewhere")) == [("a", 1, 4, 3, 1), ("b", 2, 4, 3, 1)]
 
 
-def test_no_similar_pair_is_missed(spark):
-    base = [f"t{i}" for i in range(40)]
-    shapes = {f"r{d}": [*base[: 40 - d], *[f"n{d}_{i}" for i in range(d)]] for d in range(0, 14)} | {"s": ["t1"] * 40, "u": ["t1"] * 37 + ["w"] * 3}
-    df = spark.createDataFrame(list(shapes.items()), "token string, shape array<string>")
-    want = {(a, b) for a in shapes for b in shapes if a < b and SequenceMatcher(None, shapes[a], shapes[b], autojunk=False).ratio() >= 0.9}
-    got = text.pair_scores(text.comparable_pairs(df))
-    assert {(r.a, r.b) for r in got.collect()} == want and ("s", "u") in want
-    assert rows(text.families(got).where("token = 'u'")) == [("u", "s")]
-
-
 def test_trust_and_dead_code(spark):
     res = spark.createDataFrame([("py", 3, 0, 1), ("c", 1, 5, 9), ("x", 0, 2, 0)], "language string, resolved bigint, external bigint, unresolved bigint")
     assert rows(dead.trust(res, 0.75).select("language", "trusted")) == [("c", False), ("py", True), ("x", False)]

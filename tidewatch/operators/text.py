@@ -1,25 +1,14 @@
-"""Repeated lines and similar token shapes.
-
-Duplicate blocks: windows of k code lines are hashed by a window function per file, equal windows meet by an equi-join on
+"""Repeated lines: windows of k code lines are hashed by a window function per file, equal windows meet by an equi-join on
 the key, and runs of neighbouring matches are islands of code-line number minus row number.
-
-Similar routines: pairs meet through shared tokens of a rarest-first prefix long enough that no pair at the
-threshold can miss, are cut by the exact length band and the exact multiset overlap in plain expressions, and only what is left
-is scored by the sequence matcher in an Arrow function.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import line_hash
-from tidewatch.operators.graph import stored
 
 
 def code_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -57,53 +46,3 @@ def duplicate_blocks(lines: DataFrame, k: int = 12, subjects: DataFrame | None =
     tail = after.join(rep.select("path", "idx", "key"), ["path", "idx"]).select("path", "island", "key", F.lit(-1).cast("bigint").alias("others")).join(keys.select("path", "island", "key"), ["path", "island", "key"], "left_semi")
     counted = keys.unionByName(tail).groupBy("path", "island").agg(F.sum("others").alias("elsewhere")).where("elsewhere > 0")
     return blocks.join(counted, ["path", "island"]).select("path", "start", "stop", "code_lines", "elsewhere")
-
-
-def shapes(lines: DataFrame, id_col: str, text: str, least: int = 6) -> DataFrame:
-    """token, shape: lower-case words and single marks of each text, of at least so many."""
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\w+|[^\w\s]"), F.lit(0))
-    return lines.select(F.col(id_col).alias("token"), tokens.alias("shape")).where(F.size("shape") >= least)
-
-
-def comparable_pairs(routines: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(a, b, shape_a, shape_b), a < b: all pairs that pass the length band and the token overlap bound; no pair at the threshold is missing.
-
-    2 * overlap >= t * (la + lb) and overlap <= min(la, lb) ask for an overlap of at least t / (2 - t) of a shape, so any
-    such pair shares a token (numbered by occurrence) among the rarest len - need + 1 of each."""
-    share = threshold / (2 - threshold)
-    items = routines.select("token", F.size("shape").alias("n"), F.posexplode("shape").alias("at", "t"))
-    numbered = items.select("token", "n", F.concat_ws("\u0001", "t", F.row_number().over(W.partitionBy("token", "t").orderBy("at")).cast("string")).alias("t"))
-    seen = numbered.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = numbered.join(seen, "t").withColumn("r", F.row_number().over(W.partitionBy("token").orderBy("df", "t")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.round(F.col("n") * F.lit(share), 9)) + 1).select("t", "token", "n")
-    one, two = prefix.select("t", F.col("token").alias("a"), F.col("n").alias("na")), prefix.select("t", F.col("token").alias("b"), F.col("n").alias("nb"))
-    band = one.join(two, "t").where((F.col("a") < F.col("b")) & (2 * F.least("na", "nb") >= F.lit(threshold) * (F.col("na") + F.col("nb")))).select("a", "b", "na", "nb").distinct()
-    shape = routines.select("token", "shape")
-    full = band.join(shape.select(F.col("token").alias("a"), F.col("shape").alias("shape_a")), "a").join(shape.select(F.col("token").alias("b"), F.col("shape").alias("shape_b")), "b")
-    overlap = F.aggregate(F.array_distinct("shape_a"), F.lit(0), lambda s, t: s + F.least(F.size(F.filter("shape_a", lambda x: x == t)), F.size(F.filter("shape_b", lambda x: x == t))))
-    return full.where(2 * overlap >= F.lit(threshold) * (F.col("na") + F.col("nb"))).select("a", "b", "shape_a", "shape_b")
-
-
-def pair_scores(pairs: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(a, b, score) of the pairs that reach the threshold; operands stand in token order, since the measure isn't symmetric."""
-    kind = pairs.schema["a"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ratio = [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ratio, pa.float64())], names=["a", "b", "score"])
-
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}, score double").where(F.col("score") >= threshold)
-
-
-def families(scores: DataFrame) -> DataFrame:
-    """(token, family): components of scored pairs, named by their smallest member; labels spread until none changes."""
-    both = stored(scores.select("a", "b").union(scores.select("b", "a")).distinct(), "pairs")
-    label = stored(both.groupBy(F.col("a").alias("token")).agg(F.least(F.min("b"), F.min("a")).alias("family")), "labels")
-    while True:
-        near = both.join(label.select(F.col("token").alias("b"), F.col("family").alias("f")), "b").groupBy(F.col("a").alias("token")).agg(F.min("f").alias("f"))
-        moved = label.join(near, "token").select("token", F.least("family", "f").alias("family"), (F.col("f") < F.col("family")).alias("moved"))
-        moved = stored(moved.join(label.select(F.col("token").alias("family"), F.col("family").alias("up")), "family").select("token", F.least("family", "up").alias("family"), "moved"), "labels")
-        label = moved.select("token", "family")
-        if moved.where("moved").isEmpty():
-            return label

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars
-from tidewatch.operators import dead, graph, rules, stats, structure, text
+from tidewatch.operators import dead, graph, rules, similar, stats, structure, text
 from tidewatch.sources import project as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,7 @@ VIEWS = {
     "ln": """ln AS (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line) - 1 AS idx, substr(sha256(code), 1, 16) AS hash
         FROM (SELECT CAST(doc_id AS VARCHAR) AS path, i AS line, regexp_replace(parts[i], '\\s+', '', 'g') AS code
               FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))) WHERE code <> '')""".replace("\\\\", "\\"),
+    "li": "li AS (SELECT CAST(doc_id AS VARCHAR) AS path, i, parts[i] AS line FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))",
     "w3": """w3 AS (SELECT path, idx, line, last_line, key FROM (SELECT path, idx, line, max(line) OVER w AS last_line, sha256(array_to_string(list(hash) OVER w, ',')) AS key, len(list(hash) OVER w) AS n FROM ln
         WINDOW w AS (PARTITION BY path ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE n = 3)""",
     "rw": "rw AS (SELECT w3.*, places FROM w3 JOIN (SELECT key, count(*) AS places FROM w3 GROUP BY key HAVING count(*) > 1) USING (key))",
@@ -454,19 +455,41 @@ def duplicate_block(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    """Every distinct line of the documents as a token shape; equal lines are one shape."""
-    lines = P.documents_as_files(spark, sf_dir).select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    return text.shapes(lines.select("line", scalars.line_hash(F.col("line")).alias("token")).distinct(), "token", "line")
+    """Every line of the documents as a routine of its own: token, path, start, stop and the shape of its words."""
+    lines = P.documents_as_files(spark, sf_dir).select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    placed = lines.select(F.concat_ws(":", "path", F.col("at") + 1).alias("token"), "path", (F.col("at") + 1).alias("start"), (F.col("at") + 1).alias("stop"), "line")
+    return placed.join(similar.shapes(placed, "token", "line"), "token")
 
 
-@query()
-def similar_routine(spark, sf_dir):
-    return text.families(text.pair_scores(text.comparable_pairs(_lines(spark, sf_dir))))
+def _line_classes(spark, sf_dir):
+    return similar.shape_classes(similar.shapes(_lines(spark, sf_dir).select("token", "line"), "token", "line"))
+
+
+@query(
+    r""", tk AS (SELECT regexp_extract_all(lower(line), '[\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\s]') AS shape, path || ':' || i AS token FROM li),
+        cs AS (SELECT row_number() OVER (ORDER BY min(token)) AS id, min(token) AS cls, len(shape) AS n, shape FROM tk WHERE len(shape) >= 6 GROUP BY shape),
+        nt AS (SELECT id, n, t || chr(1) || row_number() OVER (PARTITION BY id, t) AS t FROM (SELECT id, n, unnest(shape) AS t FROM cs)),
+        rk AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS r FROM nt JOIN (SELECT t, count(*) AS df FROM nt GROUP BY t) USING (t)),
+        pf AS (SELECT id, n, t FROM rk WHERE r <= n - ceil(round(n * 0.9 / 1.1, 9)) + 1),
+        cd AS (SELECT DISTINCT a.id AS a, b.id AS b FROM pf a JOIN pf b ON a.t = b.t AND a.id < b.id AND 2 * least(a.n, b.n) >= 0.9 * (a.n + b.n)),
+        bg AS (SELECT id, list(t) AS ts FROM nt GROUP BY id)
+        SELECT x.cls AS a, y.cls AS b, CAST(overlap AS INTEGER) AS overlap FROM (SELECT a, b, len(list_intersect(p.ts, q.ts)) AS overlap FROM cd JOIN bg p ON p.id = a JOIN bg q ON q.id = b) c
+        JOIN cs x ON x.id = c.a JOIN cs y ON y.id = c.b WHERE 2 * overlap >= 0.9 * (x.n + y.n)""",
+    "li",
+)
+def self_join_similarity(spark, sf_dir):
+    return similar.comparable_classes(_line_classes(spark, sf_dir))
 
 
 @query()
 def pair_score(spark, sf_dir):
-    return text.pair_scores(text.comparable_pairs(_lines(spark, sf_dir)))
+    return similar.class_links(_line_classes(spark, sf_dir))
+
+
+@query()
+def similar_routine(spark, sf_dir):
+    lines = _lines(spark, sf_dir).select("token", "path", "start", "stop", "shape")
+    return similar.similar_families(lines, lines.select("token"))
 
 
 # --- dead code and layers ---------------------------------------------------------------------------------
