@@ -39,6 +39,8 @@ from tidewatch.llm._io import kept
 
 CAPACITY, END_ID, SALT_ROWS = 1024, 2, 1_000_000
 SEARCH_NODES, BEST_FIT_EVERY = 26_000, 128
+#: Steps of a whole search, and what a node and a best fit of its rest count for: some 8 million steps take ten seconds.
+SEARCH_STEPS, NODE_STEPS, FIT_STEPS = 8_000_000, 100, 10_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -94,20 +96,41 @@ def pattern(sizes: tuple[int, ...]) -> Pattern:
     return tuple((int(v), int(c)) for v, c in zip(values[::-1], counts[::-1], strict=True))
 
 
-def _fits(items: tuple[int, ...], rooms: tuple[int, ...]) -> bool:
-    """Whether `items` can be dealt into bins of the sizes `rooms`."""
-    if not items:
-        return True
-    tried = set()
-    for i, r in enumerate(rooms):
-        if r >= items[0] and r not in tried:
-            tried.add(r)
-            if _fits(items[1:], (*rooms[:i], r - items[0], *rooms[i + 1 :])):
-                return True
+class Spent(Exception):
+    """The search has used up its steps."""
+
+
+class Steps:
+    """How much the search may still do: a step is about one turn of an inner loop, so it bounds time as nodes can't."""
+
+    def __init__(self, left: float):
+        self.left = left
+
+    def take(self, n: float = 1) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise Spent
+
+
+def _fits(items: tuple[int, ...], rooms: tuple[int, ...], steps: Steps) -> bool:
+    """Whether `items`, largest first, can be dealt into bins of the sizes `rooms`; no deal is looked at twice."""
+    todo, seen = [(0, tuple(sorted(rooms)))], set()
+    while todo:
+        i, left = todo.pop()
+        steps.take(1 + len(left) / 4)
+        if i == len(items):
+            return True
+        for r in dict.fromkeys(left):
+            if r >= items[i]:
+                at = left.index(r)
+                state = (i + 1, tuple(sorted((*left[:at], r - items[i], *left[at + 1 :]))))
+                if state not in seen:
+                    seen.add(state)
+                    todo.append(state)
     return False
 
 
-def fillings(hist: np.ndarray, first: int, cap: int, waste: int) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
+def fillings(hist: np.ndarray, first: int, cap: int, waste: int, steps: Steps) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
     """(pieces beside `first` as (length, how many), room left) of all undominated fillings of the bin that `first` opens.
 
     Those that leave at most `waste`, or as little as can be, come first, then the others; each time those of the longest
@@ -120,6 +143,7 @@ def fillings(hist: np.ndarray, first: int, cap: int, waste: int) -> Iterator[tup
     for i in range(len(sizes) - 1, -1, -1):
         sums[i] = sums[i + 1]
         for _ in range(min(counts[i], room // sizes[i])):
+            steps.take()
             more = (sums[i] | sums[i] << sizes[i]) & whole
             if more == sums[i]:
                 break
@@ -130,11 +154,13 @@ def fillings(hist: np.ndarray, first: int, cap: int, waste: int) -> Iterator[tup
 
     def maximal(left: int, chosen: tuple) -> bool:
         used = dict(chosen)
+        steps.take(len(sizes) / 4)
         return not any(s <= left and n > used.get(s, 0) for s, n in zip(reversed(sizes), reversed(counts), strict=True))
 
     def walk(i: int, left: int, chosen: tuple, low: int, high: int) -> Iterator[tuple[tuple, int]]:
         """Maximal choices from sizes[i:] that leave low < rest <= high."""
         for j in range(i, len(sizes)):
+            steps.take()
             if sizes[j] > left:
                 continue
             if least_rest(j, left) > high:
@@ -150,17 +176,18 @@ def fillings(hist: np.ndarray, first: int, cap: int, waste: int) -> Iterator[tup
     for low, high in ((-1, near), (near, room)):
         for found, left in walk(0, room, (), low, high):
             plain = tuple(s for s, k in found for _ in range(k))
-            if not any(sum(plain) <= sum(g) and _fits(plain, g) for g in given):
+            steps.take(len(given))
+            if not any(sum(plain) <= sum(g) and _fits(plain, g, steps) for g in given):
                 given.append(plain)
                 yield found, left
 
 
-def _branches(left: np.ndarray, cap: int, waste: int) -> Iterator[tuple[Pattern, int, int]]:
+def _branches(left: np.ndarray, cap: int, waste: int, steps: Steps) -> Iterator[tuple[Pattern, int, int]]:
     """(pattern, how often, waste of each) of the bins that the longest open piece may stand in; a pattern as often as can be, then once."""
     first = int(np.flatnonzero(left)[-1])
     rest = left.copy()
     rest[first] -= 1
-    for found, spare in fillings(rest, first, cap, waste):
+    for found, spare in fillings(rest, first, cap, waste, steps):
         sizes = dict(found)
         sizes[first] = sizes.get(first, 0) + 1
         p = tuple(sorted(sizes.items(), reverse=True))
@@ -170,7 +197,7 @@ def _branches(left: np.ndarray, cap: int, waste: int) -> Iterator[tuple[Pattern,
             yield p, 1, spare
 
 
-def _search(hist: np.ndarray, cap: int, waste: int, swerves: int, best: int, nodes: int) -> tuple[list[tuple[Pattern, int]] | None, int]:
+def _search(hist: np.ndarray, cap: int, waste: int, swerves: int, best: int, nodes: int, steps: Steps) -> tuple[list[tuple[Pattern, int]] | None, int]:
     """(a packing of fewer than `best` bins or None, nodes used): depth first, with at most `swerves` branches that aren't their
     node's first. A node is cut if its bins and the lower bound of what is left, or its waste, can't beat `best`."""
     total = int((hist * np.arange(cap + 1)).sum())
@@ -182,20 +209,25 @@ def _search(hist: np.ndarray, cap: int, waste: int, swerves: int, best: int, nod
         if node is not None:
             left, bins, lost, may = node
             used += 1
+            steps.left -= NODE_STEPS
             if not left.any():
                 found, best = list(path), bins
             elif lost <= (best - 1) * cap - total and bins + lower_bound(left, cap) < best:
                 if used % BEST_FIT_EVERY == 0:
+                    steps.left -= FIT_STEPS
                     rest = best_fit(left, cap)
                     if (full := bins + sum(n for _, n in rest)) < best:
                         found, best = [*path, *rest], full
-                stack.append([left, _branches(left, cap, waste), bins, lost, may, 0])
+                stack.append([left, _branches(left, cap, waste, steps), bins, lost, may, 0])
                 path.append(((), 0))
             node = None
         if not stack:
             break
         left, branches, bins, lost, may, nth = stack[-1]
-        branch = next(branches, None) if nth <= may else None  # no filling is made that won't be tried
+        try:
+            branch = next(branches, None) if nth <= may else None  # no filling is made that won't be tried
+        except Spent:
+            break
         stack[-1][-1] += 1
         if branch is None:
             stack.pop()
@@ -210,21 +242,21 @@ def _search(hist: np.ndarray, cap: int, waste: int, swerves: int, best: int, nod
     return found, used
 
 
-def solve(hist: np.ndarray, cap: int = CAPACITY, nodes: int = SEARCH_NODES) -> tuple[list[tuple[Pattern, int]], int]:
-    """(patterns with multiplicities, lower bound). `nodes` limits the search; the incumbent always packs everything.
+def solve(hist: np.ndarray, cap: int = CAPACITY, nodes: int = SEARCH_NODES, steps: float = SEARCH_STEPS) -> tuple[list[tuple[Pattern, int]], int]:
+    """(patterns with multiplicities, lower bound). `nodes` and `steps` limit the search; the incumbent always packs everything.
 
     Straight searches are started for waste allowances of 0, 1, 2, ... and then in growing steps up to half a bin; after
     them come searches that swerve once, twice and so on. All stop as soon as a packing meets the bound."""
     hist = np.asarray(hist, dtype=np.int64)
     bound, best = lower_bound(hist, cap), best_fit(hist, cap)
-    best_bins, first = sum(n for _, n in best), True
+    best_bins, first, room = sum(n for _, n in best), True, Steps(steps)
     allowances = [w for w in (*range(17), *range(20, 33, 4), *range(40, 65, 8), *range(96, cap, 32)) if w <= cap // 2]
     for swerves in range(64):
         for waste in allowances:
-            if (best_bins == bound and not first) or nodes <= 0:
+            if (best_bins == bound and not first) or nodes <= 0 or room.left <= 0:
                 return best, bound
             # the first search may also tie with best fit: its patterns are few, whatever the input
-            found, used = _search(hist, cap, waste, swerves, best_bins + first, min(nodes, 20 * cap))
+            found, used = _search(hist, cap, waste, swerves, best_bins + first, min(nodes, 20 * cap), room)
             nodes, first = nodes - max(used, 1), False
             if found is not None:
                 best, best_bins = found, sum(n for _, n in found)
