@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -317,6 +318,30 @@ def test_packing_is_whole_and_close_to_the_bound(seed):
     assert sum(k for _, k in packing.solve(np.bincount([6, 5, 5, 4, 4, 3, 3], minlength=11), 10)[0]) == 3
 
 
+def test_packing_stops_by_steps():
+    """Histograms with very many fillings of equal worth, which nodes alone don't bound."""
+    rng = np.random.default_rng(1)
+    for lengths in (3 * rng.integers(1, 120, 30_000), 3 * rng.integers(1, 20, 30_000), 7 * rng.integers(1, 147, 30_000), np.ones(30_000, int)):
+        hist, began = np.bincount(lengths, minlength=1025), time.process_time()
+        found, bound = packing.solve(hist, steps=400_000)
+        used = np.zeros(1025, int)
+        for p, k in found:
+            for s, n in p:
+                used[s] += n * k
+        assert (used == hist).all() and bound <= sum(k for _, k in found) <= sum(k for _, k in packing.best_fit(hist, 1024)) and time.process_time() - began < 20
+    assert packing._fits((1,) * 2000, (1500, 500), packing.Steps(10_000_000)) and not packing._fits((3, 3, 2), (5, 2), packing.Steps(1000))
+
+
+def test_a_language_of_many_copies_is_learned(spark):
+    de = [(1, "der gleiche Satz steht hier sehr oft", "de")] * 50_000 + [(100 + i, f"ein anderer Satz mit der Nummer {i}", "de") for i in range(50)]
+    en = [(1000 + i, f"another sentence of the number {i}", "en") for i in range(50)]
+    got = langid.training_rows(spark.createDataFrame(de + en, "doc_id bigint, text string, lang string")).groupBy("lang").count()
+    assert rows(got) == [("de", 51), ("en", 50)]
+    clash = spark.createDataFrame([(1, "ein Satz", "de", 7, "x"), (1, "ein Satz", "de", 7, "x"), (None, None, None, None, None)], "doc_id bigint, text string, lang string, score int, lang_pred string")
+    told = langid.predict(clash, langid.fit(clash))
+    assert sorted(told.columns) == ["doc_id", "lang", "lang_pred", "score"] and rows(told.select("doc_id", "lang_pred")) == [(1, "de"), (1, "de"), (None, "und")]
+
+
 def test_packing_finds_the_fewest_bins():
     """Against an exact search over all partitions of small instances, and against best fit where that isn't the best."""
 
@@ -349,7 +374,7 @@ def test_packing_finds_the_fewest_bins():
         ours, bound = packing.solve(hist, 1024, 6000)
         better += sum(k for _, k in ours) < sum(k for _, k in packing.best_fit(hist, 1024))
     assert better >= 4
-    seen = [(p, left) for p, left in packing.fillings(np.bincount([2, 2, 3, 5, 6], minlength=13), 4, 12, 0)]
+    seen = [(p, left) for p, left in packing.fillings(np.bincount([2, 2, 3, 5, 6], minlength=13), 4, 12, 0, packing.Steps(10_000))]
     assert seen[0] == (((6, 1), (2, 1)), 0) and (((5, 1), (3, 1)), 0) in seen and len(seen) == 2
 
 
@@ -445,6 +470,33 @@ def test_items_with_short_parts_are_caught(spark):
     assert len({d for d, _ in got} & set(range(200, 220))) == 0
 
 
+@pytest.mark.parametrize("edits", [0.05, 0.1])
+def test_edited_items_are_caught(spark, edits):
+    """Of benchmark passages of which one word in twenty or in ten is dropped, replaced or followed by another, nine in ten are found; verbatim ones and nothing else beside."""
+    rng = np.random.default_rng(21)
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").where("text IS NOT NULL").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 400").collect()]
+    spare = [w for _, t in docs for w in t.split()]
+    planted = []
+    for n, (item, text) in enumerate(items):
+        out = []
+        for word, x in zip(text.split(), rng.random(len(text.split())), strict=True):
+            out += [] if x < edits / 3 else [str(rng.choice(spare))] if x < 2 * edits / 3 else [word, str(rng.choice(spare))] if x < edits else [word]
+        around = rng.choice(spare, 60).tolist()
+        planted.append((-1 - n, " ".join([*around[:30], *out, *around[30:]])))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs + planted, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    right = {(-1 - n, item) for n, (item, _) in enumerate(items)}
+    assert len(got & right) >= 0.9 * len(items) and got - right == brute_leaks(docs, items)
+
+
+def test_benchmark_of_one_repeated_id(spark):
+    texts = [f"question number {n} of the many that share a name? answer {n * 7} it is" for n in range(40)]
+    items = spark.createDataFrame([(1, t) for t in texts * 3], "item_id bigint, text string")
+    blocks = list(decontam.index_blocks(items, block_bytes=500))
+    assert sum(len(i.items) for b in blocks for i in b) == 40 and len(blocks) > 3 and max(sum(len(i.items) for i in b) for b in blocks) < 20
+    assert decontam.leaks(spark.createDataFrame([(5, texts[3]), (6, "none of it")], "doc_id bigint, text string"), items).select("doc_id").distinct().count() == 1
+
+
 def test_long_items_are_retrieved_whole(spark):
     rng = np.random.default_rng(10)
     vocab, lengths = np.array([f"v{i}" for i in range(5000)]), [20, 256, 257, 512, 513, 600, 900, 1000, 1200, 2000, 5000]

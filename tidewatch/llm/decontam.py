@@ -15,10 +15,11 @@ A window is twice as long as the longest item of its index and moves by half of
 one, however long it is. Items of up to `SHORT` words share an index; longer ones are indexed by length, one index for each doubling.
 
 The indexes of a block of items are broadcast. Its size is checked: items are cut into as many blocks by the hash of
-their id as keep each below `BLOCK_BYTES` of text, and the documents are searched once per block. Document
+their id and text as keep each near `BLOCK_BYTES` of text, and the documents are searched once per block. Document
 frequencies and the mean length are counted over all items.
 
 Defined cases: null or empty texts of documents and items match nothing; repeated rows are searched each on its own;
+items that are equal are one, items that share an id only are each their own and give a row each;
 an empty benchmark gives no pairs and takes no document away; other columns are ignored or handed on.
 """
 
@@ -37,7 +38,7 @@ from tidewatch.llm.licenses import BREAK
 from tidewatch.llm._vec import NONWORD, Words, buffers, pieces, shingles
 
 K1, B = 1.2, 0.75
-THRESHOLD, QUESTION_SHARE, ANSWER_SHARE, SHINGLE = 0.6, 0.5, 0.5, 3
+THRESHOLD, QUESTION_SHARE, ANSWER_SHARE, SHINGLE = 0.6, 0.5, 0.5, 2
 BLOCK_BYTES, POSTING_BLOCK, SHORT = 16 << 20, 8, 256
 
 
@@ -205,7 +206,7 @@ def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[In
 
 def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[Index]]:
     """The indexes of each block of items, by length; so many blocks that none holds much over `block_bytes` of text. benchmark: item_id, text."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     blocks = -(-int(size["b"] or 0) // block_bytes)
     terms = items.select("text").mapInArrow(_term_rows, "term bigint")
@@ -213,7 +214,7 @@ def index_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterat
     words = F.size(F.array_remove(F.split("text", BREAK, -1), ""))
     mean_length = items.agg(F.avg(words).alias("w")).first()["w"] or 1.0
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         rows = sorted((r["item_id"], r["text"]) for r in block.collect())
         known = block.select("text").mapInArrow(_term_rows, "term bigint").distinct()
         frequency = {r["term"] & (1 << 64) - 1: r["df"] for r in known.join(counts, "term").collect()}
