@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from tidewatch.plans import catalogue_facts  # noqa: F401  adds its queries
+from tidewatch.plans import catalogue_check, catalogue_facts, catalogue_tree  # noqa: F401  add their queries
 from tidewatch.plans.catalogue import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidewatch.functions import scalars, source
-from tidewatch.operators import dead, facts, graph, summary, text
+from tidewatch.operators import arch, dead, facts, graph, modules, structure, summary, text
 from tidewatch.plans import settings
 from tidewatch.sources import readers
 
@@ -83,8 +83,49 @@ def test_source_text(spark):
     code = "import a\nfrom typing import TYPE_CHECKING\n\ndef f(x):\n    import b\n    return b\n\nif TYPE_CHECKING:\n    import c\n\nx = [  # open\n    1,\n    'a b',\n]\ny: int = 2\nz == 3\n"
     ast.parse(code)
     df = spark.createDataFrame([(1, code, 11), (2, code, 15), (3, code, 16), (4, "def (", 1), (5, None, None), (6, "q = (\n" + "1,\n" * 20 + ")", 1)], "id int, text string, line int")
-    got = {r.id: (r.d, r.i) for r in df.select("id", source.deferred_lines("text").alias("d"), source.initialiser_text("text", "line").alias("i")).collect()}
-    assert got == {1: ([5, 6, 9], "[ 1 , 'a b' , ]"), 2: ([5, 6, 9], "2"), 3: ([5, 6, 9], None), 4: (None, None), 5: ([], None), 6: ([], None)}
+    got = {r.id: r.i for r in df.select("id", source.initialiser_text(F.col("text"), F.col("line")).alias("i")).collect()}
+    assert got == {1: "[ 1 , 'a b' , ]", 2: "2", 3: "= 3", 4: None, 5: None, 6: None}
+    out = modules.outlines(df.select(F.col("id").cast("string").alias("path"), "text"))
+    assert [r.path for r in out.where("NOT parsed").collect()] == ["4"]
+    assert rows(modules.deferred_lines(out)) == [(p, n) for p in "123" for n in (5, 6, 9)]
+    assert rows(modules.definitions(out).where("path = '1'")) == [("x", "1", 11, "[ 1 , 'a b' , ]"), ("y", "1", 15, "2")]
+
+
+def test_deferred_imports_close_no_cycle(spark):
+    """a and b import each other, but b only inside a function; c and d do so at once; e's is for the type checker."""
+    texts = {"a": "import b\n", "b": "@wrap\ndef f():\n    def g():\n        import a\n    return g\n", "c": "from d import x\nclass K:\n    import a\n", "d": "if True:\n    import c, a\nelse:\n    import b\n", "e": "import typing, c\nif typing.TYPE_CHECKING:\n    from e import y\n    import d\nif not typing.TYPE_CHECKING:\n    import b\n", "f": "import ("}
+    out = modules.outlines(spark.createDataFrame(list(texts.items()), "path string, text string"))
+    edges = modules.import_edges(out, spark.createDataFrame([(m, m) for m in texts], "target string, path string"))
+    assert rows(edges) == [("a", "b", 1, 1), ("b", "a", 1, 0), ("c", "a", 1, 1), ("c", "d", 1, 1), ("d", "a", 1, 1), ("d", "b", 1, 1), ("d", "c", 1, 1), ("e", "b", 1, 1), ("e", "c", 1, 1), ("e", "d", 1, 0), ("e", "e", 1, 0)]
+    none = edges.limit(0)
+    assert rows(graph.new_cycles(structure.import_time_only(edges), none)) == [("c", 2)]
+    assert rows(graph.new_cycles(edges, none)) == [("a", 2), ("c", 2)]
+
+
+def test_architecture_cut_keeps_shallow_leaves(spark):
+    members = spark.createDataFrame([("a/b/c", "f1"), ("a/b", "f2"), ("a", "f3"), ("d", "f4"), ("a/e", "f5"), ("d", "f3"), ("a/b/c", "f5"), ("", "f6")], "node string, path string")
+    assert rows(arch.cut_members(members, 2)) == [("f1", "a/b"), ("f2", "a/b"), ("f3", "d"), ("f4", "d"), ("f5", "a/b"), ("f5", "a/e"), ("f6", "")]
+    assert rows(arch.cut_members(members, 3, "top").where("path IN ('f2', 'f3', 'f5', 'f6')")) == [("f2", "top"), ("f3", "d"), ("f5", "a/b/c"), ("f5", "a/e"), ("f6", "top")]
+    assert rows(arch.cut_members(members, 0)) == [(f"f{i}", "") for i in range(1, 7)]
+    empty_child = spark.createDataFrame([("d/x",)], "node string")
+    assert rows(arch.cut_members(members, 2, "top", empty_child).where("path = 'f4'")) == [("f4", "top")]
+    assert rows(arch.nodes_of(arch.cut_members(members, 2)).where("path = 'f5'")) == [("f5", ["a/b", "a/e"])]
+    files = spark.createDataFrame([("a/b/x.py",), ("a/q.py",), ("z.py",)], "path string")
+    assert rows(arch.deepest_cover(files, members, "top")) == [("a/b/x.py", "a/b"), ("a/q.py", "a"), ("z.py", "top")]
+
+
+def test_regions_and_their_proposal(spark):
+    texts = [("gen/a.py", "# @generated by x"), ("gen/b/c.py", "# DO NOT EDIT"), ("src/a.py", "x = 1"), ("src/tests/t.py", "y"), ("src/tests/u/v.py", ""), ("src/made.py", "# automatically generated"), ("lib/x.js", None)]
+    files = spark.createDataFrame(texts, "path string, text string")
+    found = arch.uniform_regions(arch.marked_files(files, ["tests"]))
+    assert rows(found.select("dir", "role", "files", "pattern")) == [("gen", "generated", 2, "gen/**"), ("src/made.py", "generated", 1, "src/made.py"), ("src/tests", "tests", 2, "src/tests/**")]
+    attrs = spark.createDataFrame([("src/.gitattributes", "# c\n[attr]m linguist-vendored\n/tests/** linguist-vendored\n*.js linguist-generated=false\n\"a b.py\" linguist-generated\nmade.py -linguist-vendored linguist-generated=true\n"), (".gitattributes", "lib/ linguist-vendored")], "path string, text string")
+    told = arch.declared_regions(attrs)
+    assert rows(told.select("role", "pattern")) == [("generated", "src/**/a b.py"), ("generated", "src/**/made.py"), ("vendored", "**/lib"), ("vendored", "src/tests/**")]
+    counted = arch.covered(told.withColumn("evidence", F.concat_ws(": ", "source", "detail")), files)
+    assert rows(counted.select("pattern", "covered")) == [("**/lib", 1), ("src/**/a b.py", 0), ("src/**/made.py", 1), ("src/tests/**", 2)]
+    assert rows(arch.proposal(counted).select("line", "pattern", "evidence")) == [("exclude", "**/lib", ".gitattributes: lib/ linguist-vendored (1 files)"), ("exclude", "src/**/made.py", "src/.gitattributes: made.py linguist-generated=true (1 files)"), ("exclude", "src/tests/**", "src/.gitattributes: /tests/** linguist-vendored (2 files)")]
+    assert rows(arch.proposal(found.withColumn("covered", F.col("files"))).select("line", "pattern")) == [("exclude", "gen/**"), ("exclude", "src/made.py"), ("scope", "src/tests/**")]
     line = spark.createDataFrame([("if x1 >= 'a # b': return 3.5  # why",), ("",), (None,)], "t string")
     assert [r.c for r in line.select(source.token_classes(F.col("t"), ["if", "return"]).alias("c")).collect()] == [["if", "ID", ">", "=", "LIT", ":", "return", "LIT"], [], None]
 

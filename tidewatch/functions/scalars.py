@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,15 @@ def ladder_at_least(value: Column) -> Column:
     return F.array_min(F.filter(steps, lambda s: s >= value))
 
 
+def rungs_around(limit: Column) -> Column:
+    """The rungs within two places of the limit, itself included; a limit between rungs has the ladder's first two. Each decade repeats the whole list of steps,
+    and a limit's place is the first at which it stands."""
+    decades = round(math.log10(LADDER_TOP)) + 1
+    rungs = F.array(*[F.lit(float(s) * 10.0**k) for k in range(decades) for s in LADDER_STEPS])
+    at = F.array_position(rungs, limit).cast("int")
+    return F.when(at > 0, F.slice(rungs, F.greatest(at - 2, F.lit(1)), F.least(at, F.lit(3)) + 2)).otherwise(F.slice(rungs, F.lit(1), F.lit(2)))
+
+
 def lines_per_statement(lines: Column, statements: Column) -> Column:
     return lines / F.nullif(statements, F.lit(0))
 

@@ -78,14 +78,19 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def chain_links(steps: DataFrame) -> DataFrame:
+    """The steps (src, dst; distinct) whose src has no other way out and whose dst no other way in."""
+    one_out = steps.groupBy("src").agg(F.count("*").alias("n")).where("n = 1").select("src")
+    one_in = steps.groupBy("dst").agg(F.count("*").alias("n")).where("n = 1").select("dst")
+    return steps.join(one_out, "src", "left_semi").join(one_in, "dst", "left_semi").select("src", "dst")
+
+
 def chains(steps: DataFrame) -> DataFrame:
     """(node, chain, rank, loop) of every node of steps (src, dst; distinct, no loops of one node), stored.
 
     src -> dst is a link if src has no other way out and dst no other way in; chains are the longest runs of links, named by their first node, rank counts
     from it. Links that run in a circle are a chain named by its smallest node (loop), all of rank 0. All other edges run from a chain's last node to another's first."""
-    one_out = steps.groupBy("src").agg(F.count("*").alias("n")).where("n = 1").select("src")
-    one_in = steps.groupBy("dst").agg(F.count("*").alias("n")).where("n = 1").select("dst")
-    links = steps.join(one_out, "src", "left_semi").join(one_in, "dst", "left_semi")
+    links = chain_links(steps)
     nodes = steps.select(F.col("src").alias("node")).union(steps.select(F.col("dst").alias("node"))).distinct()
     at = nodes.join(links.select(F.col("dst").alias("node"), F.col("src").alias("up")), "node", "left")
     at = at.select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("bigint").alias("rank"), F.least("node", "up").alias("low"), F.lit(True).alias("moved"), F.col("up").isNull().alias("done"))
@@ -169,16 +174,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
         full = stored(member.join(names, "node").select(F.col("given").alias("node"), "component"), "member")
         found.add(full.join(full.groupBy("component").agg(F.min("node").alias("least")), "component").select("node", F.col("least").alias("component")))
 
-    told(names.select("node", F.col("node").alias("component")).limit(0))
+    found.add(names.select("node", F.col("node").alias("component")).limit(0))
     size = core.count()
     while size:
         before = None
         while size and size != before:  # a node that leads to itself stands for a cycle from the first round on
             core = _trimmed(core)
-            chain = chains(core)
-            told(chain.where("loop").select("node", F.col("chain").alias("component")))
-            names = stored(names.join(chain.where("NOT loop"), "node").select("given", F.col("chain").alias("node")), "names")
-            core = between_chains(core, chain)
+            if not chain_links(core).isEmpty():
+                chain = chains(core)
+                told(chain.where("loop").select("node", F.col("chain").alias("component")))
+                names = stored(names.join(chain.where("NOT loop"), "node").select("given", F.col("chain").alias("node")), "names")
+                core = between_chains(core, chain)
             before, size = size, core.count()
         if not size:
             break

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import breach, glob_regex
+from tidewatch.operators.graph import stored
 
 KEY = ["scope", "path", "longname", "parameters"]
 FINDING = ["kind", "rule", "metric", *KEY, "value", "before", "limit", "severity"]
@@ -23,9 +24,37 @@ def same_key(a: str, b: str) -> Column:
     return (F.col(f"{a}.scope") == F.col(f"{b}.scope")) & (F.col(f"{a}.path") == F.col(f"{b}.path")) & (F.col(f"{a}.longname") == F.col(f"{b}.longname")) & F.col(f"{a}.parameters").eqNullSafe(F.col(f"{b}.parameters"))
 
 
-def evaluate_thresholds(measures: DataFrame, thresholds: DataFrame) -> DataFrame:
+def above_floor(measures: DataFrame, floors: dict[str, tuple[str, float]]) -> DataFrame:
+    """measures without those of a floored metric on an entity that is known to be below its floor. floors: metric -> (metric that is asked, minimum)."""
+    for metric, (asked, least) in floors.items():
+        low = measures.where((F.col("metric") == asked) & (F.col("value") < least)).select(*KEY).distinct().alias("l")
+        some, rest = measures.where(F.col("metric") == metric).alias("m"), measures.where(F.col("metric") != metric)
+        measures = some.join(low, same_key("m", "l"), "left_anti").select("m.*").unionByName(rest)
+    return measures
+
+
+def overlaid(measures: DataFrame, thresholds: DataFrame, scopes: list[dict] | None = None) -> DataFrame:
+    """measures with most, least and severity as they hold on their path: every matching scope in declaration order replaces, disables or adds, rule
+    by rule. Each measure asks for its own limit only, so nothing is made for each pair of a path and a limit. scopes: as in overlay_scopes."""
+    out = measures.join(thresholds.select("scope", "metric", "most", "least", "severity", F.lit(True).alias("judged")), ["scope", "metric"], "left")
+    for s in scopes or []:
+        hit = F.col("path").rlike(glob_regex(s["pattern"]))
+        for r in s["rules"]:
+            mine = hit & (F.col("scope") == r["scope"]) & (F.col("metric") == r["metric"])
+            if r.get("disabled"):
+                out = out.withColumn("judged", F.when(mine, F.lit(False)).otherwise(F.col("judged")))
+                continue
+            judged = F.coalesce("judged", F.lit(False))
+            if limited := "most" in r or "least" in r:
+                out = out.withColumns({c: F.when(mine, F.lit(r.get(c)).cast("double")).otherwise(F.col(c)) for c in ("most", "least")})
+            severity = F.lit(r["severity"]) if r.get("severity") else F.when(judged, F.col("severity")).otherwise(F.lit("error"))
+            out = out.withColumn("severity", F.when(mine & (judged | F.lit(limited)), severity).otherwise(F.col("severity"))).withColumn("judged", F.when(mine & F.lit(limited), F.lit(True)).otherwise(F.col("judged")))
+    return out.where("judged").drop("judged")
+
+
+def evaluate_thresholds(measures: DataFrame, thresholds: DataFrame, scopes: list[dict] | None = None) -> DataFrame:
     """A finding for each measure outside its limit; a measure at its limit passes, a missing one is silent."""
-    judged = measures.join(F.broadcast(thresholds), ["scope", "metric"]).withColumn("bound", breach(F.col("value"), F.col("most"), F.col("least"))).where("bound IS NOT NULL")
+    judged = overlaid(measures, thresholds, scopes).withColumn("bound", breach(F.col("value"), F.col("most"), F.col("least"))).where("bound IS NOT NULL")
     limit = F.when(F.col("bound") == "max", F.col("most")).otherwise(F.col("least"))
     return judged.select(F.lit("threshold").alias("kind"), F.concat_ws(".", "scope", "metric").alias("rule"), "metric", *KEY, "value", F.lit(None).cast("double").alias("before"), limit.alias("limit"), "severity")
 
@@ -151,11 +180,49 @@ def top_movements(deltas: DataFrame, n: int = 10) -> DataFrame:
     return deltas.orderBy(F.abs("delta").desc(), *KEY, "metric").limit(n)
 
 
-def net_delta(after: DataFrame, before: DataFrame, metrics: list[str]) -> DataFrame:
-    """One row: sum after minus sum before of each metric, and the number of entities on either side."""
+def net_pairs(after: DataFrame, before: DataFrame) -> DataFrame:
+    """KEY, the old side's key (old_path, old_longname, old_parameters) and stage of every routine of either side, each once. after, before: KEY, body.
+
+    First equal keys (same), of what is left the one signature removed and the one added of a name (signature), of what is left
+    then the bodies that stand once on each side (moved); the rest was added or removed. A stage sees what the stages before left over only."""
+    a, b = stored(after.select(*KEY, "body").dropDuplicates(KEY), "net-after"), stored(before.select(*KEY, "body").dropDuplicates(KEY), "net-before")
+
+    def apart(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.alias("x").join(y.alias("y"), same_key("x", "y"), "left_anti")
+
+    def told(df: DataFrame, stage: str) -> DataFrame:
+        return df.select("scope", *[F.col(c) for c in (*KEY[1:], *(f"old_{k}" for k in KEY[1:]))], F.lit(stage).alias("stage"))
+
+    both = a.alias("x").join(b.alias("y"), same_key("x", "y")).select("x.scope", *[F.col(f"x.{c}").alias(c) for c in KEY[1:]], *[F.col(f"y.{c}").alias(f"old_{c}") for c in KEY[1:]])
+    new, gone = stored(apart(a, b), "net-new"), stored(apart(b, a), "net-gone")
+    signed = pair_signatures(new, gone).select("scope", "path", "longname", "parameters", F.col("path").alias("old_path"), F.col("longname").alias("old_longname"), "old_parameters")
+    signed = stored(signed, "net-signed")
+    old_of = lambda df: df.select("scope", *[F.col(f"old_{c}").alias(c) for c in KEY[1:]])
+    new, gone = stored(apart(new, signed), "net-new"), stored(apart(gone, old_of(signed)), "net-gone")
+
+    def single(df: DataFrame, prefix: str) -> DataFrame:
+        once = df.where("body IS NOT NULL").groupBy("scope", "body").agg(F.count("*").alias("n"), F.first(F.struct(*KEY[1:])).alias("k")).where("n = 1")
+        return once.select("scope", "body", *[F.col(f"k.{c}").alias(f"{prefix}{c}") for c in KEY[1:]])
+
+    moved = stored(single(new, "").join(single(gone, "old_"), ["scope", "body"]).drop("body"), "net-moved")
+    added, removed = apart(new, moved), apart(gone, old_of(moved))
+    none = [F.lit(None).cast("string").alias(f"old_{c}") for c in KEY[1:]]
+    parts = [told(both, "same"), told(signed, "signature"), told(moved, "moved"), told(added.select(*KEY, *none), "added")]
+    parts.append(told(removed.select("scope", *[F.col(c).alias(f"old_{c}") for c in KEY[1:]], *[F.lit(None).cast("string").alias(c) for c in KEY[1:]]), "removed"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def net_delta(after: DataFrame, before: DataFrame, metrics: list[str], pairs: DataFrame | None = None) -> DataFrame:
+    """One row: sum after minus sum before of each metric, and the number of entities on either side; with pairs (net_pairs), a routine that moved counts once."""
     a = after.where(F.col("metric").isin(metrics)).select(*KEY, "metric", F.round("value").alias("v"))
     b = before.where(F.col("metric").isin(metrics)).select(*KEY, "metric", (-F.round("value")).alias("v"))
     both = a.union(b)
+    if pairs is not None:
+        sums = both.agg(*[F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("v"))), F.lit(0.0)).alias(f"net_{m}") for m in metrics])
+        return sums.crossJoin(F.broadcast(pairs.agg(F.count("*").alias("entities"))))
     return both.agg(*[F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("v"))), F.lit(0.0)).alias(f"net_{m}") for m in metrics], F.count_distinct(F.struct(*KEY)).alias("entities"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scalars import ladder_at_least
+from tidewatch.functions.scalars import ladder_at_least, rungs_around
+from tidewatch.operators.graph import stored
 
 RANGES = 64
 TAIL_RATIO = 50.0
@@ -21,12 +22,13 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, value, n, upto (rows not above the value), total; one row per distinct value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
-    cut = counts.join(F.broadcast(cuts), keys) if keys else counts.crossJoin(F.broadcast(cuts))
+    cuts = stored(cuts, "cuts")  # they place rows twice below and must be the same
+    cut = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))
     ranged = cut.withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     sums = ranged.groupBy(*keys, "part").agg(F.sum("n").alias("rows"))
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     before = sums.select(*keys, "part", (F.sum("rows").over(group.orderBy("part")) - F.col("rows")).alias("before"), F.sum("rows").over(group).alias("total"))
-    placed = ranged.join(F.broadcast(before), [*keys, "part"])  # at most RANGES rows a key
+    placed = ranged.join(before, [*keys, "part"])
     running = F.sum("n").over(W.partitionBy(*keys, "part").orderBy("value"))
     return placed.select(*keys, "value", "n", (running + F.col("before")).alias("upto"), "total")
 
@@ -50,7 +52,7 @@ def reducers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("avg"), low.alias("median_low"), high.alias("median_high"), grouped.alias("m"), F.first("total").alias("total")
     )
     with_mid = order.select(*keys, "avg", "median_low", "median_high", ((F.col("median_low") + F.col("median_high")) / 2).alias("median"), (-F.col("m")["col2"]).alias("mode"), "total")
-    joined = ranks.drop("total").join(F.broadcast(with_mid), keys) if keys else ranks.drop("total").crossJoin(F.broadcast(with_mid))
+    joined = ranks.drop("total").join(with_mid, keys) if keys else ranks.drop("total").crossJoin(F.broadcast(with_mid))
     delta = F.col("value") - F.col("avg")
     last = joined.groupBy(*keys, "avg", "median", "median_low", "median_high", "mode", "total").agg(
         F.sum(F.when(F.col("value") < F.col("median_high"), F.col("n")).otherwise(0)).alias("below"),
@@ -73,19 +75,40 @@ def outside_counts(df: DataFrame, keys: list[str], value: str, limits: DataFrame
     return joined.groupBy(*keys, "limit").agg(above.alias("outside"), (above / F.sum("n")).alias("share_outside"))
 
 
-def recommend(df: DataFrame, keys: list[str], value: str, configured: DataFrame, target: float = 0.95) -> DataFrame:
-    """Keep or raise each configured limit (keys, configured): a proposal only widens, and tells of a dominating tail."""
-    shape = distribution(df, keys, value).join(F.broadcast(configured), keys)
-    wanted = value_ranks(df, keys, value).groupBy(*keys).agg(nearest_rank(target).alias("wanted"))
+def advice(ranks: DataFrame, keys: list[str], configured: DataFrame, target: float = 0.95) -> DataFrame:
+    """Keep or raise each configured limit (keys, configured): a proposal only widens, and tells of a dominating tail. ranks: value_ranks."""
+    shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "wanted": target}
+    shape = ranks.groupBy(*keys).agg(F.first("total").alias("n"), *[nearest_rank(s).alias(name) for name, s in shares.items()], F.max("value").alias("maximum")).join(configured, keys)
     fit = ladder_at_least(F.col("wanted"))
     tail = F.col("maximum") / F.greatest("p95", F.lit(1.0))
-    return shape.join(wanted, keys).select(
-        *keys, "n", "p50", "p95", "maximum", "configured",
+    return shape.select(
+        *keys, "n", "p50", "p90", "p95", "p99", "maximum", "configured",
         F.when(fit > F.col("configured"), "raise").otherwise("keep").alias("verdict"),
         F.when(fit > F.col("configured"), fit).alias("proposed"), tail.alias("tail_ratio"), (tail >= TAIL_RATIO).alias("tail_dominated"),
     )
 
 
+def candidates(ranks: DataFrame, keys: list[str], advised: DataFrame) -> DataFrame:
+    """keys, limit, outside, share_outside, is_configured, is_proposed: the configured limit, the proposal and the rungs within two places of either, up to
+    the largest value (or the proposal), and how many values each leaves outside. One pass over the ranks answers all limits of a key."""
+    anchor = F.coalesce("proposed", "configured")
+    near = F.concat(F.array("configured", anchor), rungs_around(F.col("configured")), rungs_around(anchor))
+    top = F.greatest("maximum", anchor)
+    wanted = advised.select(*keys, "configured", "proposed", "n", F.array_sort(F.array_distinct(F.filter(near, lambda x: x <= top))).alias("limits"))
+    over = ranks.select(*keys, "value", F.col("n").alias("times")).join(wanted.select(*keys, "limits"), keys).select(*keys, "times", F.explode(F.filter("limits", lambda x: x < F.col("value"))).alias("limit"))
+    outside = over.groupBy(*keys, "limit").agg(F.sum("times").alias("outside"))
+    every = wanted.select(*keys, "configured", "proposed", "n", F.explode("limits").alias("limit")).join(outside, [*keys, "limit"], "left")
+    count = F.coalesce("outside", F.lit(0))
+    return every.select(*keys, "limit", count.alias("outside"), (count / F.col("n")).alias("share_outside"), (F.col("limit") == F.col("configured")).alias("is_configured"), F.coalesce(F.col("limit") == F.col("proposed"), F.lit(False)).alias("is_proposed"))
+
+
+def recommend(df: DataFrame, keys: list[str], value: str, configured: DataFrame, target: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(advice, candidates) of each configured limit (keys, configured); the population is ranked once for both."""
+    ranks = stored(value_ranks(df, keys, value), "ranks")
+    advised = stored(advice(ranks, keys, configured, target), "advice")
+    return advised, candidates(ranks, keys, advised)
+
+
 def highest(long: DataFrame, id_col: str) -> DataFrame:
     """The largest value per (scope, metric) and its holder; the smallest id keeps ties."""
     best = long.groupBy("scope", "metric").agg(F.max("value").alias("value"))

@@ -229,16 +229,64 @@ def outside_counts(spark, sf_dir):
     return stats.outside_counts(P.read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", table).withColumn("share_outside", F.round("share_outside", 9))
 
 
+_CONFIGURED = {"CountOrders": 3.0, "MaxPrice": 1000000.0, "CountOpen": 60.0, "MaxNesting": 2.5}
+_ADVICE = f"""rs AS (SELECT s * pow(10, e) AS rung, row_number() OVER (ORDER BY e, s) AS pos FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 25, 30, 40, 50, 60, 80]) AS s), (SELECT unnest(range(0, 13)) AS e)),
+    cf AS (SELECT * FROM (VALUES {', '.join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in _CONFIGURED.items())}) t(metric, configured)),
+    sh AS (SELECT metric, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS maximum FROM na GROUP BY 1),
+    ad AS (SELECT sh.*, configured, CASE WHEN fit > configured THEN 'raise' ELSE 'keep' END AS verdict, CASE WHEN fit > configured THEN fit END AS proposed, round(maximum / greatest(p95, 1), 9) AS tail_ratio, maximum / greatest(p95, 1) >= 50 AS tail_dominated
+           FROM sh JOIN cf USING (metric) JOIN LATERAL (SELECT min(rung) AS fit FROM rs WHERE rung >= p95 AND rung <= 1e12) ON true)"""
+
+
+def _recommended(spark, sf_dir):
+    table = spark.createDataFrame(list(_CONFIGURED.items()), "metric string, configured double")
+    return stats.recommend(P.sides(spark, sf_dir)[0], ["metric"], "value", table)
+
+
+@query(f", {_ADVICE} SELECT * FROM ad", "m", "na")
+def recommend(spark, sf_dir):
+    return _recommended(spark, sf_dir)[0].withColumn("tail_ratio", F.round("tail_ratio", 9))
+
+
 @query(
-    """SELECT metric, n, p50, p95, maximum, CAST(configured AS DOUBLE) AS configured, CASE WHEN fit > configured THEN 'raise' ELSE 'keep' END AS verdict, CASE WHEN fit > configured THEN fit END AS proposed,
-              round(maximum / greatest(p95, 1), 9) AS tail_ratio, maximum / greatest(p95, 1) >= 50 AS tail_dominated
-       FROM (SELECT metric, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS maximum, CASE metric WHEN 'CountOrders' THEN 3 ELSE 1000000 END AS configured FROM na WHERE metric IN ('CountOrders', 'MaxPrice') GROUP BY 1)
-       JOIN LATERAL (SELECT min(CAST(s * pow(10, e) AS DOUBLE)) AS fit FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 8, 12, 15, 25]) AS s), (SELECT unnest(range(0, 12)) AS e) WHERE s * pow(10, e) >= p95) ON true""",
+    f""", {_ADVICE}, an AS (SELECT metric, n, maximum, configured, proposed, coalesce(proposed, configured) AS anchor FROM ad),
+       ce AS (SELECT metric, unnest([configured, anchor]) AS c FROM an),
+       pl AS (SELECT metric, c, (SELECT min(pos) FROM rs WHERE rung = c) AS pos FROM ce),
+       ls AS (SELECT metric, c AS "limit" FROM pl UNION SELECT metric, rung FROM pl JOIN rs ON CASE WHEN pl.pos IS NULL THEN rs.pos <= 2 ELSE rs.pos BETWEEN pl.pos - 2 AND pl.pos + 2 END)
+       SELECT metric, "limit", (SELECT count(*) FROM na WHERE na.metric = ls.metric AND na.value > ls."limit") AS outside, round((SELECT count(*) FROM na WHERE na.metric = ls.metric AND na.value > ls."limit") / n, 9) AS share_outside,
+              "limit" = configured AS is_configured, coalesce("limit" = proposed, false) AS is_proposed
+       FROM ls JOIN an USING (metric) WHERE "limit" <= greatest(maximum, anchor)""",
     "m", "na",
 )
-def recommend(spark, sf_dir):
-    table = spark.createDataFrame([("CountOrders", 3.0), ("MaxPrice", 1000000.0)], "metric string, configured double")
-    return stats.recommend(P.sides(spark, sf_dir)[0], ["metric"], "value", table).withColumn("tail_ratio", F.round("tail_ratio", 9))
+def recommend_candidates(spark, sf_dir):
+    """What every limit near the configured one and near the proposal would leave outside."""
+    return _recommended(spark, sf_dir)[1].withColumn("share_outside", F.round("share_outside", 9))
+
+
+# the before side of the pairing: some customers stood under another signature, some in another file
+VIEWS["ra_"] = "ra_ AS (SELECT DISTINCT 'routine' AS scope, n_name AS path, c_name AS longname, c_mktsegment AS parameters, c_name AS body, c_custkey AS k FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderdate >= TIMESTAMP '1998-07-01')"
+VIEWS["rb_"] = """rb_ AS (SELECT DISTINCT 'routine' AS scope, CASE WHEN c_custkey % 7 = 0 THEN 'OLD/' || n_name ELSE n_name END AS path, c_name AS longname, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment || '2' ELSE c_mktsegment END AS parameters, c_name AS body, c_custkey AS k
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderdate < TIMESTAMP '1998-07-01')"""
+_PAIRS = """, fo AS (SELECT coalesce(a.scope, b.scope) AS scope, a.path, a.longname, a.parameters, b.path AS old_path, b.longname AS old_longname, b.parameters AS old_parameters,
+        CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' WHEN a.path <> b.path THEN 'moved' WHEN a.parameters <> b.parameters THEN 'signature' ELSE 'same' END AS stage FROM ra_ a FULL JOIN rb_ b USING (k))"""
+
+
+def _routines(spark, sf_dir):
+    orders, customer, nation = (P.read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = P.side_of(orders).join(customer, F.col("c_custkey") == F.col("o_custkey")).join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select("side", F.lit("routine").alias("scope"), F.col("n_name").alias("path"), F.col("c_name").alias("longname"), F.col("c_mktsegment").alias("parameters"), F.col("c_name").alias("body"), "c_custkey").distinct()
+    old = rows.where("side = 'before'").withColumn("path", F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("OLD/"), "path")).otherwise(F.col("path"))).withColumn("parameters", F.when(F.col("c_custkey") % 5 == 0, F.concat("parameters", F.lit("2"))).otherwise(F.col("parameters")))
+    return rows.where("side = 'after'").drop("side", "c_custkey"), old.drop("side", "c_custkey")
+
+
+@query(_PAIRS + " SELECT * FROM fo", "ra_", "rb_")
+def join_net_pairs(spark, sf_dir):
+    """Every customer once, joined to its other side by key, by signature, or by the one body that moved."""
+    return rules.net_pairs(*_routines(spark, sf_dir))
+
+
+@query(_PAIRS + ", dl AS (SELECT sum(CASE WHEN metric = 'CountOrders' THEN s * value END) AS \"net_CountOrders\" FROM (SELECT *, 1 AS s FROM na UNION ALL SELECT *, -1 FROM nb)) SELECT \"net_CountOrders\", (SELECT count(*) FROM fo) AS entities FROM dl", "ra_", "rb_", "m", "na", "nb")
+def net_delta_moved(spark, sf_dir):
+    """The net movement, where a customer that moved counts once."""
+    return rules.net_delta(*P.sides(spark, sf_dir), ["CountOrders"], rules.net_pairs(*_routines(spark, sf_dir)))
 
 
 @query("SELECT scope, metric, value, min(longname) AS holder FROM na JOIN (SELECT scope, metric, max(value) AS value FROM na GROUP BY 1, 2) USING (scope, metric, value) GROUP BY 1, 2, 3", "m", "na")
@@ -466,7 +514,7 @@ def _line_classes(spark, sf_dir):
 
 
 @query(
-    r""", tk AS (SELECT regexp_extract_all(lower(line), '[\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\s]') AS shape, path || ':' || i AS token FROM li),
+    r""", tk AS (SELECT regexp_extract_all(lower(line), '\w+|[^\w \t\n\x0B\f\r]') AS shape, path || ':' || i AS token FROM li),
         cs AS (SELECT row_number() OVER (ORDER BY min(token)) AS id, min(token) AS cls, len(shape) AS n, shape FROM tk WHERE len(shape) >= 6 GROUP BY shape),
         nt AS (SELECT id, n, t || chr(1) || row_number() OVER (PARTITION BY id, t) AS t FROM (SELECT id, n, unnest(shape) AS t FROM cs)),
         rk AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS r FROM nt JOIN (SELECT t, count(*) AS df FROM nt GROUP BY t) USING (t)),
