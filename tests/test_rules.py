@@ -59,3 +59,25 @@ def test_scopes_overlay_in_order(spark):
     assert rows(rules.overlay_scopes(paths, table, scopes).select("path", "metric", "most")) == [("src/a.py", "X", 10.0), ("tests/b.py", "X", 70.0), ("tests/b.py", "Z", 1.0)]
     off = [{"pattern": "tests", "rules": [{"scope": "routine", "metric": "X", "disabled": True}]}]
     assert rows(rules.overlay_scopes(paths, table, off).select("path")) == [("src/a.py",)]
+
+
+def test_net_pairs_take_each_routine_once(spark):
+    r = "scope string, path string, longname string, parameters string, body string"
+    after = [("a", "f", "x", "1"), ("a", "g", "y", "2"), ("b", "h", None, "3"), ("b", "i", None, "4"), ("b", "j", None, None), ("b", "k", None, "6"), ("b", "k2", None, "6")]
+    before = [("a", "f", "x", "9"), ("a", "g", "z", "2"), ("a", "h", None, "3"), ("c", "i", None, "5"), ("c", "j", None, None), ("c", "k", None, "6")]
+    pairs = rules.net_pairs(spark.createDataFrame([("routine", *x) for x in after], r), spark.createDataFrame([("routine", *x) for x in before], r))
+    assert rows(pairs.select("path", "longname", "old_path", "old_longname", "stage")) == sorted([
+        ("a", "f", "a", "f", "same"), ("a", "g", "a", "g", "signature"), ("b", "h", "a", "h", "moved"), ("b", "i", None, None, "added"), ("b", "j", None, None, "added"), ("b", "k", None, None, "added"), ("b", "k2", None, None, "added"),
+        (None, None, "c", "i", "removed"), (None, None, "c", "j", "removed"), (None, None, "c", "k", "removed"),
+    ], key=repr)
+
+
+def test_overlaid_limits_equal_limits_by_path(spark):
+    scopes = [{"pattern": "gen/**", "rules": [{"scope": "routine", "metric": "A", "disabled": True}, {"scope": "routine", "metric": "B", "severity": "warning"}]}, {"pattern": "gen/x/**", "rules": [{"scope": "routine", "metric": "A", "most": 5.0}, {"scope": "routine", "metric": "C", "least": 2.0, "severity": "warning"}, {"scope": "routine", "metric": "D", "severity": "warning"}]}]
+    th = spark.createDataFrame([("routine", "A", 3.0, None, "error", True), ("routine", "B", 9.0, None, "error", True)], "scope string, metric string, most double, least double, severity string, ratchet boolean")
+    paths = ["a", "gen/a", "gen/x/a"]
+    measures = spark.createDataFrame([("routine", p, "f", None, m, 1.0) for p in paths for m in "ABCD"], "scope string, path string, longname string, parameters string, metric string, value double")
+    got = rules.overlaid(measures, th, scopes).select("path", "scope", "metric", "most", "least", "severity")
+    assert rows(got) == rows(rules.overlay_scopes(measures.select("path"), th, scopes)) and got.count() == 6
+    low = spark.createDataFrame([("routine", "p", n, None, m, v) for n, m, v in [("f", "L", 9.0), ("f", "S", 2.0), ("g", "L", 9.0), ("g", "S", 5.0), ("h", "L", 9.0)]], measures.schema)
+    assert rows(rules.above_floor(low, {"L": ("S", 5)}).where("metric = 'L'").select("longname")) == [("g",), ("h",)]

@@ -34,6 +34,20 @@ def test_baselines_only_narrow(spark):
 
 def test_advice_only_widens(spark):
     df = spark.createDataFrame([("m", float(v)) for v in [1] * 90 + [7] * 8 + [900] * 2], "metric string, value double")
-    r = stats.recommend(df, ["metric"], "value", spark.createDataFrame([("m", 5.0)], "metric string, configured double")).first()
+    r = stats.recommend(df, ["metric"], "value", spark.createDataFrame([("m", 5.0)], "metric string, configured double"))[0].first()
     assert (r.verdict, r.proposed, r.tail_dominated) == ("raise", 8.0, True)
-    assert stats.recommend(df, ["metric"], "value", spark.createDataFrame([("m", 50.0)], "metric string, configured double")).first().verdict == "keep"
+    assert stats.recommend(df, ["metric"], "value", spark.createDataFrame([("m", 50.0)], "metric string, configured double"))[0].first().verdict == "keep"
+
+
+def test_candidates_stand_two_rungs_either_side(spark):
+    """10 is kept, 7 is raised to 100; both give their neighbours up to the largest value, and a limit between rungs the ladder's first two."""
+    values = [float(v) for v in range(1, 101)]
+    df = spark.createDataFrame([(m, v) for m in ("kept", "raised", "top") for v in values], "metric string, v double")
+    limits = spark.createDataFrame([("kept", 100.0), ("raised", 7.0), ("top", 60.0), ("unknown", 1.0)], "metric string, configured double")
+    advised, near = stats.recommend(df, ["metric"], "v", limits)
+    assert rows(advised.select("metric", "verdict", "proposed")) == [("kept", "keep", None), ("raised", "raise", 100.0), ("top", "raise", 100.0)]
+    got = {m: [] for m in ("kept", "raised", "top")}
+    for r in near.orderBy("limit").collect():
+        got[r.metric].append(r["limit"])
+        assert r.outside == sum(v > r["limit"] for v in values) and r.share_outside == pytest.approx(r.outside / 100) and r.is_configured == (r["limit"] == {"kept": 100, "raised": 7, "top": 60}[r.metric])
+    assert got == {"kept": [60.0, 80.0, 100.0], "raised": [1.0, 2.0, 7.0, 60.0, 80.0, 100.0], "top": [10.0, 40.0, 50.0, 60.0, 80.0, 100.0]}

@@ -260,16 +260,19 @@ def net_growth(spark, sf_dir):
     return summary.net_growth(net, 100, statements="net_CountOrders").drop("entities")
 
 
-@query("SELECT DISTINCT path FROM (SELECT path FROM ch UNION SELECT old_path FROM ch) WHERE path IS NOT NULL", "ch")
+@query("SELECT DISTINCT path FROM (SELECT 'user/' || user_id AS path FROM events UNION ALL SELECT 'old/' || (user_id + event_id % 9) FROM events WHERE event_type = 'click')")
 def touched(spark, sf_dir):
-    return summary.touched(changes(spark))
+    """Every path that the events name as changes: clicks are renames."""
+    events = P.read(spark, sf_dir, "events")
+    old = F.when(F.col("event_type") == "click", F.concat(F.lit("old/"), (F.col("user_id") + F.col("event_id") % 9).cast("string")))
+    return summary.touched(events.select(F.when(old.isNotNull(), "R").otherwise("M").alias("status"), F.concat(F.lit("user/"), F.col("user_id").cast("string")).alias("path"), old.alias("old_path")))
 
 
-@query("SELECT 'analysis.parse_error' AS rule, source AS path, count(*) AS errors FROM documents WHERE text LIKE '%!%' GROUP BY 2")
+@query("SELECT 'analysis.parse_error' AS rule, source AS path, count(*) AS errors, CAST(min(doc_id) AS VARCHAR) AS first FROM documents WHERE text LIKE '%!%' GROUP BY 2")
 def parse_error_groups(spark, sf_dir):
-    bad = P.read(spark, sf_dir, "documents").where(F.col("text").contains("!")).select(F.col("source").alias("path"))
+    bad = P.read(spark, sf_dir, "documents").where(F.col("text").contains("!")).select(F.col("source").alias("path"), F.col("doc_id").alias("line"), F.col("doc_id").cast("string").alias("message"))
     side = check.Side(spark.createDataFrame([], "path string"), spark.createDataFrame([], "src string, dst string"), bad)
-    return check.parse_findings(side, bad.distinct()).select("rule", "path", "errors")
+    return check.parse_errors(side, bad.select("path").distinct()).select(F.lit("analysis.parse_error").alias("rule"), "path", "errors", "first")
 
 
 @query("SELECT rule, path, longname, CASE WHEN rule = 'routine.CountOrders' THEN 'warning' ELSE severity END AS severity FROM cl", "m", "na", "nb", "lim", "th", "tb", "ra", "cl")
@@ -348,11 +351,12 @@ def unavailable_metrics(spark, sf_dir):
     return readers.unavailable(rows, ["quality", "toxic"]).select("language", F.array_join("metrics", ",").alias("metrics"))
 
 
-@query("SELECT rule FROM (VALUES ('class.MaxInheritanceTree'), ('class.PercentLackOfCohesion'), ('file.RatioCommentToCode'), ('routine.CountLineComment'), ('routine.Essential'), ('routine.LinesPerStatement')) t(rule)")
+@query("SELECT p_brand AS brand, CASE WHEN p_size > 25 THEN 'class.MaxInheritanceTree' ELSE 'routine.MaxNesting' END AS rule, CASE WHEN p_size > 25 THEN 'warning' ELSE 'error' END AS severity, count(*) AS findings FROM part GROUP BY ALL")
 def severity_default(spark, sf_dir):
-    """The shipped limits that only warn."""
-    table = settings.thresholds(spark, settings.load()[0])
-    return table.where("severity = 'warning'").select(F.concat_ws(".", "scope", "metric").alias("rule"))
+    """Parts as findings of two rules, with the severities that the shipped limits give them."""
+    table = settings.thresholds(spark, settings.load()[0]).select(F.concat_ws(".", "scope", "metric").alias("rule"), "severity")
+    found = P.read(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.when(F.col("p_size") > 25, "class.MaxInheritanceTree").otherwise("routine.MaxNesting").alias("rule"))
+    return found.join(table, "rule").groupBy("brand", "rule", "severity").agg(F.count("*").alias("findings"))
 
 
 # --- functions of columns ---------------------------------------------------------------------------------
@@ -416,17 +420,17 @@ def call_closure_bound(spark, sf_dir):
 
 @query(
     """, nd AS (SELECT DISTINCT s.side, a.n_name AS src, b.n_name AS dst, refs FROM se s JOIN nation a ON a.n_name = src JOIN nation b ON b.n_name = dst),
-       rl AS (SELECT side, x.r_name AS src, y.r_name AS dst, sum(refs) AS refs FROM nd JOIN nation a ON a.n_name = src JOIN nation b ON b.n_name = dst JOIN region x ON x.r_regionkey = a.n_regionkey JOIN region y ON y.r_regionkey = b.n_regionkey WHERE x.r_name <> y.r_name AND (side = 'after' OR x.r_name < y.r_name) GROUP BY 1, 2, 3),
+       rl AS (SELECT side, x.r_name AS src, y.r_name AS dst, sum(refs) AS refs FROM nd JOIN nation a ON a.n_name = src JOIN nation b ON b.n_name = dst JOIN region x ON x.r_regionkey = a.n_regionkey JOIN region y ON y.r_regionkey = b.n_regionkey WHERE x.r_name <> y.r_name GROUP BY 1, 2, 3),
        rr AS (SELECT side, src AS seed, src AS node FROM rl UNION SELECT rr.side, rr.seed, rl.dst FROM rr JOIN rl ON rl.side = rr.side AND rl.src = rr.node),
        cc AS (SELECT x.side, x.seed AS node, min(x.node) AS component FROM rr x JOIN rr y ON x.side = y.side AND x.seed = y.node AND x.node = y.seed GROUP BY 1, 2 HAVING count(*) > 1)
        SELECT a.component, count(*) AS members FROM cc a LEFT JOIN cc b ON b.side = 'before' AND b.node = a.node WHERE a.side = 'after' GROUP BY 1 HAVING NOT (count(b.component) = count(*) AND count(DISTINCT b.component) = 1)""",
     "fe", "se", recursive=True,
 )
 def arch_cycle(spark, sf_dir):
-    """Cycles of regions; the before side is read in one direction only, since both sides are dense."""
+    """Cycles of regions that the before side lacks."""
     members = P.arch_members(spark, sf_dir)
     after, before = (structure.roll_up(e, members) for e in P.strong_edges(spark, sf_dir))
-    return graph.new_cycles(after, before.where("src < dst"))
+    return graph.new_cycles(after, before)
 
 
 @query("""SELECT seed, rank, node, complexity FROM (SELECT c.src AS seed, p_partkey AS node, CAST(p_size AS DOUBLE) AS complexity, row_number() OVER (PARTITION BY c.src ORDER BY p_size DESC, p_partkey) AS rank
@@ -437,9 +441,9 @@ def win_heaviest(spark, sf_dir):
     return summary.heaviest(direct, P.call_nodes(spark, sf_dir)).select("seed", F.col("rank").cast("bigint").alias("rank"), "node", "complexity")
 
 
-@query("SELECT user_id, seq AS n, props AS message FROM (SELECT user_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events) WHERE event_type = 'error' AND nxt = 'click'")
+@query("""SELECT DISTINCT 'u' || user_id AS path, CAST(event_id AS INTEGER) AS line, was_props AS message FROM (SELECT *, lag(event_type) OVER w AS was, lag(props) OVER w AS was_props FROM events WHERE event_type IN ('error', 'click', 'signup') WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+          WHERE event_type = 'click' AND was = 'error'""")
 def win_pair_lines(spark, sf_dir):
-    """Errors that a click follows at once, per user."""
-    order = W.partitionBy("user_id").orderBy("event_id")
-    rows = P.read(spark, sf_dir, "events").select("user_id", "event_type", F.col("props").alias("message"), F.row_number().over(order).cast("bigint").alias("n"), F.lead("event_type").over(order).alias("next"))
-    return rows.where("event_type = 'error' AND next = 'click'").select("user_id", "n", "message")
+    """Events as the lines of a log for each user: errors, the places that clicks name, and signups as warnings."""
+    text = F.when(F.col("event_type") == "error", F.concat(F.lit("Error: "), "props")).when(F.col("event_type") == "click", F.format_string("File: u%d Line: %d", "user_id", "event_id")).when(F.col("event_type") == "signup", F.lit("Warning: new")).otherwise(F.lit("note"))
+    return readers.analysis_log(P.read(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("n"), text.alias("text")))

@@ -162,10 +162,14 @@ def lean_findings(after: Side, files: DataFrame, limits: Limits) -> list[DataFra
     return out
 
 
+def parse_errors(side: Side, files: DataFrame) -> DataFrame:
+    """path, errors, first (the message on its first line) of the files that could not be read."""
+    return side.unparsed.join(files, "path", "left_semi").groupBy("path").agg(F.count("*").alias("errors"), F.min_by("message", "line").alias("first"))
+
+
 def run_findings(after: Side, before: Side, files: DataFrame, limits: Limits, violations: DataFrame | None) -> list[DataFrame]:
     """What could not be read, how much was, what another checker says, whole populations, and the net movement."""
-    bad = after.unparsed.join(files, "path", "left_semi").groupBy("path").agg(F.count("*").alias("errors"), F.min_by("message", "line").alias("first"))
-    out = [_finding(bad, "parse", "analysis.parse_error", "path", F.col("errors"), detail=F.col("first"))]
+    out = [_finding(parse_errors(after, files), "parse", "analysis.parse_error", "path", F.col("errors"), detail=F.col("first"))]
     if limits.accuracy is not None:
         known = [(name, s.accuracy) for name, s in (("after", after), ("before", before)) if s.accuracy is not None]
         figures = after.measures.sparkSession.createDataFrame(known, "side string, accuracy double")

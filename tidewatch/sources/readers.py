@@ -57,23 +57,22 @@ def parse_errors(*sides: DataFrame) -> DataFrame:
     return out.groupBy("path", "line", "message").agg(F.min("side").alias("side"))
 
 
-#: The names that a column of the checker's file may have, letters and digits only, best first.
+#: The names that a column of the checker's file may have, letters and digits only.
 CSV_NAMES = {"check_id": ["checkid", "id", "check"], "check_name": ["checkname", "name", "checktitle"], "directory": ["directory", "folder"], "path": ["file", "path", "filename"], "line": ["line", "linenumber"], "column": ["column", "columnnumber"], "message": ["violation", "message", "text"], "entity": ["entity"]}
 
 
 def violations_csv(spark: SparkSession, path: str) -> DataFrame:
-    """check_id, check_name, path, line, column, message, entity; headers by any known name, the leftmost wins; rows without a file group others and go."""
-    raw = spark.read.csv(path, header=False, mode="FAILFAST", multiLine=True)
-    head = raw.first()
-    if head is None:
+    """check_id, check_name, path, line, column, message, entity; a field is the leftmost column with one of its names. Each file has its own header line, which must be
+    that of the others; rows without a file group others and go."""
+    rows = spark.read.csv(path, header=True, enforceSchema=False, mode="FAILFAST", multiLine=True)
+    if not rows.columns:
         raise ValueError("a checker's file needs a header")
-    names = ["".join(c for c in (h or "").lower() if c.isalnum()) for h in head]
+    names = ["".join(c for c in h.lower() if c.isalnum()) for h in rows.columns]
 
     def pick(field: str) -> Column:
-        at = next((i for alias in CSV_NAMES[field] for i, n in enumerate(names) if n == alias), None)
-        return F.col(raw.columns[at]) if at is not None else F.lit(None).cast("string")
+        at = next((i for i, n in enumerate(names) if n in CSV_NAMES[field]), None)
+        return F.col(f"`{rows.columns[at]}`") if at is not None else F.lit(None).cast("string")
 
-    rows = raw.where(~F.struct(*raw.columns).eqNullSafe(F.struct(*[F.lit(v).cast("string") for v in head])))
     full = F.when(pick("directory").isNotNull() & ~pick("path").contains("/"), F.concat_ws("/", pick("directory"), pick("path"))).otherwise(pick("path"))
     return rows.where(pick("path").isNotNull() & (F.trim(pick("path")) != "")).select(
         pick("check_id").alias("check_id"), pick("check_name").alias("check_name"), F.replace(full, F.lit("\\"), F.lit("/")).alias("path"),

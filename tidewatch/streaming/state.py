@@ -47,6 +47,8 @@ def _compared(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
             rows.append((key[0], int(commit), change, last[2], errors, last[3], value))
         last = (int(commit), digest, None if errors is None else int(errors), None if value is None else float(value))
     state.update(last)
+    if not rows:
+        return
     out = pd.DataFrame(rows, columns=["path", "commit", "change", "errors_before", "errors", "value_before", "value"])
     yield out.astype({"commit": "int64", "errors_before": "Int64", "errors": "Int64", "value_before": "float64", "value": "float64"})
 
