@@ -505,12 +505,13 @@ def duplicate_block(spark, sf_dir):
 def _lines(spark, sf_dir):
     """Every line of the documents as a routine of its own: token, path, start, stop and the shape of its words."""
     lines = P.documents_as_files(spark, sf_dir).select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    placed = lines.select(F.concat_ws(":", "path", F.col("at") + 1).alias("token"), "path", (F.col("at") + 1).alias("start"), (F.col("at") + 1).alias("stop"), "line")
-    return placed.join(similar.shapes(placed, "token", "line"), "token")
+    tokens = similar.shapes(lines.select(F.struct("path", "at").alias("place"), "line"), "place", "line")
+    at = F.col("token.at") + 1
+    return tokens.select(F.concat_ws(":", "token.path", at).alias("token"), F.col("token.path").alias("path"), at.alias("start"), at.alias("stop"), "shape")
 
 
 def _line_classes(spark, sf_dir):
-    return similar.shape_classes(similar.shapes(_lines(spark, sf_dir).select("token", "line"), "token", "line"))
+    return similar.shape_classes(_lines(spark, sf_dir))
 
 
 @query(
@@ -536,7 +537,7 @@ def pair_score(spark, sf_dir):
 
 @query()
 def similar_routine(spark, sf_dir):
-    lines = _lines(spark, sf_dir).select("token", "path", "start", "stop", "shape")
+    lines = graph.stored(_lines(spark, sf_dir), "lines")
     return similar.similar_families(lines, lines.select("token"))
 
 
