@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidewatch.llm import _vec, components, decontam, jaccard, langid, licenses, lm, mpeg, packing, quality, toxicity, warc
+from tidewatch.llm._labels import training_ids
 from tidewatch.llm.entry import BYTE_BPE, BYTE_BPE_SPECIALS, PIECE_MODEL
 
 DOCS = "doc_id bigint, text string, lang string, words string, n int, score double"  # the last ones clash with names inside
@@ -244,6 +245,44 @@ def test_toxicity_ignores_which_group_is_named():
         assert model.scores(pa.array(["a", None, ""])).max() < 0.01
 
 
+def plain_toxicity(model, text):
+    """The score of one text from the fitted weights, feature by feature."""
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").translate(SMALL))
+    found = set()
+    for w in (x.encode() for x in words):
+        found.add(_vec.hash_word(w) >> 32)
+        found |= {((_vec.hash_word(w[:k]) ^ (k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> 32) for k in toxicity.PREFIXES if len(w) > k}
+    z = model.bias + sum(weight.get(f, 0.0) for f in found)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_classifiers_on_awkward_rows_and_by_hand(spark, awkward, empty):
+    """Labels with repeats and nulls; scores equal a plain re-computation from the weights; repeated, null and empty texts score; a column named score gives way."""
+    rng = np.random.default_rng(8)
+    vocab = [f"{a}{b}" for a in ("ta", "mo", "re", "sil", "und") for b in ("n", "kel", "ber", "os", "ima")]
+    docs = [(i, " ".join(rng.choice(vocab, 15)) + (" scumbag idiot" if i % 3 == 0 else ""), "en", "x", 1, 0.0) for i in range(240)]
+    df = spark.createDataFrame(docs + docs[:5], DOCS).union(awkward)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(240)] + [(3, 0, 1), (None, 1, 1), (7, None, None)], "doc_id bigint, quality int, toxic int")
+    ids, sizes = training_ids(labels, "toxic", {1: 60, 0: 60})
+    assert ids.count() == ids.select("doc_id").distinct().count() <= 120 and ids.where("doc_id IS NULL").isEmpty()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in ids.collect())
+    model = toxicity.fit(df, ids, sizes)
+    told = toxicity.score(df, model).collect()
+    assert len(told) == df.count() and set(told[0].asDict()) == {"doc_id", "lang", "words", "n", "score"}
+    texts = dict(enumerate(t for _, t, *_ in docs))
+    for r in told:
+        if r.doc_id is not None and r.doc_id >= 10:
+            assert r.score == pytest.approx(plain_toxicity(model, texts[r.doc_id]), abs=1e-9) and (r.score >= 0.5) == (r.doc_id % 3 == 0)
+    blank = [r.score for r in toxicity.score(awkward.where("doc_id <= 3"), model).collect()]
+    assert blank == [pytest.approx(plain_toxicity(model, ""), abs=1e-9)] * 3 and toxicity.score(empty, model).count() == 0
+    good = quality.fit(df, *training_ids(labels, "quality", {1: 60, 0: 60}))
+    once = toxicity.score(df, good).groupBy("doc_id").agg(F.count_distinct("score").alias("n"), F.min("score").alias("s"), F.max("score").alias("t")).where("doc_id >= 10")
+    assert once.where("n > 1").isEmpty() and once.where("s < 0 OR t > 1 OR isnan(s)").isEmpty()
+    none = training_ids(labels.limit(0), "quality", {1: 60, 0: 60})
+    assert toxicity.score(awkward, quality.fit(df, *none)).where("score IS NULL OR isnan(score)").isEmpty() and toxicity.score(empty, good).count() == 0
+
+
 def test_quality_tells_junk(spark):
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["the", "river", "runs", "under", "old", "trees"], 40)) for _ in range(150)]
