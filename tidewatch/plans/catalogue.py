@@ -237,14 +237,14 @@ _ADVICE = f"""rs AS (SELECT s * pow(10, e) AS rung, row_number() OVER (ORDER BY
            FROM sh JOIN cf USING (metric) JOIN LATERAL (SELECT min(rung) AS fit FROM rs WHERE rung >= p95 AND rung <= 1e12) ON true)"""
 
 
-def _recommended(spark, sf_dir):
+def recommended(spark, sf_dir):
     table = spark.createDataFrame(list(_CONFIGURED.items()), "metric string, configured double")
     return stats.recommend(P.sides(spark, sf_dir)[0], ["metric"], "value", table)
 
 
 @query(f", {_ADVICE} SELECT * FROM ad", "m", "na")
 def recommend(spark, sf_dir):
-    return _recommended(spark, sf_dir)[0].withColumn("tail_ratio", F.round("tail_ratio", 9))
+    return recommended(spark, sf_dir)[0].withColumn("tail_ratio", F.round("tail_ratio", 9))
 
 
 @query(
@@ -259,7 +259,7 @@ def recommend(spark, sf_dir):
 )
 def recommend_candidates(spark, sf_dir):
     """What every limit near the configured one and near the proposal would leave outside."""
-    return _recommended(spark, sf_dir)[1].withColumn("share_outside", F.round("share_outside", 9))
+    return recommended(spark, sf_dir)[1].withColumn("share_outside", F.round("share_outside", 9))
 
 
 # the before side of the pairing: some customers stood under another signature, some in another file

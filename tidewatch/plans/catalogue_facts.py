@@ -6,13 +6,12 @@ brand where it stands before it in an order. Spans of lines are customers inside
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars, source
-from tidewatch.operators import dead, facts, graph, rules, stats, structure, summary
+from tidewatch.operators import dead, facts, graph, rules, structure, summary
 from tidewatch.plans import check, settings
-from tidewatch.plans.catalogue import SQL, VIEWS, changes, limits, query
+from tidewatch.plans.catalogue import SQL, VIEWS, changes, limits, query, recommended
 from tidewatch.sources import project as P
 from tidewatch.sources import readers
 
@@ -227,9 +226,7 @@ def win_topk_value(spark, sf_dir):
 
 @query(f"SELECT metric, configured, proposed FROM ({SQL['recommend']}) WHERE verdict = 'raise'")
 def deviations(spark, sf_dir):
-    configured = spark.createDataFrame([("CountOrders", 3.0), ("MaxPrice", 1e6)], "metric string, configured double")
-    after = P.sides(spark, sf_dir)[0].where("metric IN ('CountOrders', 'MaxPrice')")
-    return summary.deviations(stats.recommend(after, ["metric"], "value", configured)).select("metric", "configured", "proposed")
+    return summary.deviations(recommended(spark, sf_dir)[0]).select("metric", "configured", "proposed")
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 8")
