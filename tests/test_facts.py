@@ -186,3 +186,15 @@ def test_listings_and_globs(spark):
     assert rows(readers.keep_paths(files, ["src"], ["**/gen"])) == [("src/a.py",)] and readers.keep_paths(files, [], []).count() == 3
     suffixes = spark.createDataFrame([(".py", "Python"), (".md", "Markdown")], "suffix string, language string")
     assert rows(readers.enrolled(files, suffixes, ["python"])) == [("src/a.py",), ("src/gen/b.py",)] and readers.enrolled(files, suffixes, []).count() == 3
+
+
+def test_outlines_are_built_piece_by_piece(spark):
+    import pyarrow as pa
+
+    text = "import a\n" * (source.PIECE // 18)  # half a piece
+    texts = [text, None, "def f():\n    import b\n", "(", *[text] * 9, ""]
+    pieces = list(source.module_outline.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert len(pieces) > 3 and sum(map(len, pieces)) == len(texts) and max(len(x["imports"]) for p in pieces for x in p.to_pylist()) == source.PIECE // 18
+    assert [x["parsed"] for p in pieces for x in p.to_pylist()][:4] == [True, True, True, False]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").select("id", source.module_outline("text").alias("o"))
+    assert {r[0]: r[1] for r in df.selectExpr("id", "size(o.imports)").collect()} == {i: (t or "").count("import") for i, t in enumerate(texts)}

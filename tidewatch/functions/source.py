@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
 #: A comment, a string, a number, a name, or any other mark.
 TOKEN = r"""(#[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[0-9][0-9A-Za-z_.]*|[A-Za-z_][0-9A-Za-z_]*|[^\s0-9A-Za-z_])"""
-WINDOW = 12
+WINDOW, PIECE = 12, 1 << 18
 
 
 def _rows(**fields: DataType) -> ArrayType:
@@ -96,16 +100,27 @@ class _Outline(ast.NodeVisitor):
             self.bindings += [(t.id, line) for t in targets if isinstance(t, ast.Name)]
 
 
-@F.pandas_udf(MODULE)
-def module_outline(text: pd.Series) -> pd.DataFrame:
-    """parsed, quiet (intervals of lines), imports and bindings of a Python file; a text that can't be parsed has none of them."""
+def _outline_rows(texts: list[str | None]) -> pa.Array:
     rows = []
-    for t in text:
+    for t in texts:
         outline, parsed = _Outline(), True
         try:
             outline.visit(ast.parse(t or ""))
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             outline, parsed = _Outline(), False
         pack = lambda names, xs: [dict(zip(names, x, strict=True)) for x in xs]
-        rows.append((parsed, pack(("start", "stop"), outline.quiet), pack(("line", "target"), outline.imports), pack(("name", "line"), outline.bindings)))
-    return pd.DataFrame(rows, columns=["parsed", "quiet", "imports", "bindings"])
+        rows.append({"parsed": parsed, "quiet": pack(("start", "stop"), outline.quiet), "imports": pack(("line", "target"), outline.imports), "bindings": pack(("name", "line"), outline.bindings)})
+    return pa.array(rows, to_arrow_type(MODULE))
+
+
+@F.arrow_udf(MODULE)
+def module_outline(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """parsed, quiet (intervals of lines), imports and bindings of a Python file; a text that can't be parsed has none of them.
+
+    A batch is parsed in pieces of about PIECE bytes, so what a worker holds of trees and rows doesn't follow the batch."""
+    for batch in text:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)) // PIECE
+        borders = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(batch)]
+        for a, b in zip(borders[:-1], borders[1:], strict=True):
+            if a < b:
+                yield _outline_rows(batch.slice(a, b - a).to_pylist())
