@@ -112,3 +112,15 @@ def test_streaming_state(spark, tmp_path):
     e = "path string, message string"
     held, new = spark.createDataFrame([("a", "old"), ("b", "old")], e), spark.createDataFrame([("a", "new")], e)
     assert rows(state.remember_errors(new, spark.createDataFrame([("a",)], "path string"), held)) == [("a", "new"), ("b", "old")]
+
+
+def test_strict_reading_stores_each_level_once_without_plain_values(spark, monkeypatch):
+    from tidewatch.sources import wire
+
+    kept = []
+    monkeypatch.setattr(wire, "stored", lambda df, what, to=wire.stored: kept.append(to(df, what)) or kept[-1])
+    docs = spark.createDataFrame([("d", '{"entities":[{"ref":{"key":{"path":"k"},"line":7}},{"ref":{"key":{"path":"k"},"line":"7"},"note":1}]}')], "doc string, text string")
+    got = wire.issues(docs)
+    assert sorted((r.at, r.issue) for r in got.collect()) == [("$.entities[0].ref.key", "duplicate key"), ("$.entities[1].note", "unknown field"), ("$.entities[1].ref.line", "wrong type")]
+    assert len(kept) == 7  # the documents, and six levels
+    assert not [r for k in kept[1:] for r in k.where("pattern LIKE '%.line' AND v IS NOT NULL").collect()]

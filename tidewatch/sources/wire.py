@@ -58,17 +58,20 @@ def issues(documents: DataFrame, schema: StructType | None = None, keyed: str |
     while True:
         told = level.withColumn("type", F.schema_of_variant("v")).join(F.broadcast(known), "pattern", "left")
         issue = F.when(F.col("kind").isNull(), "unknown field").when(~holds, "wrong type")
-        told = stored(told.withColumn("issue", issue), "wire")
+        told = told.withColumn("issue", issue).withColumn("inner", F.expr("issue IS NULL AND kind IN ('object', 'array', 'map') AND type <> 'VOID'"))
+        is_key = F.lit(False) if keyed is None else (F.col("pattern") == keyed) & F.col("issue").isNull()
+        told = told.withColumn("is_key", is_key).where("issue IS NOT NULL OR inner OR is_key")  # a plain value that may stand there is done with
+        told = stored(told.withColumn("v", F.when(F.col("inner") | F.col("is_key"), F.col("v"))), "wire")
         found.add(told.where("issue IS NOT NULL").select("doc", "at", "issue", F.when(F.col("issue") == "wrong type", F.concat_ws(" for ", "type", "kind")).alias("detail")))
         if keyed is not None:
-            keys.add(told.where((F.col("pattern") == keyed) & F.col("issue").isNull()).select("doc", "at", F.to_json("v").alias("text")))
-        inner = told.where("issue IS NULL AND kind IN ('object', 'array', 'map') AND type <> 'VOID'")
+            keys.add(told.where("is_key").select("doc", "at", F.to_json("v").alias("text")))
+        inner = told.where("inner")
         if inner.isEmpty():
             break
         parts = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("doc", "pattern", "kind", "at", "pos", "key", "value")
         step = F.when(F.col("kind") == "array", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))
         below = F.when(F.col("kind") == "array", F.concat("pattern", F.lit("[]"))).when(F.col("kind") == "map", F.concat("pattern", F.lit("{}"))).otherwise(F.concat("pattern", F.lit("."), "key"))
-        level = stored(parts.select("doc", below.alias("pattern"), F.concat("at", step).alias("at"), F.col("value").alias("v")), "wire")
+        level = parts.select("doc", below.alias("pattern"), F.concat("at", step).alias("at"), F.col("value").alias("v"))
     if keyed is not None:
         twice = keys.rows().groupBy("doc", "text").agg(F.min("at").alias("at"), F.count("*").alias("n")).where("n > 1")
         found.add(twice.select("doc", "at", F.lit("duplicate key").alias("issue"), F.col("text").alias("detail")))
