@@ -124,3 +124,13 @@ def test_strict_reading_stores_each_level_once_without_plain_values(spark, monke
     assert sorted((r.at, r.issue) for r in got.collect()) == [("$.entities[0].ref.key", "duplicate key"), ("$.entities[1].note", "unknown field"), ("$.entities[1].ref.line", "wrong type")]
     assert len(kept) == 7  # the documents, and six levels
     assert not [r for k in kept[1:] for r in k.where("pattern LIKE '%.line' AND v IS NOT NULL").collect()]
+
+
+def test_commit_deltas_takes_few_turns_and_equals_the_table(spark, monkeypatch):
+    from tests.test_catalogue import DATA
+    from tidewatch.plans import catalogue_check as cc
+
+    turns = []
+    monkeypatch.setattr(state, "commit_deltas", lambda df, to=state.commit_deltas: turns.append(1) or to(df))
+    got = cc.commit_deltas(spark, DATA)
+    assert rows(got) == rows(state.commit_deltas_of(cc._commits(spark, DATA))) and len(turns) == 2

@@ -85,6 +85,10 @@ _COMMITS = """SELECT user_id, epoch_us(date_trunc('day', ts)) // 86400000000 AS
     FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id, date_trunc('day', ts)) AS top FROM events) GROUP BY 1, 2"""
 
 
+#: A turn costs a start and a call for each file that changed in it.
+TURNS = 2
+
+
 def _commits(spark, sf_dir):
     """path, commit, digest, errors, value: a user's day is a commit of a file; one that ends in an error removes it."""
     events = P.read(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.unix_date(F.to_date("ts")).cast("bigint").alias("commit"), "event_id", "event_type", "value")
@@ -96,15 +100,16 @@ def _commits(spark, sf_dir):
               CASE WHEN lag(digest) OVER w IS NULL AND digest IS NOT NULL THEN 'added' WHEN digest IS NULL AND lag(digest) OVER w IS NOT NULL THEN 'deleted' WHEN digest <> lag(digest) OVER w THEN 'modified' END AS change
        FROM ({_COMMITS}) WINDOW w AS (PARTITION BY user_id ORDER BY commit)) WHERE change IS NOT NULL""")
 def commit_deltas(spark, sf_dir):
-    """The deltas of all commits, by a stream of ten days at a time whose state is the last commit of each file."""
+    """The deltas of all commits, by a stream of TURNS turns whose state is the last commit of each file."""
     top = graph.shared_top(spark)
     at = f"{top.rstrip('/')}/commits-{uuid.uuid4().hex}"
     changes = graph.stored(_commits(spark, sf_dir), "commits")
     days = changes.agg(F.min("commit").alias("a"), F.max("commit").alias("b")).first()
     if days["a"] is None:
         return state.commit_deltas_of(changes)
-    for k, day in enumerate(range(days["a"], days["b"] + 1, 10)):
-        changes.where(F.col("commit").between(day, day + 9)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    span = -(-(days["b"] + 1 - days["a"]) // TURNS)
+    for day in range(days["a"], days["b"] + 1, span):
+        changes.where(F.col("commit").between(day, day + span - 1)).write.mode("append").parquet(f"{at}/in")
         stream = spark.readStream.schema(changes.schema).parquet(f"{at}/in")
         run = state.commit_deltas(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
         run.awaitTermination()  # each turn starts anew from the checkpoint

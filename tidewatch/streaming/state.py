@@ -35,11 +35,17 @@ HELD = "commit bigint, digest string, errors bigint, value double"
 DELTA = "path string, commit bigint, change string, errors_before bigint, errors bigint, value_before double, value double"
 
 
+def _plain(column: pd.Series) -> list:
+    """A column's values, None for what is missing."""
+    return [None if x is None or x != x else x for x in column.tolist()]
+
+
 def _compared(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The deltas of one file's new commits against what the state holds of the last one; a commit that isn't newer is one that was seen."""
     last = state.get if state.exists else (None, None, None, None)
     rows = []
-    for commit, digest, errors, value in sorted((tuple(None if pd.isna(x) else x for x in r) for p in parts for r in p[["commit", "digest", "errors", "value"]].itertuples(index=False)), key=lambda r: (r[0], r[1] is not None, r[1] or "")):
+    new = [r for p in parts for r in zip(*(_plain(p[c]) for c in ("commit", "digest", "errors", "value")), strict=True)]
+    for commit, digest, errors, value in sorted(new, key=lambda r: (r[0], r[1] is not None, r[1] or "")):
         if last[0] is not None and commit <= last[0]:
             continue
         old = last[1]
@@ -49,8 +55,8 @@ def _compared(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
     state.update(last)
     if not rows:
         return
-    out = pd.DataFrame(rows, columns=["path", "commit", "change", "errors_before", "errors", "value_before", "value"])
-    yield out.astype({"commit": "int64", "errors_before": "Int64", "errors": "Int64", "value_before": "float64", "value": "float64"})
+    names = ("path", "commit", "change", "errors_before", "errors", "value_before", "value")
+    yield pd.DataFrame({n: pd.Series(x, dtype=object) for n, x in zip(names, zip(*rows, strict=True), strict=True)}, copy=False)  # Arrow gives the types
 
 
 def commit_deltas(changes: DataFrame) -> DataFrame:
