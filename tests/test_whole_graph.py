@@ -28,3 +28,19 @@ def test_whole_graph_equals_its_sql(spark, duck, name):  # noqa: F811
     parts, lines = duck.sql("SELECT count(DISTINCT l_partkey) FROM lineitem").fetchall()[0][0], len(got)
     assert name == "pass_through" or lines > (1 if name == "closing_edges" else 0)
     assert name != "caller_callee_counts" or lines == parts
+
+
+def test_steps_by_lists_equal_steps_by_rows_and_the_last_is_not_stored(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (160, 2)) if a != b} | {(i, 0) for i in range(1, 40)})
+    back = spark.createDataFrame(pairs, "to bigint, at bigint")
+    front = spark.createDataFrame([(s, (s * 7) % 40) for s in range(12)], "start bigint, node bigint")
+    known = front.union(spark.createDataFrame([(s, s) for s in range(40)], "start bigint, node bigint"))
+    held = {tuple(r) for r in known.collect()}
+    want = sorted({(r.start, a) for r in front.collect() for a, b in pairs if b == r.node} - held, key=repr)
+    for listed in (0, 4, 10, 1 << 16):
+        assert rows(graph._stepped(front, known, back, listed)) == want
+    added = []
+    monkeypatch.setattr(graph.Grown, "add", lambda self, df, to=graph.Grown.add: added.append(1) or to(self, df))
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    assert graph.impact(spark.createDataFrame([(0,)], "node bigint"), edges, 2).where("depth = 1").count() == 39 and len(added) == 2
