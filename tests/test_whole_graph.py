@@ -44,3 +44,11 @@ def test_steps_by_lists_equal_steps_by_rows_and_the_last_is_not_stored(spark, mo
     monkeypatch.setattr(graph.Grown, "add", lambda self, df, to=graph.Grown.add: added.append(1) or to(self, df))
     edges = spark.createDataFrame(pairs, "src bigint, dst bigint")
     assert graph.impact(spark.createDataFrame([(0,)], "node bigint"), edges, 2).where("depth = 1").count() == 39 and len(added) == 2
+
+
+@pytest.mark.parametrize("name", ["closing_edges", "reachable_complexity", "reach"])
+def test_calls_are_read_once(spark, monkeypatch, name):
+    read = []
+    monkeypatch.setattr(graph, "stored", lambda df, what, to=graph.stored: read.append("lineitem" in df._jdf.queryExecution().optimizedPlan().toString() or "l_partkey" in df._jdf.queryExecution().optimizedPlan().toString()) or to(df, what))
+    got = QUERIES[name](spark, DATA)
+    assert sum(read) == 1 and "l_partkey" not in got._jdf.queryExecution().optimizedPlan().toString()
